@@ -88,14 +88,26 @@ def valid_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
              .select("src", "dst"))
 
 
-def build_graph(raw_vertices: DataFrame, raw_edges: DataFrame, dangling: str = "drop") -> Graph:
+def build_graph(raw_vertices: DataFrame, raw_edges: DataFrame, dangling: str = "drop",
+                materialize: bool = False) -> Graph:
     """Clean both tables into a :class:`Graph`.
 
     ``dangling``: ``drop`` (default) removes edges with an unknown end,
     ``keep`` adds the missing ends as vertices without attributes,
     ``error`` raises when any edge has an unknown end.
+    ``materialize=True`` checkpoints both cleaned tables once, for callers
+    that read the graph many times (every iterative operator does).
     """
     v = valid_vertices(raw_vertices)
+    if materialize:
+        from ..plans.iterate import cut
+        v = cut(v)
+        g = _build(v, raw_edges, dangling)
+        return Graph(g.vertices if dangling != "keep" else cut(g.vertices), cut(g.edges))
+    return _build(v, raw_edges, dangling)
+
+
+def _build(v: DataFrame, raw_edges: DataFrame, dangling: str) -> Graph:
     e = _edge_columns(raw_edges).filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
     if dangling == "drop":
         return Graph(v, valid_edges(e, v))

@@ -37,16 +37,21 @@ def _is_star_forest(ee: DataFrame) -> bool:
 
 
 def connected_components(graph: Graph, *, hub_degree: int = 1_000_000, max_hubs: int = 100_000,
-                         max_rounds: int = 100) -> DataFrame:
+                         max_rounds: int = 100, stats: dict | None = None) -> DataFrame:
     """``(id, component)`` for every vertex; ``component`` is the smallest id
     (string order) in the vertex's undirected component.  Isolated vertices
-    and vertices with only self-loops are their own component."""
+    and vertices with only self-loops are their own component.
+
+    ``stats``: optional dict that receives ``rounds`` (star-step pairs run).
+    """
     e = graph.edges.filter(F.col("src") != F.col("dst"))
     ee = cut(e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
     n, h = _stats(ee)
+    rounds = 0
     for _ in range(max_rounds):
         if n == 0:
             break
+        rounds += 1
         thr = bounded_threshold(2 * n, hub_degree, max_hubs)
         # large-star: every neighbour larger than u is linked to min(N(u) + u)
         sym = (ee.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -69,6 +74,8 @@ def connected_components(graph: Graph, *, hub_degree: int = 1_000_000, max_hubs:
         n, h = n2, h2
     else:
         raise RuntimeError(f"connected_components did not converge in {max_rounds} rounds")
+    if stats is not None:
+        stats["rounds"] = rounds
     labels = (ee.select(F.col("b").alias("id"), F.col("a").alias("component"))
                 .unionByName(ee.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()))
     return (graph.vertices.select("id").join(labels, "id", "left")

@@ -25,6 +25,7 @@ Physical plan per round (the edge table never moves after setup):
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +41,14 @@ def out_degrees(edges: DataFrame) -> DataFrame:
 def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_ITERATIONS,
              reset: float = PAGERANK_RESET, *, hub_out_degree: int = 1_000_000,
              max_hubs: int = 100_000, broadcast_max_vertices: int = 500_000,
-             partitions: int | None = None, raw: bool = False) -> DataFrame:
+             partitions: int | None = None, checkpoint_every: int = 5, raw: bool = False) -> DataFrame:
     """``(id, pagerank)`` for every vertex id (ids unique; edge ends must be
     vertex ids, as :func:`entitygraph.build_graph` guarantees).
 
     ``raw=True`` also returns the unscaled rank as ``raw_rank``.
+    ``checkpoint_every``: rounds between reliable checkpoints.  Each round
+    reads the previous ranks once (the zero rows come from the static state),
+    so the lineage between cuts is a chain, never a tree.
     """
     spark = vertices.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -74,8 +78,12 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_I
         weights = cut(salted.repartition(parts, "src", "salt")
                       .groupBy("src", "salt", "dst").agg(F.count(F.lit(1)).alias("mult")))
 
+    # the checkpoint is the reliable copy; the cache makes the ten scans cheap
+    weights = weights.persist(StorageLevel.MEMORY_AND_DISK)
     keep = 1.0 - reset
     ranks = state.select("id", "outdeg", "nsalt", F.lit(1.0).alias("r"))
+    base = state.select("id", "outdeg", "nsalt", F.lit(0.0).alias("c"))
+    done = 0
     for _ in range(iterations):
         senders = ranks.filter(F.col("outdeg") > 0)
         if use_broadcast:
@@ -89,12 +97,14 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_I
         incoming = contrib.select(F.col("dst").alias("id"), F.lit(None).cast("long").alias("outdeg"),
                                   F.lit(None).cast("int").alias("nsalt"),
                                   (F.col("mult") * F.col("msg")).alias("c"))
-        base = ranks.select("id", "outdeg", "nsalt", F.lit(0.0).alias("c"))
         summed = base.unionByName(incoming).groupBy("id").agg(
             F.max("outdeg").alias("outdeg"), F.max("nsalt").alias("nsalt"), F.sum("c").alias("s"))
-        ranks = cut(summed.select("id", "outdeg", "nsalt",
-                                  (F.lit(reset) + F.lit(keep) * F.col("s")).alias("r")))
+        ranks = summed.select("id", "outdeg", "nsalt", (F.lit(reset) + F.lit(keep) * F.col("s")).alias("r"))
+        done += 1
+        if done % max(1, checkpoint_every) == 0 or done == iterations:
+            ranks = cut(ranks)
 
+    weights.unpersist()
     total = ranks.agg(F.sum("r")).scalar()
     scaled = F.try_divide(F.col("r") * F.lit(float(n_vertices)), total)
     cols = [F.col("id"), scaled.alias("pagerank")]

@@ -39,12 +39,12 @@ WEB_QUERY = "P:0"
 
 
 # ---------------------------------------------------------------- graphs
-def _trade(spark, sf_dir) -> Graph:
-    return build_graph(*trade_graph(spark, sf_dir))
+def _trade(spark, sf_dir, materialize=False) -> Graph:
+    return build_graph(*trade_graph(spark, sf_dir, materialize), materialize=materialize)
 
 
-def _web(spark, sf_dir) -> Graph:
-    return build_graph(*web_graph(spark, sf_dir))
+def _web(spark, sf_dir, materialize=False) -> Graph:
+    return build_graph(*web_graph(spark, sf_dir), materialize=materialize)
 
 
 def _r6(c):
@@ -52,12 +52,12 @@ def _r6(c):
 
 
 def _trade_metrics(spark, sf_dir, half_life=30.0):
-    g = _trade(spark, sf_dir)
+    g = _trade(spark, sf_dir, materialize=True)
     return g, node_metrics(g, as_of=AS_OF, half_life_days=half_life)
 
 
 def _web_metrics(spark, sf_dir):
-    g = _web(spark, sf_dir)
+    g = _web(spark, sf_dir, materialize=True)
     return g, node_metrics(g, as_of=AS_OF)
 
 
@@ -120,7 +120,7 @@ def q_neighbour_index(spark, d):
 
 
 def q_pagerank_percent(spark, d):
-    g = _trade(spark, d)
+    g = _trade(spark, d, materialize=True)
     pr = pagerank(g.vertices, g.edges)
     total = pr.agg(F.sum("pagerank")).scalar()
     return pr.select("id", _r6("pagerank"),
@@ -188,11 +188,11 @@ def q_neighbour_details(spark, d):
 
 
 def q_connected_components(spark, d):
-    return with_component_size(connected_components(_web(spark, d)))
+    return with_component_size(connected_components(_web(spark, d, materialize=True)))
 
 
 def q_component_of(spark, d):
-    g = _web(spark, d)
+    g = _web(spark, d, materialize=True)
     hosts = g.vertices.filter(F.col("t") == "host").select("id")
     return component_of(connected_components(g), hosts)
 

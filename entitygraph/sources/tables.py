@@ -31,7 +31,10 @@ def _key(prefix: str, col: str):
     return F.concat(F.lit(prefix), F.col(col).cast("string"))
 
 
-def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def trade_graph(spark: SparkSession, sf_dir: str, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Raw trade-graph tables; ``materialize=True`` checkpoints the lineitem
+    pair aggregate so the vertex dates and the supplier->part edges come
+    from one scan of ``lineitem``."""
     region = _table(spark, sf_dir, "region")
     nation = _table(spark, sf_dir, "nation")
     customer = _table(spark, sf_dir, "customer")
@@ -43,6 +46,9 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     # one aggregate over lineitem feeds supplier dates, part dates and the
     # supplier->part edges (the exchange is reused inside one plan)
     pairs = lineitem.groupBy("l_suppkey", "l_partkey").agg(F.max("l_shipdate").alias("d"))
+    if materialize:
+        from ..plans.iterate import cut
+        pairs = cut(pairs)
     supp_seen = pairs.groupBy("l_suppkey").agg(F.max("d").cast("date").alias("last_seen"))
     part_seen = pairs.groupBy("l_partkey").agg(F.max("d").cast("date").alias("last_seen"))
     cust_seen = orders.groupBy("o_custkey").agg(F.max("o_orderdate").cast("date").alias("last_seen"))
