@@ -30,3 +30,4 @@ from .sources.files import (  # noqa: F401
     write_edges, write_graph_json, write_vertices,
 )
 from .sources.tables import trade_graph, web_graph  # noqa: F401
+from .streaming.refresh import start_refresh  # noqa: F401

@@ -107,6 +107,20 @@ reach(s, id) AS (SELECT id, id FROM v UNION SELECT r.s, u.b FROM reach r JOIN un
 comp AS (SELECT s AS id, min(id) AS component FROM reach GROUP BY s)"""
 
 
+def label_propagation_ctes(rounds: int = 10) -> str:
+    """``comp(id, component)`` over ``v``/``e`` by min-label propagation,
+    ``rounds`` unrolled (exact when ``rounds`` >= the graph's diameter)."""
+    parts = ["und AS (SELECT src AS a, dst AS b FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst)",
+             "l0 AS (SELECT id, id AS c FROM v)"]
+    for i in range(1, rounds + 1):
+        parts.append(
+            f"l{i} AS (SELECT l.id, least(l.c, coalesce(m.mc, l.c)) AS c FROM l{i - 1} l LEFT JOIN "
+            f"(SELECT u.a AS id, min(p.c) AS mc FROM und u JOIN l{i - 1} p ON p.id = u.b GROUP BY u.a) m "
+            f"ON m.id = l.id)")
+    parts.append(f"comp AS (SELECT id, c AS component FROM l{rounds})")
+    return ",\n".join(parts)
+
+
 def layers_ctes(max_depth: int = 16) -> str:
     """``roots(component, root)`` and ``lay(component, id, root, layer)``;
     needs ``comp``, ``und`` and ``nm``."""

@@ -191,6 +191,10 @@ def q_connected_components(spark, d):
     return with_component_size(connected_components(_web(spark, d, materialize=True)))
 
 
+def q_trade_components(spark, d):
+    return with_component_size(connected_components(_trade(spark, d, materialize=True)))
+
+
 def q_component_of(spark, d):
     g = _web(spark, d, materialize=True)
     hosts = g.vertices.filter(F.col("t") == "host").select("id")
@@ -283,6 +287,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "node_details": q_node_details,
     "neighbour_details": q_neighbour_details,
     "connected_components": q_connected_components,
+    "trade_components": q_trade_components,
     "component_of": q_component_of,
     "component_scores": q_component_scores,
     "component_roots": q_component_roots,
@@ -405,6 +410,9 @@ FROM (SELECT src AS id, 'out' AS direction, dst AS nbr FROM pairs
       UNION ALL SELECT dst, 'in', src FROM pairs) x
 JOIN v ON v.id = x.nbr"""),
     "connected_components": _w(_CC, body="""
+SELECT id, component, count(*) OVER (PARTITION BY component) AS component_size FROM comp"""),
+    # T's diameter is at most 6 (part-supplier-nation-region-nation-supplier-part)
+    "trade_components": _t(O.label_propagation_ctes(10), body="""
 SELECT id, component, count(*) OVER (PARTITION BY component) AS component_size FROM comp"""),
     "component_of": _w(_CC, body="""
 SELECT s.id AS seed, c.id FROM comp s JOIN v ON v.id = s.id AND v.t = 'host'
