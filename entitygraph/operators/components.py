@@ -56,14 +56,16 @@ def connected_components(graph: Graph, *, hub_degree: int = 1_000_000, max_hubs:
         # large-star: every neighbour larger than u is linked to min(N(u) + u)
         sym = (ee.select(F.col("a").alias("u"), F.col("b").alias("v"))
                  .unionByName(ee.select(F.col("b").alias("u"), F.col("a").alias("v"))))
-        mins = (sym.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg"))
+        # read by the hub broadcast, the light-key join and nothing else: one
+        # materialised copy instead of one aggregation of 2|E| rows per branch
+        mins = cut(sym.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg"))
                    .select("u", F.least("u", "m").alias("m"), "deg"))
         big = ee.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        ee1 = cut(split_hub_join(big, mins, "u", "deg", thr)
+        ee1 = cut(split_hub_join(big, mins, "u", "deg", thr, total_weight=n)
                   .select(F.col("v").alias("u"), "m").distinct())          # u > m
         # small-star: u and its smaller neighbours are linked to their minimum
-        mins2 = ee1.groupBy("u").agg(F.min("m").alias("m2"), F.count(F.lit(1)).alias("deg"))
-        j = split_hub_join(ee1, mins2, "u", "deg", thr)
+        mins2 = cut(ee1.groupBy("u").agg(F.min("m").alias("m2"), F.count(F.lit(1)).alias("deg")))
+        j = split_hub_join(ee1, mins2, "u", "deg", thr, total_weight=n)
         ee2 = (j.select(F.col("m2").alias("a"), F.col("m").alias("b")).filter(F.col("a") != F.col("b"))
                 .unionByName(mins2.select(F.col("m2").alias("a"), F.col("u").alias("b")))
                 .distinct())                                                 # a < b
@@ -106,6 +108,18 @@ def component_scores(components: DataFrame, nodes: DataFrame, metric: str = "pr_
         F.count(F.lit(1)).alias("size"))
 
 
+def ranked_components(scores: DataFrame) -> DataFrame:
+    """``component_scores`` plus ``rank``: 0-based position by score
+    descending, then component id (a distributed global index)."""
+    from ..plans.iterate import dense_index
+    return dense_index(scores, [F.col("score").desc(), F.col("component").asc()], "rank")
+
+
+def component_count(components: DataFrame) -> DataFrame:
+    """One row ``n_components`` (distinct count as a two-level aggregate)."""
+    return components.agg(F.count_distinct("component").alias("n_components"))
+
+
 def component_roots(components: DataFrame, nodes: DataFrame, metric: str = "pr_percent") -> DataFrame:
     """``(component, root)``: the vertex with the highest metric, ties to the
     smallest id; a per-component ``min(struct)`` (partial aggregate)."""

@@ -58,8 +58,9 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_I
              .join(out_degrees(e).withColumnRenamed("src", "id"), "id", "left")
              .select("id", F.coalesce("outdeg", F.lit(0)).cast("long").alias("outdeg")))
     state = cut(state)
-    totals = state.agg(F.count(F.lit(1)).alias("n"), F.sum("outdeg").alias("m")).first()
-    n_vertices, n_edges = int(totals["n"]), int(totals["m"] or 0)
+    totals = state.agg(F.count(F.lit(1)).alias("n"), F.sum("outdeg").alias("m"),
+                       F.max("outdeg").alias("top")).first()
+    n_vertices, n_edges, top = int(totals["n"]), int(totals["m"] or 0), int(totals["top"] or 0)
 
     use_broadcast = n_vertices <= broadcast_max_vertices
     if use_broadcast:
@@ -70,10 +71,13 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_I
         nsalt = F.when(F.col("outdeg") > threshold,
                        F.ceil(F.col("outdeg") / F.lit(threshold))).otherwise(F.lit(1))
         state = state.withColumn("nsalt", nsalt.cast("int"))
-        hubs = state.filter(F.col("nsalt") > 1).select(F.col("id").alias("src"), "nsalt")
-        salted = (e.join(F.broadcast(hubs), "src", "left")
-                   .withColumn("salt", F.when(F.col("nsalt").isNull(), F.lit(0))
-                               .otherwise(F.pmod(F.xxhash64("dst"), F.col("nsalt"))).cast("int")))
+        if top > threshold:
+            hubs = state.filter(F.col("nsalt") > 1).select(F.col("id").alias("src"), "nsalt")
+            salted = (e.join(F.broadcast(hubs), "src", "left")
+                       .withColumn("salt", F.when(F.col("nsalt").isNull(), F.lit(0))
+                                   .otherwise(F.pmod(F.xxhash64("dst"), F.col("nsalt"))).cast("int")))
+        else:                                   # no hub: nothing to broadcast
+            salted = e.withColumn("salt", F.lit(0))
         # one shuffle of the raw edges; the aggregate reuses the (src, salt)
         # partitioning, and the cached table keeps it (a cached plan's output
         # partitioning is not changed by AQE), so every round's join finds

@@ -36,7 +36,7 @@ def bounded_threshold(total_weight: int, floor: int, max_heavy: int) -> int:
 
 
 def split_hub_join(big: DataFrame, small: DataFrame, key: str, weight: str,
-                   threshold: int) -> DataFrame:
+                   threshold: int, total_weight: int | None = None) -> DataFrame:
     """Inner join ``big`` and ``small`` on ``key`` (``small`` has one row per key
     and a column ``weight`` = number of ``big`` rows of that key).
 
@@ -45,7 +45,11 @@ def split_hub_join(big: DataFrame, small: DataFrame, key: str, weight: str,
     :func:`bounded_threshold`), so the broadcast side has a proven bound.  The
     remaining keys carry at most ``threshold`` rows each and take a shuffle
     join, where no task gets more than one light key's rows per key.
+    When ``total_weight`` (the row count of ``big``) is at most ``threshold``
+    no key can be heavy and the plain join is returned.
     """
+    if total_weight is not None and total_weight <= threshold:
+        return big.join(small, key)
     small_cols = [c for c in small.columns if c != key]
     hubs = small.filter(F.col(weight) > F.lit(threshold))
     rest = small.filter(F.col(weight) <= F.lit(threshold))

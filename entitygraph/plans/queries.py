@@ -15,10 +15,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import normalise_type, percent_text
+from ..functions.columns import edge_key, normalise_type
 from ..operators.clean import Graph, build_graph, dangling_edges, valid_edges, vertex_universe
-from ..operators.components import (component_of, component_roots, component_scores, connected_components,
-                                    with_component_size)
+from ..operators.components import (component_count, component_of, component_roots, component_scores,
+                                    connected_components, ranked_components, with_component_size)
 from ..operators.layers import layered_components, organised_layout
 from ..operators.metrics import graph_counts, node_metrics, recency, sqrt_scale, top_nodes
 from ..operators.pagerank import pagerank
@@ -203,7 +203,11 @@ def q_component_of(spark, d):
 
 def q_component_scores(spark, d):
     g, nm = _web_metrics(spark, d)
-    return component_scores(connected_components(g), nm)
+    return ranked_components(component_scores(connected_components(g), nm))
+
+
+def q_component_count(spark, d):
+    return component_count(connected_components(_web(spark, d, materialize=True)))
 
 
 def q_component_roots(spark, d):
@@ -235,7 +239,7 @@ def q_focus_nodes(spark, d):
 def q_focus_edges(spark, d):
     g, nm = _web_metrics(spark, d)
     _, edges = focus(g, nm, WEB_QUERY)
-    return edges.select("src", "dst", F.concat_ws("->", "src", "dst").alias("key"))
+    return edges.select("src", "dst", edge_key("src", "dst").alias("key"))
 
 
 def q_sqrt_scale(spark, d):
@@ -290,6 +294,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trade_components": q_trade_components,
     "component_of": q_component_of,
     "component_scores": q_component_scores,
+    "component_count": q_component_count,
     "component_roots": q_component_roots,
     "bfs_layers": q_bfs_layers,
     "organised_layout": q_organised_layout,
@@ -417,7 +422,9 @@ SELECT id, component, count(*) OVER (PARTITION BY component) AS component_size F
     "component_of": _w(_CC, body="""
 SELECT s.id AS seed, c.id FROM comp s JOIN v ON v.id = s.id AND v.t = 'host'
 JOIN comp c ON c.component = s.component"""),
-    "component_scores": _w(_PR, _NM30, _CC, _SCORES, body="SELECT component, score, size FROM sc"),
+    "component_scores": _w(_PR, _NM30, _CC, _SCORES, body="""
+SELECT component, score, size, row_number() OVER (ORDER BY score DESC, component) - 1 AS rank FROM sc"""),
+    "component_count": _w(_CC, body="SELECT count(DISTINCT component) AS n_components FROM comp"),
     "component_roots": _w(_PR, _NM30, _CC, _LAY, body="SELECT component, root FROM roots"),
     "bfs_layers": _w(_PR, _NM30, _CC, _LAY, body="SELECT component, id, root, layer FROM lay"),
     "organised_layout": _w(_PR, _NM30, _CC, _LAY, _SCORES, _LAYOUT, body="""

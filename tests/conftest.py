@@ -15,6 +15,7 @@ def spark():
     s = (SparkSession.builder.master("local[*]")
          .appName("entitygraph-tests")
          .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.driver.memory", "4g")
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.checkpoint.dir", ckpt)
