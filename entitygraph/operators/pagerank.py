@@ -89,6 +89,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_I
     # resident edge table for all rounds; its lineage is one shuffle away
     # from the (checkpointed) inputs, so a lost block is rebuilt cheaply
     weights = weights.persist(StorageLevel.MEMORY_AND_DISK)
+    weights.count()        # fill the cache once, before rounds that would race to build it
     keep = 1.0 - reset
     ranks = state.select("id", "outdeg", "nsalt", F.lit(1.0).alias("r"))
     base = state.select("id", "outdeg", "nsalt", F.lit(0.0).alias("c"))
