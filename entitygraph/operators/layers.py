@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import metric_column, to_number
-from ..plans.iterate import cut, dense_index
+from ..plans.iterate import bounded_threshold, cut, dense_index
 from ..schema import LAYOUT_CELL_H, LAYOUT_MIN_CELL_W, LAYOUT_RING_STEP, LAYOUT_TOP
 from .clean import Graph
 from .components import component_roots, component_scores, connected_components
@@ -22,7 +23,43 @@ def undirected_adjacency(edges: DataFrame) -> DataFrame:
     return both.distinct()
 
 
+def resident_adjacency(edges: DataFrame, hub_degree: int = 1_000_000, max_hubs: int = 100_000,
+                       partitions: int | None = None) -> DataFrame:
+    """``(u, salt, v, v_nsalt)``: the undirected adjacency, cached and
+    hash-partitioned on ``(u, salt)`` so repeated joins on ``u`` never move it.
+
+    A vertex with more than ``threshold`` neighbours is spread over
+    ``ceil(deg / threshold)`` salts (``salt = xxhash64(v) mod nsalt``); the
+    threshold is at least ``|adj| / max_hubs``, so the hub table that is
+    broadcast (once) has at most ``max_hubs`` rows.  Each row also carries
+    the neighbour's salt count, so a frontier built from it can be exploded
+    without another join.
+    """
+    spark = edges.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    adj = undirected_adjacency(edges)
+    deg = adj.groupBy("u").agg(F.count(F.lit(1)).alias("deg"))
+    st = deg.agg(F.sum("deg").alias("m"), F.max("deg").alias("top")).first()
+    m, top = int(st["m"] or 0), int(st["top"] or 0)
+    threshold = bounded_threshold(m, hub_degree, max_hubs)
+    if top > threshold:
+        hubs = F.broadcast(deg.filter(F.col("deg") > threshold)
+                           .select("u", F.ceil(F.col("deg") / F.lit(threshold)).cast("int").alias("nsalt")))
+        adj = (adj.join(hubs, "u", "left")
+                  .join(hubs.select(F.col("u").alias("v"), F.col("nsalt").alias("v_nsalt")), "v", "left")
+                  .select("u", F.when(F.col("nsalt").isNull(), F.lit(0))
+                          .otherwise(F.pmod(F.xxhash64("v"), F.col("nsalt"))).cast("int").alias("salt"),
+                          "v", F.coalesce("v_nsalt", F.lit(1)).cast("int").alias("v_nsalt")))
+    else:
+        adj = adj.select("u", F.lit(0).alias("salt"), "v", F.lit(1).alias("v_nsalt"))
+    adj = (adj.repartition(parts, "u", "salt").sortWithinPartitions("u", "salt")
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    adj.count()
+    return adj
+
+
 def bfs_layers(graph: Graph, roots: DataFrame, *, broadcast_max_frontier: int = 1_000_000,
+               hub_degree: int = 1_000_000, max_hubs: int = 100_000,
                max_rounds: int | None = None) -> DataFrame:
     """``(component, id, root, layer)``: undirected BFS distance from each
     component's root, all components at once.
@@ -30,31 +67,44 @@ def bfs_layers(graph: Graph, roots: DataFrame, *, broadcast_max_frontier: int =
     In an undirected graph every neighbour of layer d lies in layer d-1, d or
     d+1, so the next frontier is the neighbours of layer d minus layers d and
     d-1: each round's anti-joins are frontier-sized, never against a growing
-    visited set.  The frontier size is counted anyway (stop test); a frontier
-    below ``broadcast_max_frontier`` rows is broadcast so the adjacency is
-    scanned in place.  Vertices a root does not reach get layer 0.
+    visited set.  The adjacency stays resident (:func:`resident_adjacency`);
+    a frontier below ``broadcast_max_frontier`` rows (counted each round for
+    the stop test anyway) is broadcast against it, a larger one is shuffled
+    to the adjacency's partitioning.  Vertices no root reaches are absent.
     """
-    adj = cut(undirected_adjacency(graph.edges))
+    adj = resident_adjacency(graph.edges, hub_degree, max_hubs)
     r = roots.select("component", "root")
-    cur = cut(r.select("component", F.col("root").alias("id"), F.lit(0).alias("layer")))
+    salts = adj.select(F.col("u").alias("id"), F.col("salt")).groupBy("id").agg(
+        (F.max("salt") + 1).alias("nsalt"))
+    start = (r.select("component", F.col("root").alias("id"))
+              .join(salts, "id", "left")
+              .select("component", "id", F.coalesce("nsalt", F.lit(1)).cast("int").alias("nsalt"),
+                      F.lit(0).alias("layer")))
+    cur = cut(start)
     prev = None
     done = [cur]
     size = cur.count()
     layer = 0
     while size > 0 and (max_rounds is None or layer < max_rounds):
-        front = cur.select("component", F.col("id").alias("u"))
+        front = cur.select("component", F.col("id").alias("u"),
+                           F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"))
         if size <= broadcast_max_frontier:
             front = F.broadcast(front)
-        nb = adj.join(front, "u").select("component", F.col("v").alias("id")).distinct()
+        # id determines component and nsalt: grouping on id alone leaves the
+        # rows hash-partitioned on id, which the anti-joins below reuse
+        nb = (adj.join(front, ["u", "salt"])
+                 .groupBy(F.col("v").alias("id"))
+                 .agg(F.max("component").alias("component"), F.max("v_nsalt").alias("nsalt")))
         nxt = nb.join(cur.select("id"), "id", "left_anti")
         if prev is not None:
             nxt = nxt.join(prev.select("id"), "id", "left_anti")
         layer += 1
-        nxt = cut(nxt.select("component", "id", F.lit(layer).alias("layer")))
+        nxt = cut(nxt.select("component", "id", "nsalt", F.lit(layer).alias("layer")))
         size = nxt.count()
         prev, cur = cur, nxt
         if size:
             done.append(cur)
+    adj.unpersist()
     reached = done[0]
     for d in done[1:]:
         reached = reached.unionByName(d)

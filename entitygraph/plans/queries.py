@@ -44,7 +44,7 @@ def _trade(spark, sf_dir, materialize=False) -> Graph:
 
 
 def _web(spark, sf_dir, materialize=False) -> Graph:
-    return build_graph(*web_graph(spark, sf_dir), materialize=materialize)
+    return build_graph(*web_graph(spark, sf_dir, materialize), materialize=materialize)
 
 
 def _r6(c):

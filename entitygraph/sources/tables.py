@@ -81,12 +81,18 @@ def trade_order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(_key("c", "o_custkey").alias("src"), _key("o", "o_orderkey").alias("dst"))
 
 
-def web_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def web_graph(spark: SparkSession, sf_dir: str, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Raw web-graph tables; ``materialize=True`` checkpoints the extracted
+    links so the link pattern runs over the HTML once (it feeds both the url
+    vertices and the page->url edges)."""
     pages = _table(spark, sf_dir, "pages").select(
         "page_id", "url", F.regexp_extract("url", HOST_PATTERN, 1).alias("host"), "html")
     page_v = F.concat(F.lit("p:"), F.col("page_id").cast("string"))
     links = pages.select(page_v.alias("page"), "host",
                          F.explode(F.regexp_extract_all("html", F.lit(LINK_PATTERN), 1)).alias("link"))
+    if materialize:
+        from ..plans.iterate import cut
+        links = cut(links)
     url = F.concat(F.col("host"), F.col("link"))
 
     hosts = pages.select(F.concat(F.lit("h:"), "host").alias("id"), F.lit("host").alias("t"),

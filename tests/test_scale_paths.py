@@ -42,7 +42,9 @@ def test_bfs_shuffled_frontier_equals_broadcast(web):
     roots = eg.component_roots(cc, nm)
     a = sorted(eg.bfs_layers(web, roots).collect())
     b = sorted(eg.bfs_layers(web, roots, broadcast_max_frontier=0).collect())
-    assert a == b and len(a) == web.vertices.count()
+    c = sorted(eg.bfs_layers(web, roots, broadcast_max_frontier=0, hub_degree=2, max_hubs=1_000_000).collect())
+    d = sorted(eg.bfs_layers(web, roots, hub_degree=3, max_hubs=1_000_000).collect())
+    assert a == b == c == d and len(a) == web.vertices.count()
 
 
 def test_layers_respect_bfs_property(web):
