@@ -13,7 +13,7 @@ from .operators.clean import (  # noqa: F401
     Graph, build_graph, dangling_edges, valid_edges, valid_vertices, vertex_universe,
 )
 from .operators.components import (  # noqa: F401
-    component_count, component_of, component_roots, component_scores, connected_components,
+    component_count, component_members, component_of, component_roots, component_scores, connected_components,
     ranked_components, with_component_size,
 )
 from .operators.layers import bfs_layers, layered_components, organised_layout, undirected_adjacency  # noqa: F401

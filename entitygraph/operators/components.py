@@ -92,10 +92,20 @@ def with_component_size(components: DataFrame) -> DataFrame:
 
 
 def component_of(components: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``(seed, id)``: all members of each seed's component."""
+    """``(seed, component)``: the component of each seed id (unknown ids drop)."""
     s = seeds.select(F.col(seeds.columns[0]).cast("string").alias("seed")).distinct()
-    seed_comp = s.join(components.withColumnRenamed("id", "seed"), "seed")
-    return seed_comp.join(components, "component").select("seed", "id")
+    return s.join(components.withColumnRenamed("id", "seed"), "seed").select("seed", "component")
+
+
+def component_members(components: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(component, id)``: every member of every component that holds a seed.
+
+    Seeds are reduced to their components first (semi join), so each vertex
+    appears once however many seeds share its component: no seed x member
+    pairs inside a component.
+    """
+    hit = component_of(components, seeds).select("component").distinct()
+    return components.join(hit, "component", "left_semi").select("component", "id")
 
 
 def component_scores(components: DataFrame, nodes: DataFrame, metric: str = "pr_percent") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import edge_key, normalise_type
 from ..operators.clean import Graph, build_graph, dangling_edges, valid_edges, vertex_universe
-from ..operators.components import (component_count, component_of, component_roots, component_scores,
+from ..operators.components import (component_count, component_members, component_roots, component_scores,
                                     connected_components, ranked_components, with_component_size)
 from ..operators.layers import layered_components, organised_layout
 from ..operators.metrics import graph_counts, node_metrics, recency, sqrt_scale, top_nodes
@@ -198,7 +198,7 @@ def q_trade_components(spark, d):
 def q_component_of(spark, d):
     g = _web(spark, d, materialize=True)
     hosts = g.vertices.filter(F.col("t") == "host").select("id")
-    return component_of(connected_components(g), hosts)
+    return component_members(connected_components(g), hosts)
 
 
 def q_component_scores(spark, d):
@@ -420,8 +420,8 @@ SELECT id, component, count(*) OVER (PARTITION BY component) AS component_size F
     "trade_components": _t(O.label_propagation_ctes(10), body="""
 SELECT id, component, count(*) OVER (PARTITION BY component) AS component_size FROM comp"""),
     "component_of": _w(_CC, body="""
-SELECT s.id AS seed, c.id FROM comp s JOIN v ON v.id = s.id AND v.t = 'host'
-JOIN comp c ON c.component = s.component"""),
+SELECT c.component, c.id FROM comp c
+WHERE c.component IN (SELECT s.component FROM comp s JOIN v ON v.id = s.id WHERE v.t = 'host')"""),
     "component_scores": _w(_PR, _NM30, _CC, _SCORES, body="""
 SELECT component, score, size, row_number() OVER (ORDER BY score DESC, component) - 1 AS rank FROM sc"""),
     "component_count": _w(_CC, body="SELECT count(DISTINCT component) AS n_components FROM comp"),

@@ -136,3 +136,14 @@ def test_dense_index_is_global_order(spark):
     want = sorted(((r["g"], -r["k"]) for r in df.collect()))
     assert [x[0] for x in got] == list(range(1000))
     assert [(g, -k) for _, g, k in got] == want
+
+
+def test_component_members_no_seed_pairs(spark, f1):
+    g, _ = f1
+    cc = eg.connected_components(g)
+    seeds = spark.createDataFrame([("ip_8",), ("dom_1",), ("hash_1",), ("cert_5",), ("missing",)], "id string")
+    of = {r["seed"]: r["component"] for r in eg.component_of(cc, seeds).collect()}
+    assert set(of) == {"ip_8", "dom_1", "hash_1", "cert_5"} and len(set(of.values())) == 2
+    members = eg.component_members(cc, seeds).collect()
+    assert len(members) == 33                     # 27 + 6, each vertex once
+    assert len({r["id"] for r in members}) == 33
