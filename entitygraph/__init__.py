@@ -18,7 +18,7 @@ from .operators.components import (  # noqa: F401
 )
 from .operators.layers import bfs_layers, layered_components, organised_layout, undirected_adjacency  # noqa: F401
 from .operators.metrics import (  # noqa: F401
-    as_percent, compute_graph, graph_counts, node_metrics, recency, sqrt_scale, top_nodes,
+    as_percent, compute_graph, graph_counts, node_metrics, node_payload, recency, sqrt_scale, top_nodes,
 )
 from .operators.pagerank import out_degrees, pagerank  # noqa: F401
 from .operators.search import focus, search  # noqa: F401

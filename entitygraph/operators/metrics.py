@@ -76,6 +76,15 @@ def compute_graph(raw_vertices: DataFrame, raw_edges: DataFrame, half_life_days:
     return nodes, valid_edges(g.edges, g.vertices)
 
 
+def node_payload(nodes: DataFrame, with_last_seen: bool = True) -> DataFrame:
+    """The node payload ``id, label, t, pr_percent, pr_temporal_percent``
+    (plus ``last_seen``, which the detail panel shows)."""
+    cols = ["id", "label", "t", "pr_percent", "pr_temporal_percent"]
+    if with_last_seen and "last_seen" in nodes.columns:
+        cols.append(F.col("last_seen").cast("string").alias("last_seen"))
+    return nodes.select(*cols)
+
+
 def top_nodes(nodes: DataFrame, k: int = 10, mode: str = "static") -> DataFrame:
     """The ``k`` highest nodes by metric, ties by id (a top-k report)."""
     m = metric_column(mode)
