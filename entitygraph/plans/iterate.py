@@ -17,16 +17,19 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import scratch_path
 
 _POS_MASK = (1 << 33) - 1
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint: computes ``df`` once, writes it to the
-    session's checkpoint folder and keeps its output partitioning."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` once as a parquet table under the session's shared
+    checkpoint folder and return a scan of it: a one-node lineage that
+    survives executor loss, stored columnar and compressed, and carrying no
+    plan baggage from the rounds before it (a scan of files, nothing else)."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded_threshold(total_weight: int, floor: int, max_heavy: int) -> int:
