@@ -95,7 +95,7 @@ def build_graph(raw_vertices: DataFrame, raw_edges: DataFrame, dangling: str = "
     ``dangling``: ``drop`` (default) removes edges with an unknown end,
     ``keep`` adds the missing ends as vertices without attributes,
     ``error`` raises when any edge has an unknown end.
-    ``materialize=True`` checkpoints both cleaned tables once, for callers
+    ``materialize=True`` materialises both cleaned tables once, for callers
     that read the graph many times (every iterative operator does).
     """
     v = valid_vertices(raw_vertices)

@@ -49,7 +49,7 @@ def node_metrics(graph: Graph, as_of=None, half_life_days: float = HALF_LIFE_DAY
     pagerank_temporal, pr_temporal_percent`` (temporal = static rank times the
     recency weight, as a percent of its own total; missing metrics are 0.0).
 
-    The joined table is checkpointed once so that both totals (scalar
+    The joined table is materialised once so that both totals (scalar
     subqueries) read |V| materialised rows instead of recomputing the job.
     """
     if ranks is None:

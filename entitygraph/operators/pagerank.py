@@ -8,9 +8,9 @@ The result is rescaled so the ranks sum to the number of vertices.
 Physical plan per round (the edge table never moves after setup):
 
 * setup: out-degree per source (partial aggregate), one vertex-state table
-  ``(id, outdeg, nsalt)`` checkpointed; edges collapsed to ``(src, salt, dst,
+  ``(id, outdeg, nsalt)`` materialised; edges collapsed to ``(src, salt, dst,
   mult)``, hash-partitioned on ``(src, salt)`` once and cached with that
-  partitioning (a checkpoint would forget it and re-shuffle every round).
+  partitioning (a written table would forget it and re-shuffle every round).
 * a source whose out-degree exceeds the hub threshold is split over
   ``nsalt`` salts (``salt = xxhash64(dst) mod nsalt``), so no task owns a
   hub's edges alone; the hub table is broadcast once and holds fewer than
@@ -21,7 +21,8 @@ Physical plan per round (the edge table never moves after setup):
   shuffle); vertices without in-edges come in through the same aggregate.
 * when the vertex count is below ``broadcast_max_vertices`` (a checked
   count), the message table is broadcast instead and nothing is salted.
-* every round is cut with a reliable checkpoint.
+* every ``checkpoint_every`` rounds the ranks are cut with a written table
+  in the shared checkpoint folder (``plans.iterate.cut``).
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_I
                    .sortWithinPartitions("src", "salt"))     # merge join reads it in order
 
     # resident edge table for all rounds; its lineage is one shuffle away
-    # from the (checkpointed) inputs, so a lost block is rebuilt cheaply
+    # from the (materialised) inputs, so a lost block is rebuilt cheaply
     weights = weights.persist(StorageLevel.MEMORY_AND_DISK)
     weights.count()        # fill the cache once, before rounds that would race to build it
     keep = 1.0 - reset

@@ -1,6 +1,6 @@
 """Helpers shared by the iterative operators.
 
-* :func:`cut` materialises a frame with a reliable checkpoint (shared folder,
+* :func:`cut` materialises a frame as a written table (shared folder,
   survives executor loss) and returns a frame with a one-node lineage.
 * :func:`split_hub_join` joins a large table to a per-key table where a few
   keys may carry a large share of the rows: heavy keys go through a

@@ -1,7 +1,8 @@
 """Session helpers: configuration and the shared folder used to cut lineage.
 
 Iterative operators (PageRank, components, BFS) cut their lineage with a
-*reliable* ``DataFrame.checkpoint()``.  On a cluster the folder comes from
+table written to a shared folder (see ``plans.iterate.cut``); streaming
+queries keep their state there too.  On a cluster the folder comes from
 ``spark.checkpoint.dir`` (a shared file system); we only invent one when the
 session has none and runs in local mode (tests, benches).
 """
@@ -44,7 +45,7 @@ def build_session(master: str | None = None, app: str = "entitygraph",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The reliable checkpoint folder of this session.
+    """The shared checkpoint folder of this session.
 
     Reads ``spark.checkpoint.dir`` / the context's folder.  Only a local-mode
     session without one gets a fresh folder of its own.

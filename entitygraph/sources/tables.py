@@ -32,7 +32,7 @@ def _key(prefix: str, col: str):
 
 
 def trade_graph(spark: SparkSession, sf_dir: str, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Raw trade-graph tables; ``materialize=True`` checkpoints the lineitem
+    """Raw trade-graph tables; ``materialize=True`` materialises the lineitem
     pair aggregate so the vertex dates and the supplier->part edges come
     from one scan of ``lineitem``."""
     region = _table(spark, sf_dir, "region")
@@ -82,7 +82,7 @@ def trade_order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def web_graph(spark: SparkSession, sf_dir: str, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Raw web-graph tables; ``materialize=True`` checkpoints the extracted
+    """Raw web-graph tables; ``materialize=True`` materialises the extracted
     links so the link pattern runs over the HTML once (it feeds both the url
     vertices and the page->url edges)."""
     pages = _table(spark, sf_dir, "pages").select(
