@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import metric_column, to_number
-from ..plans.iterate import bounded_threshold, cut, dense_index
+from ..plans.iterate import bounded_threshold, cut, dense_index, resident_partitions
 from ..schema import LAYOUT_CELL_H, LAYOUT_MIN_CELL_W, LAYOUT_RING_STEP, LAYOUT_TOP
 from .clean import Graph
 from .components import component_roots, component_scores, connected_components
@@ -36,12 +36,12 @@ def resident_adjacency(edges: DataFrame, hub_degree: int = 1_000_000, max_hubs:
     without another join.
     """
     spark = edges.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     adj = undirected_adjacency(edges)
     deg = adj.groupBy("u").agg(F.count(F.lit(1)).alias("deg"))
     st = deg.agg(F.sum("deg").alias("m"), F.max("deg").alias("top")).first()
     m, top = int(st["m"] or 0), int(st["top"] or 0)
     threshold = bounded_threshold(m, hub_degree, max_hubs)
+    parts = resident_partitions(spark, m, partitions=partitions)
     if top > threshold:
         hubs = F.broadcast(deg.filter(F.col("deg") > threshold)
                            .select("u", F.ceil(F.col("deg") / F.lit(threshold)).cast("int").alias("nsalt")))

@@ -31,7 +31,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.iterate import bounded_threshold, cut
+from ..plans.iterate import bounded_threshold, cut, resident_partitions
 from ..schema import PAGERANK_ITERATIONS, PAGERANK_RESET
 
 
@@ -53,7 +53,6 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_I
     so the lineage between cuts is a chain, never a tree.
     """
     spark = vertices.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     e = edges.select("src", "dst")
     state = (vertices.select("id")
              .join(out_degrees(e).withColumnRenamed("src", "id"), "id", "left")
@@ -63,10 +62,11 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_I
                        F.max("outdeg").alias("top")).first()
     n_vertices, n_edges, top = int(totals["n"]), int(totals["m"] or 0), int(totals["top"] or 0)
 
+    parts = resident_partitions(spark, n_edges, partitions=partitions)
     use_broadcast = n_vertices <= broadcast_max_vertices
     if use_broadcast:
         state = state.withColumn("nsalt", F.lit(1).cast("int"))
-        weights = e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("mult"))
+        weights = e.repartition(parts, "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("mult"))
     else:
         threshold = bounded_threshold(n_edges, hub_out_degree, max_hubs)
         nsalt = F.when(F.col("outdeg") > threshold,

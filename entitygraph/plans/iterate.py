@@ -32,6 +32,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def resident_partitions(spark, rows: int, rows_per_partition: int = 2_000_000,
+                        partitions: int | None = None) -> int:
+    """Partition count for a table kept resident across rounds: enough for
+    ``rows_per_partition`` rows each, at least the cluster's default
+    parallelism, at most ``spark.sql.shuffle.partitions`` (AQE does not
+    coalesce a cached plan, so the count is chosen here, from a counted size)."""
+    if partitions:
+        return int(partitions)
+    upper = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lower = min(upper, spark.sparkContext.defaultParallelism)
+    return max(lower, min(upper, -(-rows // rows_per_partition)))
+
+
 def bounded_threshold(total_weight: int, floor: int, max_heavy: int) -> int:
     """A per-key weight threshold such that at most ``max_heavy`` keys can
     exceed it when the weights sum to ``total_weight``."""
