@@ -8,10 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding
+from . import mixing, packing, quality_rules, sharding, token_store
 from .common import table
 
 
+def op1_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.encode_and_read_back(spark, table(spark, sf_dir, "documents"),
+                                            tokenizer=packing.tokenizer_path("byte_bpe_50k.json"))
+
+
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -26,6 +35,8 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bin_completion": op1_bin_completion,
+    "op2_token_store": op2_token_store,
     "op6_histogram_sort": op6_histogram_sort,
     "op9_host_rules": op9_host_rules,
     "op10_systematic_mix": op10_systematic_mix,
