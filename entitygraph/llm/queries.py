@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, sharding, token_store
+from . import language, mixing, packing, quality_model, quality_rules, sharding, token_store
 from .common import table
 
 
@@ -21,10 +21,20 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             tokenizer=packing.tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_pairwise_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score_documents(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs))
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, sf_dir, "documents")).drop("host_rejected")
 
@@ -37,7 +47,9 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bin_completion": op1_bin_completion,
     "op2_token_store": op2_token_store,
+    "op4_pairwise_additive": op4_pairwise_additive,
     "op6_histogram_sort": op6_histogram_sort,
+    "op7_ftrl_language": op7_ftrl_language,
     "op9_host_rules": op9_host_rules,
     "op10_systematic_mix": op10_systematic_mix,
 }
