@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality_model, quality_rules, sharding, token_store
+from . import language, mixing, near_dups, packing, quality_model, quality_rules, sharding, token_store
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op7_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.train(docs))
 
 
+def op8_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, sf_dir, "documents")).drop("host_rejected")
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pairwise_additive": op4_pairwise_additive,
     "op6_histogram_sort": op6_histogram_sort,
     "op7_ftrl_language": op7_ftrl_language,
+    "op8_setsketch": op8_setsketch,
     "op9_host_rules": op9_host_rules,
     "op10_systematic_mix": op10_systematic_mix,
 }
