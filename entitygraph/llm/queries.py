@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, near_dups, packing, quality_model, quality_rules, sharding, token_store
+from . import chat, language, mixing, near_dups, packing, quality_model, quality_rules, sharding, token_store
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
                                             tokenizer=packing.tokenizer_path("byte_bpe_50k.json"))
 
 
+def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
+
+
 def op4_pairwise_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_model.score_documents(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
@@ -51,6 +55,7 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bin_completion": op1_bin_completion,
     "op2_token_store": op2_token_store,
+    "op3_snapshot_collapse": op3_snapshot_collapse,
     "op4_pairwise_additive": op4_pairwise_additive,
     "op6_histogram_sort": op6_histogram_sort,
     "op7_ftrl_language": op7_ftrl_language,
@@ -62,6 +67,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE: dict[str, str] = {
+    "op3_snapshot_collapse": """
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p,
+        count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+h AS (SELECT conv_id, p, n, md5(CAST(list({'r': role, 'x': text}) OVER (PARTITION BY conv_id ORDER BY p
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS VARCHAR)) AS k FROM t),
+m AS (SELECT min(conv_id) AS conv_id FROM h WHERE p = n AND k NOT IN (SELECT k FROM h WHERE p < n) GROUP BY k)
+SELECT conv_id, CAST((p - 1) // 256 AS INTEGER) AS part, count(*) AS n_turns,
+  string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY p) AS rendered
+FROM t JOIN m USING (conv_id) GROUP BY 1, 2""",
     "op9_host_rules": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 m AS (SELECT doc_id, source, regexp_extract_all(t, '{WORD}') AS w,
