@@ -13,16 +13,16 @@ and the components of the links are the groups.
 2. Registers are banded (four of 16 bits make one 64-bit key); classes that
    share a key are candidates.  At 0.8 a pair shares none of 32 keys with
    probability 5e-8.
-3. In each bucket every class meets the bucket's pivot (least hash); each
-   class keeps its likeliest pivot, where the similarity is the maximum of the
-   joint likelihood of the two register vectors given both set sizes.  Pairs
-   are confirmed on the full sets, and links give components.
-4. Buckets whose members are by now in one component are done.  In the others
-   the members outside the bucket's largest component meet all members, block
-   by block, on their registers; pairs of different components that may reach
-   the threshold are confirmed on full sets, the likeliest pair of a class and
-   a component first, then all that still part components.  So the components
-   are those of all candidate pairs, without listing the pairs of a group.
+3. In each bucket every class meets the bucket's pivot (least hash): the
+   similarity is estimated as the maximum of the joint likelihood of the two
+   register vectors given both set sizes, pairs that may reach the threshold are
+   confirmed on the full sets, and the links give components.
+4. Buckets whose other members are by now in one component are done.  In the
+   rest the members outside the bucket's largest component meet all members,
+   block by block: estimate first, then the full sets, the likeliest partner in
+   a component first and no further once the component is reached.  So the
+   components are those of all candidate pairs, and the pairs of a group are
+   never listed.
 
 Defined cases: null or empty text, or one without words, is the empty set, linked
 with nothing; a null key takes no part and is kept; rows that repeat a key are
@@ -50,7 +50,8 @@ B, RATE_A, Q = 1.001, 20.0, (1 << 16) - 2
 #: A pair is confirmed on full sets when its estimate is at most this far below
 #: the threshold (four standard deviations at 0.8 with 128 registers).
 SLACK = 0.142
-BLOCK = 512
+#: A block holds about so many members, and about so many shingles, at most.
+BLOCK, BLOCK_SHINGLES = 512, 300_000
 #: Key lists up to this many rows are broadcast, longer ones shuffle.
 BROADCAST_KEYS = 200_000
 
@@ -196,48 +197,67 @@ def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
     return cut(got.select(F.col("id").alias("rep"), "component"))
 
 
-def unsettled_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """``a, b, ca, cb, estimate``: candidate pairs of different components that
-    may reach the threshold, each once."""
-    own = cut(members.select("bucket", "band", "rep", "n").join(labels, "rep"))
+def late_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``ca, cb``: components that a pair of members of one bucket still links.
+
+    A bucket's pivot has met all its members, so it is left out.  Members
+    outside the bucket's largest component are laid against all members in
+    blocks, so no task gets a whole bucket.
+    """
+    size = classes.select("rep", "n_shingles")
+    own = cut(members.filter("rep <> pivot").select("bucket", "band", "rep").join(labels, "rep").join(size, "rep"))
     open_ = (own.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo <> hi").select("bucket"))
     own = cut(own.join(cut(open_), "bucket"))
-    top = (own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-           .groupBy("bucket").agg(F.max(F.struct("c", "component"))["component"].alias("top"),
-                                  F.sum("c").alias("n_all"), F.max("c").alias("n_top")))
-    rows = own.join(cut(top), "bucket").join(classes.select("rep", "n_shingles", "registers"), "rep")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    here = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
-    rest = F.col("n_all") - F.col("n_top")
-    cols = ["bucket", "band", "rep", "component", "n_shingles", "registers"]
+    top = (own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("w"))
+           .groupBy("bucket").agg(F.max(F.struct("c", "component", "w")).alias("m"), F.sum("c").alias("n"), F.sum("w").alias("w")))
+    blocks = lambda n, w: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(w / F.lit(BLOCK_SHINGLES))).cast("int")
+    top = top.select("bucket", F.col("m.component").alias("top"), blocks(F.col("n"), F.col("w")).alias("js"),
+                     blocks(F.col("n") - F.col("m.c"), F.col("w") - F.col("m.w")).alias("is"))
+    rows = own.join(cut(top), "bucket")
+    here = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    cols = ["bucket", "band", "rep", "component", "n_shingles"]
     x = rows.filter(F.col("component") != F.col("top")).select(
-        *cols, F.lit(True).alias("outer"), here(rest).alias("i"),
-        F.explode(F.sequence(F.lit(0), blocks(F.col("n_all")) - 1)).alias("j"))
-    y = rows.select(*cols, F.lit(False).alias("outer"),
-                    F.explode(F.sequence(F.lit(0), blocks(rest) - 1)).alias("i"), here(F.col("n_all")).alias("j"))
+        *cols, F.lit(True).alias("outer"), here(F.col("is")).alias("i"), every(F.col("js")).alias("j"))
+    y = rows.select(*cols, F.lit(False).alias("outer"), every(F.col("is")).alias("i"), here(F.col("js")).alias("j"))
+    laid = cut(x.unionByName(y))
+    # small buckets share a task's call, a large one has its blocks in several
+    calls = max(64, (laid.agg(F.sum("n_shingles").alias("w")).first()["w"] or 0) // BLOCK_SHINGLES)
+    laid = (laid.withColumn("call", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(calls)).cast("int"))
+            .join(classes.select("rep", "registers"), "rep").join(sets, "rep"))
 
     def meet(g: pd.DataFrame) -> pd.DataFrame:
-        a, b = g[g["outer"]].reset_index(drop=True), g[~g["outer"]].reset_index(drop=True)
-        out = []
-        if len(a) and len(b):
-            rb, nb, cb, ib = _registers(b["registers"]), b["n_shingles"].to_numpy(), b["component"].to_numpy(), b["rep"].to_numpy()
-            band = int(g["band"].iloc[0])
-            for r, na, ca, ia in zip(_registers(a["registers"]), a["n_shingles"], a["component"], a["rep"]):
-                may = (cb != ca) & (100 * np.minimum(nb, na) >= percent * np.maximum(nb, na))
-                may[may] = (rb[may] == r).sum(1) >= REGISTERS // 2
-                at = np.flatnonzero(may)
-                if not len(at):
-                    continue
-                # a pair counts in the first band that it shares
-                at = at[(rb[at] == r).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
-                j = likeliest_similarity(np.full(len(at), na), nb[at], (r > rb[at]).sum(1), (r < rb[at]).sum(1))
-                for t, e in zip(at[j >= percent / 100 - SLACK], j[j >= percent / 100 - SLACK]):
-                    out.append((ia, ib[t], ca, cb[t], e))
-        return pd.DataFrame(out, columns=["a", "b", "ca", "cb", "estimate"])
-
-    return cut(x.unionByName(y).groupBy("bucket", "i", "j").applyInPandas(
-        meet, "a long, b long, ca long, cb long, estimate double"))
+        out: set[tuple[int, int]] = set()
+        for (_, band, _, _), part in g.groupby(["bucket", "band", "i", "j"], sort=False):
+            _meet(part[part["outer"]], part[~part["outer"]], band, percent, out)
+        return pd.DataFrame(sorted(out), columns=["ca", "cb"], dtype="int64")
+
+    return cut(laid.groupBy("call").applyInPandas(meet, "ca long, cb long").distinct())
+
+
+def _meet(a: pd.DataFrame, b: pd.DataFrame, band: int, percent: int, out: set) -> None:
+    """Add the pairs of components that a member of ``a`` and one of ``b`` link."""
+    if not len(a) or not len(b):
+        return
+    rb, nb, cb = _registers(b["registers"]), b["n_shingles"].to_numpy(), b["component"].to_numpy()
+    items = b["items"].array
+    for r, na, ca, own in zip(_registers(a["registers"]), a["n_shingles"], a["component"], a["items"]):
+        may = (cb != ca) & (100 * np.minimum(nb, na) >= percent * np.maximum(nb, na))
+        if may.any():
+            may[may] = (rb[may] == r).sum(1) >= REGISTERS // 2
+        at = np.flatnonzero(may)
+        if not len(at):
+            continue
+        # a pair counts in the first band that it shares
+        at = at[(rb[at] == r).reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+        j = likeliest_similarity(np.full(len(at), na), nb[at], (r > rb[at]).sum(1), (r < rb[at]).sum(1))
+        for t in at[np.argsort(-j, kind="stable")][:int((j >= percent / 100 - SLACK).sum())]:
+            pair = (min(ca, cb[t]), max(ca, cb[t]))
+            if pair not in out:
+                shared = len(np.intersect1d(own, items[t], assume_unique=True))
+                if 100 * shared >= percent * (na + nb[t] - shared):
+                    out.add(pair)
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, text: str, key: str, k: int, percent: int) -> DataFrame:
@@ -245,27 +265,16 @@ def link_classes(docs: DataFrame, classes: DataFrame, text: str, key: str, k: in
     members = bucket_members(classes)
     vertices = cut(members.select("rep").distinct())
     pairs = members.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    likely = cut(estimated(pairs, classes, percent).groupBy("a").agg(
-        F.max(F.struct("estimate", "b"))["b"].alias("b")))
+    likely = cut(estimated(cut(pairs), classes, percent))
     sets = full_sets(docs, cut(vertices.join(classes.select("rep", "digest"), "rep")), text, key, k)
-    labels = components(vertices, confirmed(likely, sets, percent))
-    rest = unsettled_pairs(members, labels, classes, percent)
-    for step in ("likeliest", "all"):
-        if not rest.limit(1).count():
-            break
-        tried = rest if step == "all" else rest.groupBy("a", "cb").agg(
-            F.max(F.struct("estimate", "b", "ca")).alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.ca").alias("ca"), "cb")
-        found = confirmed(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
-        ends = found.join(labels.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(
-            labels.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b")
-        merged = components(labels.select(F.col("component").alias("rep")).distinct(),
-                            cut(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()))
-        now = merged.select(F.col("rep").alias("old"), F.col("component").alias("new"))
-        labels = cut(labels.join(now, labels["component"] == now["old"]).select("rep", F.col("new").alias("component")))
-        side = lambda c: now.select(F.col("old").alias(c), F.col("new").alias(f"n{c}"))
-        rest = cut(rest.join(side("ca"), "ca").join(side("cb"), "cb").filter("nca <> ncb")
-                   .select("a", "b", F.col("nca").alias("ca"), F.col("ncb").alias("cb"), "estimate"))
-    return labels
+    labels = components(vertices, cut(confirmed(likely, sets, percent)))
+    late = late_links(members, labels, classes, sets, percent)
+    if not late.limit(1).count():
+        return labels
+    merged = components(late.select(F.col("ca").alias("rep")).union(late.select("cb")).distinct(),
+                        late.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    now = merged.select(F.col("rep").alias("component"), F.col("component").alias("new"))
+    return cut(labels.join(now, "component", "left").select("rep", F.coalesce("new", "component").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", k: int = 5,
