@@ -83,7 +83,7 @@ def sample_copies(rows: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat:
     idx = dense_index(rows, [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("__key").asc_nulls_last()],
                       "__rank")
     first = idx.groupBy("source").agg(F.min("__rank").alias("__first"))
-    targets = source_targets(rows.select("source", "size"), weights, max_repeat)
+    targets = source_targets(idx.select("source", "size"), weights, max_repeat)
     per_source = cut(targets.join(first, targets["source"].eqNullSafe(first["source"])).select(
         targets["source"], "source_size", "target", "rate", "offset", "__first"))
     # each source's ranks are one run, so its documents find their source's
@@ -125,12 +125,9 @@ def mix_documents(docs: DataFrame, *, text: str = "text", source: str = "source"
                   weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """The mix itself: every document as many times as it was drawn, with
     exactly its own columns."""
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    # the draw is decided on ids and sizes; the documents carry a row key
-    keyed = cut(docs.select(own.alias("__row"), F.col(key).alias("__k"), F.monotonically_increasing_id().alias("__uid"),
-                            F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")))
-    picked = sample_copies(keyed.select("source", "size", F.struct("__k", "__uid").alias("__key")), weights, max_repeat)
-    drawn = cut(picked.filter(F.col("copies") > 0).select(F.col("__key.__uid").alias("__uid"), "copies"))
-    out = keyed.select("__row", "__uid").join(drawn, "__uid")
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return out.select("__row.*")
+    # the rows travel with the ranking, so the texts are exchanged once and
+    # nothing is joined back to them
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(key).alias("__key"),
+                       F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
+    drawn = sample_copies(rows, weights, max_repeat).filter(F.col("copies") > 0)
+    return drawn.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy")).select("__row.*")
