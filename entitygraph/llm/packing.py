@@ -12,7 +12,7 @@ all others; otherwise the best single piece, pairs and triples that waste
 less, each topped up) and tried in order of waste.  A branch is cut when its
 waste exceeds what the incumbent allows (incumbent - 1 sequences).  Incumbents
 start from best-fit decreasing; the search ends at the lower bound
-(Martello-Toth L2) or after ``max_nodes`` nodes.
+(Martello-Toth L2) or ``max_nodes`` nodes after the first complete solution.
 
 The plan goes back as one table: for each length, runs of piece numbers with
 their sequence and offset.  Each step of the search uses up a length or brings
@@ -40,7 +40,7 @@ from .tokens import encoder
 
 CAPACITY = 4096
 END_ID = 1
-MAX_NODES = 4000
+MAX_NODES = 1000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -190,14 +190,13 @@ def plan_bins(stock: np.ndarray, capacity: int, max_nodes: int = MAX_NODES) -> l
     size = lambda p: sum(t for _, t in p)
     path: list[tuple[dict[int, int], int, int]] = []  # (uses, times, waste of each)
     choices: list[list[tuple[int, list[int]]]] = []
-    spent, waste, descend = 0, 0, True
-    dive = 2 * sum(1 + capacity // max(1, x) for x in np.flatnonzero(stock).tolist())
-    while size(best) > bound and spent < max_nodes + dive:
+    spent, waste, descend, dived = 0, 0, True, False
+    while size(best) > bound and spent < max_nodes:
         if descend:
             left = np.flatnonzero(stock)
             if not len(left):
                 best = [(u, t) for u, t, _ in path]  # the waste bound lets only better ones through
-                descend = False
+                descend, dived = False, True
                 continue
             top = int(left[-1])
             stock[top] -= 1
@@ -217,7 +216,7 @@ def plan_bins(stock: np.ndarray, capacity: int, max_nodes: int = MAX_NODES) -> l
             each, items = choices[-1].pop(0)
             uses = {x: items.count(x) for x in items}
             times = min(int(stock[x]) // n for x, n in uses.items())
-            spent += 1
+            spent += dived
             if waste + each * times > allowed:
                 times = 1 if waste + each <= allowed else 0
             if times:
@@ -231,7 +230,7 @@ def plan_bins(stock: np.ndarray, capacity: int, max_nodes: int = MAX_NODES) -> l
             descend = True
         else:
             choices.pop()
-            descend = False
+            descend, dived = False, True
             if not choices:
                 break
     return plan + best
