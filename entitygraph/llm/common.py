@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -19,12 +22,17 @@ ASCII_SPACE = b" \t\n\r\x0b\x0c"
 
 
 _SHIPPED: set[str] = set()
+#: Whole texts go to Python workers, so batches are kept to so many rows.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package (as ``--py-files`` does), once per
-    application: they need not have been started where it is installed."""
-    sc = spark.sparkContext
+    """Prepare a session for these operators: short Arrow batches, and this
+    package for the Python workers (as ``--py-files`` does, once per
+    application: they need not have been started where it is installed)."""
+    sc, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     if sc.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parents[1]
@@ -47,10 +55,27 @@ def fold(doc_id, modulus: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
 
 
-def in_chunks(frames: Iterator[pd.DataFrame], text: str, max_chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def in_chunks(frames: Iterator[pd.DataFrame], text: str, max_chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """Cut batches so that one chunk holds at most about ``max_chars``
     characters of ``text`` (or a single row), which bounds a task's memory
     however long the texts are."""
+    try:
+        yield from _chunks(frames, text, max_chars)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system: idle workers stay alive."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _chunks(frames: Iterator[pd.DataFrame], text: str, max_chars: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         if not len(frame):
             continue

@@ -30,7 +30,7 @@ _PIECE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _IS_WS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _IS_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 #: Pieces kept per worker, and the longest piece kept (bytes).
-MAX_PIECES = 300_000
+MAX_PIECES = 200_000
 MAX_PIECE = 40
 #: How byte-level tokenizers write a byte: printable Latin-1 characters stand for
 #: themselves, the other bytes follow from U+0100 on.
