@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, near_dups, packing, quality_model, quality_rules, sharding, token_store
+from . import chat, language, mixing, near_dups, neighbours, packing, quality_model, quality_rules, sharding, token_store
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op4_pairwise_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_documents(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
     "op3_snapshot_collapse": op3_snapshot_collapse,
     "op4_pairwise_additive": op4_pairwise_additive,
+    "op5_nn_descent": op5_nn_descent,
     "op6_histogram_sort": op6_histogram_sort,
     "op7_ftrl_language": op7_ftrl_language,
     "op8_setsketch": op8_setsketch,
