@@ -10,9 +10,9 @@ the graph greedily: the nearest ``BEAM`` nodes of a query's pool are expanded,
 their neighbours are compared with the query, and so on for ``STEPS`` rounds.
 The pool is scored again in double precision on the original vectors.
 
-Nodes live in parts of about ``PART_NODES`` by hash of the id.  A message row
-carries one vector to one part, whatever the number of its targets there; a task
-gets one part's messages.  At a node that very many list, ``MEETING`` senders
+Nodes live in parts of about ``PART_NODES`` by hash of the id.  A node's vector
+goes to a part once, whatever the number of its targets there, and the messages
+of a batch of nodes to one part are one row; a task gets one part's messages.  At a node that very many list, ``MEETING`` senders
 drawn by hash are compared in a round, new ones first, as NN-descent samples;
 nothing else is dropped.
 
@@ -36,12 +36,14 @@ from .common import cut, give_back
 
 K_GRAPH = 64
 STARTS, START_GROUP = 4, 128
-MEETING, PER_MEETING = 128, 16
+MEETING, PER_MEETING = 128, 12
+#: A part offers a node so many candidates a round; a task sorts so many pairs at once.
+PER_PART, SORTED = 32, 1_000_000
 ROUNDS, CHANGED = 8, 0.03
 BEAM, STEPS = 48, 2
-PART_NODES = 3000
+PART_NODES = 1500
 STATE = "p int, id long, vec binary, nbr binary, sim binary, new binary, n_new long"
-FOUND = "p int, id long, nbr binary, sim binary"
+FOUND = "p int, id binary, n binary, nbr binary, sim binary"
 
 
 def mixed(ids: np.ndarray, seed: int) -> np.ndarray:
@@ -81,13 +83,28 @@ def _best(a: np.ndarray, b: np.ndarray, s: np.ndarray, fresh: np.ndarray, k: int
 
 
 def _packed(owner_ids: np.ndarray, a, b, s, parts: int) -> pd.DataFrame:
-    """Candidate rows, one per owner (``a``: sorted index into the owners)."""
-    who, at = np.unique(a, return_index=True)
-    ends = np.append(at[1:], len(a))
-    b, s = b.astype(np.int64), s.astype(np.float32)
-    return pd.DataFrame({"p": part_of(owner_ids[who], parts), "id": owner_ids[who],
-                         "nbr": [b[i:j].tobytes() for i, j in zip(at, ends)],
-                         "sim": [s[i:j].tobytes() for i, j in zip(at, ends)]})
+    """Candidates as one row per part that gets any: owners, the number of
+    candidates of each, and the candidates end to end (``a``: sorted index into
+    the owners)."""
+    who, n = np.unique(a, return_counts=True)
+    p = part_of(owner_ids[who], parts)
+    o = np.argsort(np.repeat(p, n), kind="stable")
+    b, s = b[o].astype(np.int64), s[o].astype(np.float32)
+    o = np.argsort(p, kind="stable")
+    p, who, n = p[o], owner_ids[who][o].astype(np.int64), n[o].astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    rows = []
+    for x in np.unique(p).tolist():
+        i, j = np.searchsorted(p, [x, x + 1])
+        k, m = ends[i], ends[j]
+        rows.append((x, who[i:j].tobytes(), n[i:j].tobytes(), b[k:m].tobytes(), s[k:m].tobytes()))
+    return pd.DataFrame(rows, columns=["p", "id", "n", "nbr", "sim"])
+
+
+def _unpacked(found: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Owners, numbers, candidates and similarities of candidate rows."""
+    return tuple(np.frombuffer(b"".join(found[c]), t)
+                 for c, t in (("id", np.int64), ("n", np.int32), ("nbr", np.int64), ("sim", np.float32)))
 
 
 # ------------------------------------------------------------------- vectors
@@ -154,13 +171,13 @@ def start_lists(state: DataFrame, n: int, parts: int, k: int) -> DataFrame:
             best = np.argsort(-s, 1, kind="stable")[:, :take]
             a = np.repeat(np.arange(len(ids)), take)
             out.append(_packed(ids, a, ids[best.ravel()], np.take_along_axis(s, best, 1).ravel(), parts))
-        return pd.concat(out) if out else pd.DataFrame(columns=["p", "id", "nbr", "sim"])
+        return pd.concat(out) if out else pd.DataFrame(columns=["p", "id", "n", "nbr", "sim"])
 
     dealt = state.select("id", "vec").mapInPandas(deal, "g long, id long, vec binary")
     return dealt.groupBy(F.floor(F.col("g") / (16 * STARTS)).alias("call")).applyInPandas(compare, FOUND)
 
 
-def meet(state: DataFrame, parts: int, k: int, d: int) -> DataFrame:
+def meet(state: DataFrame, parts: int, k: int) -> DataFrame:
     """One round: senders that meet at a node are compared; candidates go back."""
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -173,25 +190,27 @@ def meet(state: DataFrame, parts: int, k: int, d: int) -> DataFrame:
             worst = np.full(len(f), -np.inf, np.float32)
             full = size >= k
             worst[full] = sim[ends[full] - 1]
-            row, to = np.repeat(np.arange(len(f)), size), part_of(nbr, parts)
-            o = np.lexsort((to, row))
-            row, to, nbr, new = row[o], to[o], nbr[o], new[o]
-            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (to[1:] != to[:-1])]))
-            last = np.append(first[1:], len(row))
-            yield pd.DataFrame({"p": to[first], "id": f["id"].to_numpy()[row[first]],
-                                "vec": f["vec"].to_numpy()[row[first]], "worst": worst[row[first]],
-                                "to": [nbr[i:j].tobytes() for i, j in zip(first, last)],
-                                "new": [new[i:j].tobytes() for i, j in zip(first, last)]})
+            row, part = np.repeat(np.arange(len(f)), size), part_of(nbr, parts)
+            o = np.lexsort((row, part))
+            row, part, nbr, new = row[o], part[o], nbr[o], new[o]
+            x, ids, rows = np.stack([np.frombuffer(v, np.int8) for v in f["vec"]]), f["id"].to_numpy(), []
+            for p in np.unique(part).tolist():  # one row for each part that gets any of these messages
+                i, j = np.searchsorted(part, [p, p + 1])
+                who, n = np.unique(row[i:j], return_counts=True)
+                rows.append((p, ids[who].tobytes(), x[who].tobytes(), worst[who].tobytes(), n.astype(np.int32).tobytes(),
+                             nbr[i:j].tobytes(), new[i:j].tobytes()))
+            yield pd.DataFrame(rows, columns=["p", "id", "vec", "worst", "n", "to", "new"])
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
-        x, ids, worst = _vectors(f["vec"]), f["id"].to_numpy(), f["worst"].to_numpy()
-        to, size = _lists(f["to"], np.int64)
-        new, _ = _lists(f["new"], np.uint8)
-        row = np.repeat(np.arange(len(f)), size)
+        ids, worst, size, to, new = (np.frombuffer(b"".join(f[c]), t) for c, t in (
+            ("id", np.int64), ("worst", np.float32), ("n", np.int32), ("to", np.int64), ("new", np.uint8)))
+        x = np.frombuffer(b"".join(f["vec"]), np.int8).reshape(len(ids), -1).astype(np.float32)
+        row = np.repeat(np.arange(len(ids)), size)
         o = np.lexsort((mixed(ids[row] ^ to, 7), 1 - new, to))
         to, new, row = to[o], new[o].astype(bool), row[o]
         starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-        a, b, s = [], [], []
+        owners, own = np.unique(ids, return_inverse=True)
+        a, b, s, held = [], [], [], 0
         for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(to)]):
             j = min(j, i + MEETING)
             if j - i < 2 or not new[i]:
@@ -205,17 +224,25 @@ def meet(state: DataFrame, parts: int, k: int, d: int) -> DataFrame:
             best = np.argpartition(-m, t - 1, 1)[:, :t]
             got = np.take_along_axis(m, best, 1)
             r, c = np.nonzero(got > -np.inf)
-            a.append(at[r])
+            a.append(own[at[r]].astype(np.int32))
             b.append(ids[at[best[r, c]]])
             s.append(got[r, c])
+            held += len(r)
+            if held > SORTED:
+                (a, b, s), held = trim(a, b, s), 0
         if not a:
-            return pd.DataFrame(columns=["p", "id", "nbr", "sim"])
-        a, b, s = np.concatenate(a), np.concatenate(b), np.concatenate(s)
-        own = np.unique(ids, return_inverse=True)
-        a, b, s, _ = _best(own[1][a], b, s, np.zeros(len(a), bool), k)
-        return _packed(own[0], a, b, s, parts)
+            return pd.DataFrame(columns=["p", "id", "n", "nbr", "sim"])
+        a, b, s = trim(a, b, s)
+        out = _packed(owners, a[0], b[0], s[0], parts)
+        give_back()
+        return out
+
+    def trim(a, b, s):
+        a = np.concatenate(a)
+        a, b, s, _ = _best(a, np.concatenate(b), np.concatenate(s), np.zeros(len(a), bool), PER_PART)
+        return [a], [b], [s]
 
-    sent = state.mapInPandas(send, "p int, id long, vec binary, worst float, to binary, new binary")
+    sent = state.mapInPandas(send, "p int, id binary, vec binary, worst binary, n binary, to binary, new binary")
     return sent.groupBy("p").applyInPandas(compare, FOUND)
 
 
@@ -226,10 +253,9 @@ def merged(state: DataFrame, found: DataFrame, k: int) -> DataFrame:
         ids = own["id"].to_numpy()
         b0, n0 = _lists(own["nbr"], np.int64)
         s0, _ = _lists(own["sim"], np.float32)
-        b1, n1 = _lists(more["nbr"], np.int64)
-        s1, _ = _lists(more["sim"], np.float32)
+        who, n1, b1, s1 = _unpacked(more)
         a0 = np.repeat(np.arange(len(ids)), n0)
-        a1 = np.repeat(np.searchsorted(ids, more["id"].to_numpy(dtype=np.int64)), n1)
+        a1 = np.repeat(np.searchsorted(ids, who), n1)
         a, b, s, fresh = _best(np.concatenate([a0, a1]), np.concatenate([b0, b1]), np.concatenate([s0, s1]),
                                np.concatenate([np.zeros(len(a0), bool), np.ones(len(a1), bool)]), k)
         cuts = np.searchsorted(a, np.arange(len(ids) + 1))
@@ -253,7 +279,7 @@ def build_graph(nodes: DataFrame, *, k: int = K_GRAPH, rounds: int = ROUNDS, cha
     k = min(k, n - 1)
     state = cut(merged(state, start_lists(state, n, parts, k), k))
     for _ in range(rounds):
-        state = cut(merged(state, cut(meet(state, parts, k, 0)), k))
+        state = cut(merged(state, cut(meet(state, parts, k)), k))
         if state.agg(F.sum("n_new")).first()[0] <= changed * n * k:
             break
     return state, parts
@@ -284,7 +310,16 @@ def greedy_search(graph: DataFrame, parts: int, queries: DataFrame, *, beam: int
         out = []
         for q, vec, to in zip(asked["q"], asked["vec"], asked["to"]):
             at = np.searchsorted(ids, np.frombuffer(to, np.int64))
-            w = np.unique(np.frombuffer(b"".join(lists[at]), np.int64))
+            out.append((q, np.unique(np.frombuffer(b"".join(lists[at]), np.int64)).tobytes()))
+        return pd.DataFrame(out, columns=["q", "to"])
+
+    def split(own: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        got = dict(iter(more.groupby("q")["to"]))
+        out = []
+        for q, vec, nbr in zip(own["q"], own["vec"], own["nbr"]):
+            if q not in got:
+                continue
+            w = np.setdiff1d(np.frombuffer(b"".join(got[q]), np.int64), np.frombuffer(nbr, np.int64))
             p = part_of(w, parts)
             o = np.argsort(p, kind="stable")
             w, p = w[o], p[o]
@@ -322,7 +357,10 @@ def greedy_search(graph: DataFrame, parts: int, queries: DataFrame, *, beam: int
     call = F.pmod(F.xxhash64("q"), F.lit(parts)).alias("call")
     here = graph.select("p", "id", "vec", "nbr").groupBy("p")
     for _ in range(steps):
-        asked = pool.select("q", "vec", "nbr", "done").mapInPandas(ask, ASKED).groupBy("p").cogroup(here).applyInPandas(expand, ASKED)
+        met = (pool.select("q", "vec", "nbr", "done").mapInPandas(ask, ASKED).groupBy("p").cogroup(here)
+               .applyInPandas(expand, "q long, to binary"))
+        # each query's neighbours of neighbours meet once before they go to their parts
+        asked = (pool.select("q", "vec", "nbr").groupBy(call).cogroup(met.groupBy(call)).applyInPandas(split, ASKED))
         near = asked.groupBy("p").cogroup(here).applyInPandas(compare, "q long, nbr binary, sim binary")
         pool = cut(pool.groupBy(call).cogroup(near.groupBy(call)).applyInPandas(gather, POOL))
     return pool
