@@ -36,7 +36,6 @@ def _parser() -> argparse.ArgumentParser:
     x.add_argument("--out", required=True)
     x.add_argument("--mode", default="static")
     x.add_argument("--threshold", type=float, default=0.0)
-    x.add_argument("--single-document", action="store_true")
     for s in (g, x):
         s.add_argument("--master")
     return p
@@ -57,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         nodes, edges = load_snapshot(spark, args.snapshot)
         kept, kept_edges = filter_graph(nodes, edges, args.mode, args.threshold)
-        export_subgraph(node_payload(kept), kept_edges, args.out, single_document=args.single_document)
+        export_subgraph(node_payload(kept), kept_edges, args.out)
     return 0
 
 

@@ -28,9 +28,11 @@ def as_date(x) -> Column:
 
 
 def to_number(x) -> Column:
-    """A finite double, else 0 (null, NaN, +-Inf, junk text)."""
+    """A finite double, else 0 (null, NaN, +-Inf, junk text, and text with a
+    type suffix such as ``1.5d``, which a cast would accept)."""
     d = _c(x).try_cast("double")
-    finite = d.isNotNull() & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf")))
+    finite = (d.isNotNull() & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf")))
+              & ~_c(x).cast("string").rlike("[dDfF]\\s*$"))
     return F.when(finite, d).otherwise(F.lit(0.0))
 
 

@@ -67,11 +67,13 @@ def vertex_universe(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dangling_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with an end that is not a vertex id."""
+    """Edges with an end that is not a vertex id, each once (also where both
+    ends are unknown)."""
     e = _edge_columns(edges).filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
     ids = vertices.select("id")
-    bad_src = e.join(ids.withColumnRenamed("id", "src"), "src", "left_anti")
-    bad_dst = e.join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    known_src = ids.withColumnRenamed("id", "src")
+    bad_src = e.join(known_src, "src", "left_anti")
+    bad_dst = e.join(known_src, "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
     return bad_src.unionByName(bad_dst)
 
 

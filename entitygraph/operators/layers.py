@@ -59,8 +59,7 @@ def resident_adjacency(edges: DataFrame, hub_degree: int = 1_000_000, max_hubs:
 
 
 def bfs_layers(graph: Graph, roots: DataFrame, *, broadcast_max_frontier: int = 1_000_000,
-               hub_degree: int = 1_000_000, max_hubs: int = 100_000,
-               max_rounds: int | None = None) -> DataFrame:
+               hub_degree: int = 1_000_000, max_hubs: int = 100_000) -> DataFrame:
     """``(component, id, root, layer)``: undirected BFS distance from each
     component's root, all components at once.
 
@@ -85,7 +84,7 @@ def bfs_layers(graph: Graph, roots: DataFrame, *, broadcast_max_frontier: int =
     done = [cur]
     size = cur.count()
     layer = 0
-    while size > 0 and (max_rounds is None or layer < max_rounds):
+    while size > 0:
         front = cur.select("component", F.col("id").alias("u"),
                            F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"))
         if size <= broadcast_max_frontier:

@@ -34,15 +34,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 def resident_partitions(spark, rows: int, rows_per_partition: int = 2_000_000,
                         partitions: int | None = None) -> int:
-    """Partition count for a table kept resident across rounds: enough for
-    ``rows_per_partition`` rows each, at least the cluster's default
-    parallelism, at most ``spark.sql.shuffle.partitions`` (AQE does not
-    coalesce a cached plan, so the count is chosen here, from a counted size)."""
+    """Partition count for a table kept resident across rounds: one for each
+    ``rows_per_partition`` rows, without an upper limit, and at least the
+    smaller of the default parallelism and ``spark.sql.shuffle.partitions``
+    (AQE does not coalesce a cached plan, so the count is chosen here, from a
+    counted size)."""
     if partitions:
         return int(partitions)
-    upper = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lower = min(upper, spark.sparkContext.defaultParallelism)
-    return max(lower, min(upper, -(-rows // rows_per_partition)))
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(least, -(-rows // rows_per_partition))
 
 
 def bounded_threshold(total_weight: int, floor: int, max_heavy: int) -> int:

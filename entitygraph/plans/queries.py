@@ -75,22 +75,45 @@ def q_graph_counts(spark, d):
     return graph_counts(g.vertices, g.edges)
 
 
-def q_csv_round_trip(spark, d):
+def _csv_back(spark, d):
     g = _trade(spark, d)
     base = scratch_path(spark, "csv-round-trip")
     write_vertices(g.vertices, os.path.join(base, "vertices"))
     write_edges(g.edges, os.path.join(base, "edges"))
-    back = build_graph(read_vertices(spark, os.path.join(base, "vertices")),
-                       read_edges(spark, os.path.join(base, "edges")))
-    return back.vertices
+    return build_graph(read_vertices(spark, os.path.join(base, "vertices"), escaped=True),
+                       read_edges(spark, os.path.join(base, "edges"), escaped=True))
 
 
-def q_json_round_trip(spark, d):
+def q_csv_round_trip(spark, d):
+    return _csv_back(spark, d).vertices
+
+
+def q_csv_edges(spark, d):
+    return _csv_back(spark, d).edges
+
+
+def q_csv_reordered(spark, d):
+    """Columns are found by header name, in any order, and others are ignored."""
+    g = _trade(spark, d)
+    path = scratch_path(spark, "csv-reordered")
+    (g.vertices.select("label", F.lit("ignored").alias("note"), F.col("last_seen").cast("string").alias("last_seen"), "id",
+                       F.col("t").alias("type")).write.option("header", True).option("escape", '"').csv(path))
+    return build_graph(read_vertices(spark, path), g.edges).vertices
+
+
+def _json_back(spark, d):
     g = _web(spark, d)
     base = scratch_path(spark, "json-round-trip")
     write_graph_json(g.vertices.select("id", "label", "t"), g.edges, base)
-    nodes, _ = read_graph_jsonl(spark, base)
-    return nodes.select("id", "label", "t")
+    return read_graph_jsonl(spark, base)
+
+
+def q_json_round_trip(spark, d):
+    return _json_back(spark, d)[0].select("id", "label", "t")
+
+
+def q_json_edges(spark, d):
+    return _json_back(spark, d)[1]
 
 
 def q_vertex_universe(spark, d):
@@ -252,20 +275,36 @@ def q_type_normalised(spark, d):
     return g.vertices.select("id", normalise_type("t").alias("type"))
 
 
-def q_snapshot_round_trip(spark, d):
+def _snapshot_back(spark, d):
     g, nm = _trade_metrics(spark, d)
     path = scratch_path(spark, "snapshot")
     save_snapshot(nm, valid_edges(g.edges, g.vertices), path)
-    nodes, edges = load_snapshot(spark, path)
-    return nodes.select("id", "pr_percent", "pr_temporal_percent")
+    return load_snapshot(spark, path)
 
 
-def q_export_subgraph(spark, d):
+def q_snapshot_round_trip(spark, d):
+    return _snapshot_back(spark, d)[0].select("id", "pr_percent", "pr_temporal_percent")
+
+
+def q_snapshot_edges(spark, d):
+    return _snapshot_back(spark, d)[1]
+
+
+def _exported(spark, d):
     g, nm = _trade_metrics(spark, d)
     nodes, edges = filter_graph(nm, g.edges, "static", FILTER_THRESHOLD)
     path = scratch_path(spark, "export")
     export_subgraph(nodes.select("id", "label", "t", "pr_percent", "pr_temporal_percent"), edges, path)
-    return spark.read.schema("source string, target string").json(os.path.join(path, "links"))
+    return path
+
+
+def q_export_subgraph(spark, d):
+    return spark.read.schema("source string, target string").json(os.path.join(_exported(spark, d), "links"))
+
+
+def q_export_nodes(spark, d):
+    return spark.read.schema("id string, label string, t string, pr_percent double, pr_temporal_percent double").json(
+        os.path.join(_exported(spark, d), "nodes"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -273,6 +312,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edges": q_edges,
     "graph_counts": q_graph_counts,
     "csv_round_trip": q_csv_round_trip,
+    "csv_edges": q_csv_edges,
+    "csv_reordered": q_csv_reordered,
+    "json_edges": q_json_edges,
     "json_round_trip": q_json_round_trip,
     "vertex_universe": q_vertex_universe,
     "valid_edges": q_valid_edges,
@@ -304,6 +346,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sqrt_scale": q_sqrt_scale,
     "type_normalised": q_type_normalised,
     "snapshot_round_trip": q_snapshot_round_trip,
+    "snapshot_edges": q_snapshot_edges,
+    "export_nodes": q_export_nodes,
     "export_subgraph": q_export_subgraph,
 }
 
@@ -354,6 +398,9 @@ ORACLE: dict[str, str] = {
     "edges": _t(body="SELECT src, dst FROM e"),
     "graph_counts": _t(body="SELECT (SELECT count(*) FROM v) AS n_nodes, (SELECT count(*) FROM e) AS n_edges"),
     "csv_round_trip": _t(body="SELECT id, t, label, last_seen FROM v"),
+    "csv_edges": _t(body="SELECT src, dst FROM e"),
+    "csv_reordered": _t(body="SELECT id, t, label, last_seen FROM v"),
+    "json_edges": _w(body="SELECT src, dst FROM e"),
     "json_round_trip": _w(body="SELECT id, label, t FROM v"),
     "vertex_universe": O.with_ctes(O.WEB_CTES) + """
 SELECT DISTINCT id FROM (SELECT id FROM raw_v UNION ALL SELECT src FROM raw_e UNION ALL SELECT dst FROM raw_e)
@@ -362,7 +409,7 @@ WHERE id IS NOT NULL""",
 SELECT src, dst FROM all_e WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)"""),
     "dangling_edges": _t(f"all_e AS (SELECT src, dst FROM raw_e UNION ALL {_ORDER_EDGES})", body="""
 SELECT src, dst FROM all_e WHERE src NOT IN (SELECT id FROM v)
-UNION ALL SELECT src, dst FROM all_e WHERE dst NOT IN (SELECT id FROM v)"""),
+UNION ALL SELECT src, dst FROM all_e WHERE src IN (SELECT id FROM v) AND dst NOT IN (SELECT id FROM v)"""),
     "degrees": _w("pairs AS (SELECT src, dst, count(*) AS mult FROM e GROUP BY src, dst)", body="""
 SELECT v.id,
        CAST(coalesce(o.oe, 0) AS BIGINT) AS out_degree, CAST(coalesce(i.ie, 0) AS BIGINT) AS in_degree,
@@ -455,6 +502,8 @@ SELECT id, round(5.0 + 23.0 * sqrt(pr_percent / coalesce(nullif((SELECT max(pr_p
     "type_normalised": _t(body="""
 SELECT id, CASE WHEN lower(t) IN ('domain', 'ip', 'cert', 'hash') THEN lower(t) ELSE 'other' END AS type FROM v"""),
     "snapshot_round_trip": _t(_PR, _NM30, body="SELECT id, pr_percent, pr_temporal_percent FROM nm"),
+    "snapshot_edges": _t(body="SELECT src, dst FROM e"),
+    "export_nodes": _t(_PR, _NM30, body=f"SELECT id, label, t, pr_percent, pr_temporal_percent FROM nm WHERE pr_percent >= {FILTER_THRESHOLD!r}"),
     "export_subgraph": _t(_PR, _NM30, f"kept AS (SELECT id FROM nm WHERE pr_percent >= {FILTER_THRESHOLD!r})",
                           body="""
 SELECT src AS source, dst AS target FROM e WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)"""),

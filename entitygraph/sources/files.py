@@ -12,51 +12,77 @@ from pyspark.sql.utils import AnalysisException
 from ..schema import EDGE_CSV, GRAPH_DOC, VERTEX_CSV
 
 
-def _reader(spark: SparkSession, fmt: str, schema):
-    r = spark.read.schema(schema)
-    if fmt == "csv":
-        r = r.option("header", True).option("mode", "PERMISSIVE")
-    return r
-
-
-def read_vertices(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Vertex table ``id, type, label, last_seen`` (all text) as
-    ``id, t, label, last_seen``; empty CSV cells read as null."""
+def _csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """CSV columns by header name, all text.  Files of one directory whose
+    headers differ make the read fail rather than mix up columns."""
+    raw = (spark.read.option("header", True).option("enforceSchema", False).option("escape", '"')
+           .option("mode", "PERMISSIVE").csv(path))
+    missing = [c for c in required if c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} in the header {raw.columns}")
+    return raw
+
+
+def _line_breaks(c: str, kept: bool):
+    """Line breaks as text, so that a written file still splits by lines."""
+    if not kept:
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), "\n", r"\\n"), "\r", r"\\r").alias(c)
+    marked = F.regexp_replace(F.col(c), r"\\\\", "\u0000")
+    marked = F.regexp_replace(F.regexp_replace(marked, r"\\n", "\n"), r"\\r", "\r")
+    return F.regexp_replace(marked, "\u0000", r"\\").alias(c)
+
+
+def read_vertices(spark: SparkSession, path: str, fmt: str = "csv", escaped: bool = False) -> DataFrame:
+    """Vertex table ``id, type, label, last_seen`` as ``id, t, label,
+    last_seen``, all text; empty CSV cells read as null.
+
+    CSV columns are found by header name, in any order; ``type`` may be called
+    ``t``, all but ``id`` may be missing (null) and others are ignored.
+    ``escaped``: the files were written by :func:`write_vertices`, which keeps
+    line breaks as ``\\n`` and ``\\r``.
+    """
     if fmt == "parquet":
         raw = spark.read.parquet(path)
-        cols = {c: F.col(c).cast("string") for c in ["id", "type", "t", "label", "last_seen"] if c in raw.columns}
+    elif fmt == "csv":
+        raw = _csv(spark, path, ["id"])
     else:
-        raw = _reader(spark, fmt, VERTEX_CSV).format(fmt).load(path)
-        cols = {c: F.col(c) for c in raw.columns}
-    t = cols.get("t", cols.get("type", F.lit(None).cast("string")))
-    return raw.select(cols["id"].alias("id"), t.alias("t"),
-                      cols.get("label", F.lit(None).cast("string")).alias("label"),
-                      cols.get("last_seen", F.lit(None).cast("string")).alias("last_seen"))
+        raw = spark.read.schema(VERTEX_CSV).format(fmt).load(path)
+    text = lambda c: F.col(c).cast("string") if c in raw.columns else F.lit(None).cast("string")
+    t = text("t") if "t" in raw.columns else text("type")
+    out = raw.select(text("id").alias("id"), t.alias("t"), text("label").alias("label"), text("last_seen").alias("last_seen"))
+    return out.select(*[_line_breaks(c, True) for c in ("id", "t", "label")], "last_seen") if escaped else out
 
 
-def read_edges(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Edge table ``src, dst``."""
+def read_edges(spark: SparkSession, path: str, fmt: str = "csv", escaped: bool = False) -> DataFrame:
+    """Edge table ``src, dst`` (CSV: by header name)."""
     if fmt == "parquet":
         raw = spark.read.parquet(path)
+    elif fmt == "csv":
+        raw = _csv(spark, path, ["src", "dst"])
     else:
-        raw = _reader(spark, fmt, EDGE_CSV).format(fmt).load(path)
-    return raw.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+        raw = spark.read.schema(EDGE_CSV).format(fmt).load(path)
+    out = raw.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    return out.select(_line_breaks("src", True), _line_breaks("dst", True)) if escaped else out
 
 
 def write_vertices(vertices: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
-    """Write ``id, type, label, last_seen`` with a header (CSV) or as given."""
+    """Write ``id, type, label, last_seen`` with a header (CSV, line breaks
+    escaped: read it with ``escaped=True``) or as given."""
     out = vertices.select("id", F.col("t").alias("type"), "label", F.col("last_seen").cast("string").alias("last_seen"))
-    w = out.write.mode(mode)
     if fmt == "csv":
-        w = w.option("header", True)
-    w.format(fmt).save(path)
+        out.select(*[_line_breaks(c, False) for c in ("id", "type", "label")], "last_seen").write.mode(mode).option(
+            "header", True).option("escape", '"').csv(path)
+    else:
+        out.write.mode(mode).format(fmt).save(path)
 
 
 def write_edges(edges: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
-    w = edges.select("src", "dst").write.mode(mode)
+    out = edges.select("src", "dst")
     if fmt == "csv":
-        w = w.option("header", True)
-    w.format(fmt).save(path)
+        out.select(_line_breaks("src", False), _line_breaks("dst", False)).write.mode(mode).option(
+            "header", True).option("escape", '"').csv(path)
+    else:
+        out.write.mode(mode).format(fmt).save(path)
 
 
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -92,26 +118,13 @@ def read_graph_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return nodes, edges
 
 
-def export_subgraph(nodes: DataFrame, edges: DataFrame, path: str, single_document: bool = False,
-                    max_document_rows: int = 1_000_000, mode: str = "overwrite") -> None:
-    """Export a (filtered) subgraph with links as flat ``{source, target}`` ids.
-
-    Default: JSON lines written by the executors.  ``single_document=True``
-    writes one ``{nodes, links}`` document (the demo format); that gathers the
-    subgraph into one row, so it is refused above ``max_document_rows``.
-    """
+def export_subgraph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Export a (filtered) subgraph with links as flat ``{source, target}``
+    ids: JSON lines under ``path/nodes`` and ``path/links``, written by the
+    executors whatever the size."""
     links = edges.select(F.col("src").alias("source"), F.col("dst").alias("target"))
-    if not single_document:
-        nodes.write.mode(mode).json(os.path.join(path, "nodes"))
-        links.write.mode(mode).json(os.path.join(path, "links"))
-        return
-    n = nodes.count() + links.count()
-    if n > max_document_rows:
-        raise ValueError(f"subgraph has {n} rows; single documents are limited to {max_document_rows}")
-    node_doc = nodes.agg(F.collect_list(F.struct(*nodes.columns)).alias("nodes"))
-    link_doc = links.agg(F.collect_list(F.struct("source", "target")).alias("links"))
-    doc = node_doc.select("nodes", link_doc.select("links").scalar().alias("links"))
-    doc.coalesce(1).write.mode(mode).json(path)
+    nodes.write.mode(mode).json(os.path.join(path, "nodes"))
+    links.write.mode(mode).json(os.path.join(path, "links"))
 
 
 def save_snapshot(nodes: DataFrame, edges: DataFrame, path: str) -> None:

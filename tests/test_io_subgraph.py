@@ -63,13 +63,10 @@ def test_snapshot_and_export(spark):
     n2, e2 = eg.load_snapshot(spark, os.path.join(d, "snap"))
     assert n2.count() == 34 and e2.count() == 37
     kept, kept_e = eg.filter_graph(n2, e2, "static", 2.7)
-    eg.export_subgraph(kept, kept_e, os.path.join(d, "doc"), single_document=True)
-    files = [f for f in os.listdir(os.path.join(d, "doc")) if f.endswith(".json")]
-    doc = json.loads(open(os.path.join(d, "doc", files[0])).read())
-    assert len(doc["nodes"]) == kept.count() and len(doc["links"]) == kept_e.count()
-    assert set(doc["links"][0]) == {"source", "target"}
-    with pytest.raises(ValueError):
-        eg.export_subgraph(kept, kept_e, os.path.join(d, "doc2"), single_document=True, max_document_rows=3)
+    eg.export_subgraph(kept, kept_e, os.path.join(d, "doc"))
+    links = spark.read.json(os.path.join(d, "doc", "links"))
+    assert set(links.columns) == {"source", "target"} and links.count() == kept_e.count()
+    assert spark.read.json(os.path.join(d, "doc", "nodes")).count() == kept.count()
     eg.write_graph_json(n2, e2, os.path.join(d, "jl"))
     from entitygraph.sources.files import read_graph_jsonl
     n3, e3 = read_graph_jsonl(spark, os.path.join(d, "jl"))
@@ -138,3 +135,28 @@ def test_scalar_functions(spark, f1m):
     nums = spark.createDataFrame([("1.5",), ("NaN",), ("Infinity",), (None,), ("x",)], "v string")
     assert [r[0] for r in nums.select(eg.to_number("v")).collect()] == [1.5, 0.0, 0.0, 0.0, 0.0]
     assert eg.metric_column("temporal") == "pr_temporal_percent" and eg.metric_column("x") == "pr_percent"
+
+
+def test_csv_by_header_name(spark):
+    d = _tmp()
+    with open(os.path.join(d, "v.csv"), "w") as fh:
+        fh.write("label,id,extra,last_seen,t\n\"say \"\"hi\"\", a\",x,1,2024-03-01,ip\n")
+    with open(os.path.join(d, "e.csv"), "w") as fh:
+        fh.write("dst,note,src\ny,n,x\n")
+    assert [tuple(r) for r in eg.read_vertices(spark, os.path.join(d, "v.csv")).collect()] == [
+        ("x", "ip", 'say "hi", a', "2024-03-01")]
+    assert [tuple(r) for r in eg.read_edges(spark, os.path.join(d, "e.csv")).collect()] == [("x", "y")]
+    with pytest.raises(ValueError):
+        eg.read_vertices(spark, os.path.join(d, "e.csv"))
+    from entitygraph.sources.files import write_vertices
+    odd = spark.createDataFrame([("a", "ip", "two\nlines, \"q\" \\n", None)], "id string, t string, label string, last_seen date")
+    write_vertices(odd, os.path.join(d, "out"))
+    back = eg.read_vertices(spark, os.path.join(d, "out"), escaped=True).collect()
+    assert [tuple(r) for r in back] == [("a", "ip", "two\nlines, \"q\" \\n", None)]
+
+
+def test_each_dangling_edge_once(spark):
+    from entitygraph.operators.clean import dangling_edges
+    v = spark.createDataFrame([("a",), ("b",)], "id string")
+    e = spark.createDataFrame([("x", "y"), ("a", "y"), ("x", "b"), ("a", "b")], "src string, dst string")
+    assert sorted(map(tuple, dangling_edges(v, e).collect())) == [("a", "y"), ("x", "b"), ("x", "y")]

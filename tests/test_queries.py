@@ -7,7 +7,7 @@ import decimal
 import duckdb
 import pytest
 
-import __spark_entry__ as E
+from entitygraph.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -32,16 +32,16 @@ def _norm(v):
 
 
 def test_every_query_has_oracle():
-    assert set(E.oracle_sql()) <= set(E.queries())
-    missing = set(E.queries()) - set(E.oracle_sql())
+    assert set(ORACLE) <= set(QUERIES)
+    missing = set(QUERIES) - set(ORACLE)
     assert missing == set(), missing
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     rows = [tuple(_norm(x) for x in r) for r in df.collect()]
-    rel = con.sql(E.oracle_sql()[name])
+    rel = con.sql(ORACLE[name])
     assert sorted(df.columns) == sorted(rel.columns)
     idx = [rel.columns.index(c) for c in df.columns]
     want = [tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()]
