@@ -4,7 +4,7 @@
 ``generate``  vertex + edge files -> node metrics + valid edges, kept as the
               current snapshot (parquet) and optionally as JSON lines.
 ``export``    the snapshot -> filtered subgraph (mode + threshold), written
-              as JSON lines or one ``{nodes, links}`` document.
+              as JSON lines.
 """
 
 from __future__ import annotations

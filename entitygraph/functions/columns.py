@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import (METRICS, OTHER_TYPE, PERCENT_DECIMALS, SIZE_MAX, SIZE_MIN,
@@ -90,8 +90,3 @@ def display_type(t) -> Column:
 
 def edge_key(src="src", dst="dst") -> Column:
     return F.concat_ws("->", _c(src), _c(dst))
-
-
-def total_of(df: DataFrame, col: str) -> Column:
-    """Scalar-subquery total of a column: no cross join, no driver fetch."""
-    return df.agg(F.sum(col)).scalar()

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_date
+from ..plans.iterate import cut, known_ends, salted_join
 
 _NULL_DATE_KEY = 2 ** 31 - 1
 
@@ -72,8 +73,9 @@ def dangling_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     e = _edge_columns(edges).filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
     ids = vertices.select("id")
     known_src = ids.withColumnRenamed("id", "src")
-    bad_src = e.join(known_src, "src", "left_anti")
-    bad_dst = e.join(known_src, "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    bad_src = salted_join(e, known_src, "src", "dst", "left_anti")
+    good_src = salted_join(e, known_src, "src", "dst", "left_semi")
+    bad_dst = salted_join(good_src, ids.withColumnRenamed("id", "dst"), "dst", "src", "left_anti", counted=e)
     return bad_src.unionByName(bad_dst)
 
 
@@ -81,13 +83,10 @@ def valid_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """Edges whose two ends are known vertices (duplicates kept).
 
     Two ``left_semi`` joins: the id side is a key set, so no row of the edge
-    table is multiplied; AQE splits a skewed edge partition if needed.
+    table is multiplied; the edges of a hot end are spread over salts.
     """
     e = _edge_columns(edges).filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
-    ids = vertices.select("id")
-    return (e.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-             .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-             .select("src", "dst"))
+    return known_ends(e, vertices)
 
 
 def build_graph(raw_vertices: DataFrame, raw_edges: DataFrame, dangling: str = "drop",
@@ -102,7 +101,6 @@ def build_graph(raw_vertices: DataFrame, raw_edges: DataFrame, dangling: str = "
     """
     v = valid_vertices(raw_vertices)
     if materialize:
-        from ..plans.iterate import cut
         v = cut(v)
         g = _build(v, raw_edges, dangling)
         return Graph(g.vertices if dangling != "keep" else cut(g.vertices), cut(g.edges))

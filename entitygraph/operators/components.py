@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.iterate import bounded_threshold, cut, split_hub_join
+from ..plans.iterate import bounded_threshold, cut, release, salted_join, split_hub_join
 from .clean import Graph
 
 
@@ -61,13 +61,15 @@ def connected_components(graph: Graph, *, hub_degree: int = 1_000_000, max_hubs:
         big = ee.select(F.col("a").alias("u"), F.col("b").alias("v"))
         ee1 = cut(split_hub_join(big, mins, "u", "deg", thr, total_weight=n)
                   .select(F.col("v").alias("u"), "m").distinct())          # u > m
+        release(mins)
         # small-star: u and its smaller neighbours are linked to their minimum
         mins2 = cut(ee1.groupBy("u").agg(F.min("m").alias("m2"), F.count(F.lit(1)).alias("deg")))
         j = split_hub_join(ee1, mins2, "u", "deg", thr, total_weight=n)
         ee2 = (j.select(F.col("m2").alias("a"), F.col("m").alias("b")).filter(F.col("a") != F.col("b"))
                 .unionByName(mins2.select(F.col("m2").alias("a"), F.col("u").alias("b")))
                 .distinct())                                                 # a < b
-        ee = cut(ee2)
+        before, ee = ee, cut(ee2)
+        release(before, ee1, mins2)
         n2, h2 = _stats(ee)
         if (n2, h2) == (n, h) and _is_star_forest(ee):
             break
@@ -76,15 +78,17 @@ def connected_components(graph: Graph, *, hub_degree: int = 1_000_000, max_hubs:
         stats["rounds"] = rounds
     labels = (ee.select(F.col("b").alias("id"), F.col("a").alias("component"))
                 .unionByName(ee.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()))
-    return (graph.vertices.select("id").join(labels, "id", "left")
-            .select("id", F.coalesce("component", "id").alias("component")))
+    out = cut(graph.vertices.select("id").join(labels, "id", "left")
+              .select("id", F.coalesce("component", "id").alias("component")))
+    release(ee)
+    return out
 
 
 def with_component_size(components: DataFrame) -> DataFrame:
     """Add ``component_size``: an aggregate joined back on the component key
-    (AQE splits the partition of a very large component)."""
+    (the rows of a very large component are spread over salts)."""
     sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("component_size"))
-    return components.join(sizes, "component").select("id", "component", "component_size")
+    return salted_join(components, sizes, "component", "id").select("id", "component", "component_size")
 
 
 def component_of(components: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -101,7 +105,7 @@ def component_members(components: DataFrame, seeds: DataFrame) -> DataFrame:
     pairs inside a component.
     """
     hit = component_of(components, seeds).select("component").distinct()
-    return components.join(hit, "component", "left_semi").select("component", "id")
+    return salted_join(components, hit, "component", "id", "left_semi").select("component", "id")
 
 
 def component_scores(components: DataFrame, nodes: DataFrame, metric: str = "pr_percent") -> DataFrame:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+import os
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import metric_column, to_number
-from ..plans.iterate import bounded_threshold, cut, dense_index, resident_partitions
+from ..plans.iterate import bounded_threshold, cut, dense_index, release, resident_partitions, salted_join
 from ..schema import LAYOUT_CELL_H, LAYOUT_MIN_CELL_W, LAYOUT_RING_STEP, LAYOUT_TOP
+from ..session import scratch_path
 from .clean import Graph
 from .components import component_roots, component_scores, connected_components
 
@@ -24,9 +26,10 @@ def undirected_adjacency(edges: DataFrame) -> DataFrame:
 
 
 def resident_adjacency(edges: DataFrame, hub_degree: int = 1_000_000, max_hubs: int = 100_000,
-                       partitions: int | None = None) -> DataFrame:
+                       partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(u, salt, v, v_nsalt)``: the undirected adjacency, cached and
-    hash-partitioned on ``(u, salt)`` so repeated joins on ``u`` never move it.
+    hash-partitioned on ``(u, salt)`` so repeated joins on ``u`` never move it;
+    and ``(u, nsalt)`` of its hubs.
 
     A vertex with more than ``threshold`` neighbours is spread over
     ``ceil(deg / threshold)`` salts (``salt = xxhash64(v) mod nsalt``); the
@@ -37,29 +40,27 @@ def resident_adjacency(edges: DataFrame, hub_degree: int = 1_000_000, max_hubs:
     """
     spark = edges.sparkSession
     adj = undirected_adjacency(edges)
-    deg = adj.groupBy("u").agg(F.count(F.lit(1)).alias("deg"))
-    st = deg.agg(F.sum("deg").alias("m"), F.max("deg").alias("top")).first()
-    m, top = int(st["m"] or 0), int(st["top"] or 0)
+    deg = cut(adj.groupBy("u").agg(F.count(F.lit(1)).alias("deg")))
+    m = int(deg.agg(F.sum("deg").alias("m")).first()["m"] or 0)
     threshold = bounded_threshold(m, hub_degree, max_hubs)
     parts = resident_partitions(spark, m, partitions=partitions)
-    if top > threshold:
-        hubs = F.broadcast(deg.filter(F.col("deg") > threshold)
-                           .select("u", F.ceil(F.col("deg") / F.lit(threshold)).cast("int").alias("nsalt")))
-        adj = (adj.join(hubs, "u", "left")
-                  .join(hubs.select(F.col("u").alias("v"), F.col("nsalt").alias("v_nsalt")), "v", "left")
-                  .select("u", F.when(F.col("nsalt").isNull(), F.lit(0))
-                          .otherwise(F.pmod(F.xxhash64("v"), F.col("nsalt"))).cast("int").alias("salt"),
-                          "v", F.coalesce("v_nsalt", F.lit(1)).cast("int").alias("v_nsalt")))
-    else:
-        adj = adj.select("u", F.lit(0).alias("salt"), "v", F.lit(1).alias("v_nsalt"))
+    hubs = cut(deg.filter(F.col("deg") > threshold)
+               .select("u", F.ceil(F.col("deg") / F.lit(threshold)).cast("int").alias("nsalt")))
+    release(deg)
+    few = F.broadcast(hubs)
+    adj = (adj.join(few, "u", "left")
+              .join(few.select(F.col("u").alias("v"), F.col("nsalt").alias("v_nsalt")), "v", "left")
+              .select("u", F.when(F.col("nsalt").isNull(), F.lit(0))
+                      .otherwise(F.pmod(F.xxhash64("v"), F.col("nsalt"))).cast("int").alias("salt"),
+                      "v", F.coalesce("v_nsalt", F.lit(1)).cast("int").alias("v_nsalt")))
     adj = (adj.repartition(parts, "u", "salt").sortWithinPartitions("u", "salt")
               .persist(StorageLevel.MEMORY_AND_DISK))
     adj.count()
-    return adj
+    return adj, hubs
 
 
-def bfs_layers(graph: Graph, roots: DataFrame, *, broadcast_max_frontier: int = 1_000_000,
-               hub_degree: int = 1_000_000, max_hubs: int = 100_000) -> DataFrame:
+def bfs_layers(graph: Graph, roots: DataFrame, *, hub_degree: int = 1_000_000,
+               max_hubs: int = 100_000) -> DataFrame:
     """``(component, id, root, layer)``: undirected BFS distance from each
     component's root, all components at once.
 
@@ -67,58 +68,55 @@ def bfs_layers(graph: Graph, roots: DataFrame, *, broadcast_max_frontier: int =
     d+1, so the next frontier is the neighbours of layer d minus layers d and
     d-1: each round's anti-joins are frontier-sized, never against a growing
     visited set.  The adjacency stays resident (:func:`resident_adjacency`);
-    a frontier below ``broadcast_max_frontier`` rows (counted each round for
-    the stop test anyway) is broadcast against it, a larger one is shuffled
-    to the adjacency's partitioning.  Vertices no root reaches are absent.
+    the frontier is shuffled to its partitioning (or broadcast by the optimizer
+    where it is small in bytes).  Each layer is written as one partition of one
+    table, which the result reads in a single scan whatever the depth.
+    Vertices no root reaches are absent.
     """
-    adj = resident_adjacency(graph.edges, hub_degree, max_hubs)
-    r = roots.select("component", "root")
-    salts = adj.select(F.col("u").alias("id"), F.col("salt")).groupBy("id").agg(
-        (F.max("salt") + 1).alias("nsalt"))
-    start = (r.select("component", F.col("root").alias("id"))
-              .join(salts, "id", "left")
-              .select("component", "id", F.coalesce("nsalt", F.lit(1)).cast("int").alias("nsalt"),
-                      F.lit(0).alias("layer")))
-    cur = cut(start)
-    prev = None
-    done = [cur]
-    size = cur.count()
+    spark = graph.edges.sparkSession
+    adj, hubs = resident_adjacency(graph.edges, hub_degree, max_hubs)
+    table = scratch_path(spark, "layers")
+
+    def written(frontier: DataFrame, depth: int) -> DataFrame:
+        path = os.path.join(table, f"layer={depth}")
+        frontier.write.parquet(path)
+        return spark.read.schema(frontier.schema).parquet(path)
+
+    start = (roots.select("component", "root", F.col("root").alias("id"))
+             .join(F.broadcast(hubs.withColumnRenamed("u", "id")), "id", "left")
+             .select("component", "root", "id", F.coalesce("nsalt", F.lit(1)).cast("int").alias("nsalt")))
     layer = 0
-    while size > 0:
-        front = cur.select("component", F.col("id").alias("u"),
+    prev, cur = None, written(start, layer)
+    while not cur.isEmpty():
+        front = cur.select("component", "root", F.col("id").alias("u"),
                            F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"))
-        if size <= broadcast_max_frontier:
-            front = F.broadcast(front)
-        # id determines component and nsalt: grouping on id alone leaves the
-        # rows hash-partitioned on id, which the anti-joins below reuse
-        nb = (adj.join(front, ["u", "salt"])
-                 .groupBy(F.col("v").alias("id"))
-                 .agg(F.max("component").alias("component"), F.max("v_nsalt").alias("nsalt")))
-        nxt = nb.join(cur.select("id"), "id", "left_anti")
-        if prev is not None:
-            nxt = nxt.join(prev.select("id"), "id", "left_anti")
+        # id determines component, root and nsalt: grouping on id alone leaves
+        # the rows hash-partitioned on id, which the anti-joins below reuse
+        nxt = (adj.join(front, ["u", "salt"])
+                  .groupBy(F.col("v").alias("id"))
+                  .agg(F.max("component").alias("component"), F.max("root").alias("root"),
+                       F.max("v_nsalt").alias("nsalt")))
+        for known in (cur, prev):
+            if known is not None:
+                nxt = nxt.join(known.select("id"), "id", "left_anti")
         layer += 1
-        nxt = cut(nxt.select("component", "id", "nsalt", F.lit(layer).alias("layer")))
-        size = nxt.count()
-        prev, cur = cur, nxt
-        if size:
-            done.append(cur)
+        prev, cur = cur, written(nxt.select("component", "root", "id", "nsalt"), layer)
     adj.unpersist()
-    reached = done[0]
-    for d in done[1:]:
-        reached = reached.unionByName(d)
-    return reached.join(r, "component").select("component", "id", "root", F.col("layer").cast("int"))
+    release(hubs)
+    return (spark.read.schema("component string, root string, id string, layer int").parquet(table)
+            .select("component", "id", "root", "layer"))
 
 
 def layered_components(graph: Graph, nodes: DataFrame, mode: str = "static",
                        components: DataFrame | None = None) -> DataFrame:
     """Components, their roots (highest metric, ties by id) and BFS layers:
-    ``(component, id, root, layer)`` for every vertex."""
+    ``(component, id, root, layer)`` for every vertex (each is reached from the
+    root of its component; ``components`` are those of ``graph``)."""
     comps = components if components is not None else connected_components(graph)
-    roots = component_roots(comps, nodes, metric_column(mode))
-    layers = bfs_layers(graph, roots)
-    out = comps.join(layers.select("id", "layer"), "id", "left").join(roots, "component")
-    return out.select("component", "id", "root", F.coalesce("layer", F.lit(0)).cast("int").alias("layer"))
+    roots = cut(component_roots(comps, nodes, metric_column(mode)))
+    out = bfs_layers(graph, roots)
+    release(roots)
+    return out
 
 
 def organised_layout(graph: Graph, nodes: DataFrame, mode: str = "static", width: float = 1200.0,
@@ -136,7 +134,7 @@ def organised_layout(graph: Graph, nodes: DataFrame, mode: str = "static", width
     m = metric_column(mode)
     comps = components if components is not None else connected_components(graph)
     lay = layered_components(graph, nodes, mode, comps)
-    scores = component_scores(comps, nodes, m)
+    scores = cut(component_scores(comps, nodes, m))
     ranked = dense_index(scores, [F.col("score").desc(), F.col("component").asc()], "cidx")
     n_comp = scores.agg(F.count(F.lit(1))).scalar()
     cols = F.greatest(F.lit(1), F.ceil(F.sqrt(n_comp.cast("double"))))
@@ -152,13 +150,15 @@ def organised_layout(graph: Graph, nodes: DataFrame, mode: str = "static", width
     idx = dense_index(v.select("component", "id", "layer", "m"), order, "gidx")
     groups = idx.groupBy("component", "layer").agg(F.min("gidx").alias("first"),
                                                    F.count(F.lit(1)).alias("k"))
-    slots = idx.join(groups, ["component", "layer"]).select(
-        "component", "id", "layer", (F.col("gidx") - F.col("first")).alias("slot"), "k")
+    # groups are few beside their rows; a big layer's rows are spread over salts
+    places = salted_join(groups, cells, "component", "layer")
+    slots = salted_join(idx.drop("m"), places, ["component", "layer"], "id").withColumn(
+        "slot", F.col("gidx") - F.col("first"))
     angle = F.lit(2 * math.pi) * F.col("slot") / F.greatest(F.col("k"), F.lit(1))
     radius = F.col("layer") * F.lit(LAYOUT_RING_STEP)
     ring = F.col("layer") == 0
     x = F.col("cx") + F.when(ring, F.lit(0.0)).otherwise(radius * F.cos(angle))
     y = F.col("cy") + F.when(ring, F.lit(0.0)).otherwise(radius * F.sin(angle))
-    return slots.join(cells, "component").select(
+    return slots.select(
         "component", "id", "layer", F.col("slot").cast("int").alias("slot"),
         F.round(x, decimals).alias("x"), F.round(y, decimals).alias("y"))

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_date, metric_column, percent_of, recency_weight_col, sqrt_scale_col, to_number
-from ..plans.iterate import cut
+from ..plans.iterate import cut, release
 from ..schema import HALF_LIFE_DAYS, PAGERANK_ITERATIONS, PAGERANK_RESET
-from .clean import Graph, build_graph, valid_edges
+from .clean import Graph, build_graph
 from .pagerank import pagerank
 
 
@@ -25,6 +25,11 @@ def as_percent(df: DataFrame, col: str, name: str) -> DataFrame:
     return df.withColumn(name, percent_of(col, total))
 
 
+def _weight(as_of, half_life_days: float, clamp_future: bool):
+    w = recency_weight_col("last_seen", as_of or _dt.date.today(), half_life_days)
+    return F.least(w, F.lit(1.0)) if clamp_future else w
+
+
 def recency(vertices: DataFrame, as_of=None, half_life_days: float = HALF_LIFE_DAYS,
             clamp_future: bool = False) -> DataFrame:
     """``(id, last_seen, age_days, recency_weight)``.
@@ -36,9 +41,7 @@ def recency(vertices: DataFrame, as_of=None, half_life_days: float = HALF_LIFE_D
     as_of = as_of or _dt.date.today()
     seen = as_date("last_seen")
     age = F.datediff(F.lit(str(as_of)).cast("date"), seen)
-    w = recency_weight_col("last_seen", as_of, half_life_days)
-    if clamp_future:
-        w = F.least(w, F.lit(1.0))
+    w = _weight(as_of, half_life_days, clamp_future)
     return vertices.select("id", seen.alias("last_seen"), age.alias("age_days"), w.alias("recency_weight"))
 
 
@@ -52,13 +55,15 @@ def node_metrics(graph: Graph, as_of=None, half_life_days: float = HALF_LIFE_DAY
     The joined table is materialised once so that both totals (scalar
     subqueries) read |V| materialised rows instead of recomputing the job.
     """
+    own = None
     if ranks is None:
-        ranks = pagerank(graph.vertices, graph.edges, iterations, reset, **pr_options)
-    rec = recency(graph.vertices, as_of, half_life_days, clamp_future).select("id", "recency_weight")
-    m = (graph.vertices.join(ranks, "id", "left").join(rec, "id", "left")
+        own = ranks = pagerank(graph.vertices, graph.edges, iterations, reset, **pr_options)
+    m = (graph.vertices.join(ranks, "id", "left")
+         .withColumn("recency_weight", _weight(as_of, half_life_days, clamp_future))
          .withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0)))
          .withColumn("pagerank_temporal", F.col("pagerank") * F.col("recency_weight")))
     m = cut(m)
+    release(own)
     m = as_percent(m, "pagerank", "pr_percent")
     m = as_percent(m, "pagerank_temporal", "pr_temporal_percent")
     return m.select("id", "label", "t", "last_seen", "pagerank", "pr_percent",
@@ -69,11 +74,12 @@ def compute_graph(raw_vertices: DataFrame, raw_edges: DataFrame, half_life_days:
                   as_of=None, dangling: str = "drop", **options) -> tuple[DataFrame, DataFrame]:
     """The full job: raw tables -> ``(nodes, edges)``.
 
-    ``nodes``: node metric table; ``edges``: ``src, dst`` with both ends known.
+    ``nodes``: node metric table; ``edges``: ``src, dst`` with both ends known
+    (by any of the policies).  The cleaned tables are written once, so the raw
+    files are parsed once.
     """
-    g = build_graph(raw_vertices, raw_edges, dangling)
-    nodes = node_metrics(g, as_of=as_of, half_life_days=half_life_days, **options)
-    return nodes, valid_edges(g.edges, g.vertices)
+    g = build_graph(raw_vertices, raw_edges, dangling, materialize=True)
+    return node_metrics(g, as_of=as_of, half_life_days=half_life_days, **options), g.edges
 
 
 def node_payload(nodes: DataFrame, with_last_seen: bool = True) -> DataFrame:

@@ -19,8 +19,8 @@ Physical plan per round (the edge table never moves after setup):
   partitions; contributions are summed per target with a map-side partial
   aggregate (a target receiving a third of all edges is combined before the
   shuffle); vertices without in-edges come in through the same aggregate.
-* when the vertex count is below ``broadcast_max_vertices`` (a checked
-  count), the message table is broadcast instead and nothing is salted.
+* one plan at every size; the optimizer may broadcast a message table that is
+  small in bytes (``spark.sql.autoBroadcastJoinThreshold``).
 * every ``checkpoint_every`` rounds the ranks are cut with a written table
   in the shared checkpoint folder (``plans.iterate.cut``).
 """
@@ -31,7 +31,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.iterate import bounded_threshold, cut, resident_partitions
+from ..plans.iterate import bounded_threshold, cut, release, resident_partitions
 from ..schema import PAGERANK_ITERATIONS, PAGERANK_RESET
 
 
@@ -40,9 +40,32 @@ def out_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("outdeg"))
 
 
+def resident_weights(edges: DataFrame, state: DataFrame, partitions: int) -> DataFrame:
+    """``(src, salt, dst, mult)``, cached for all rounds, hash-partitioned on
+    ``(src, salt)`` and sorted by it.
+
+    One shuffle of the raw edges; the aggregate reuses its partitioning and the
+    cached table keeps it (AQE leaves an explicit partition count alone), so
+    every round's join finds the edges clustered and only the messages move.
+    The salt is a computed column also where no source is hot: a constant would
+    be folded out of the partitioning, and every round would move the edges.
+    The lineage is one shuffle away from the (materialised) inputs, so a lost
+    block is rebuilt cheaply.
+    """
+    hubs = F.broadcast(state.filter(F.col("nsalt") > 1).select(F.col("id").alias("src"), "nsalt"))
+    salt = F.when(F.col("nsalt").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("dst"), F.col("nsalt")))
+    weights = (edges.join(hubs, "src", "left").select("src", salt.cast("int").alias("salt"), "dst")
+               .repartition(partitions, "src", "salt")
+               .groupBy("src", "salt", "dst").agg(F.count(F.lit(1)).alias("mult"))
+               .sortWithinPartitions("src", "salt")          # merge join reads it in order
+               .persist(StorageLevel.MEMORY_AND_DISK))
+    weights.count()        # fill the cache once, before rounds that would race to build it
+    return weights
+
+
 def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_ITERATIONS,
              reset: float = PAGERANK_RESET, *, hub_out_degree: int = 1_000_000,
-             max_hubs: int = 100_000, broadcast_max_vertices: int = 500_000,
+             max_hubs: int = 100_000,
              partitions: int | None = None, checkpoint_every: int = 5, raw: bool = False) -> DataFrame:
     """``(id, pagerank)`` for every vertex id (ids unique; edge ends must be
     vertex ids, as :func:`entitygraph.build_graph` guarantees).
@@ -58,53 +81,27 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_I
              .join(out_degrees(e).withColumnRenamed("src", "id"), "id", "left")
              .select("id", F.coalesce("outdeg", F.lit(0)).cast("long").alias("outdeg")))
     state = cut(state)
-    totals = state.agg(F.count(F.lit(1)).alias("n"), F.sum("outdeg").alias("m"),
-                       F.max("outdeg").alias("top")).first()
-    n_vertices, n_edges, top = int(totals["n"]), int(totals["m"] or 0), int(totals["top"] or 0)
+    totals = state.agg(F.count(F.lit(1)).alias("n"), F.sum("outdeg").alias("m")).first()
+    n_vertices, n_edges = int(totals["n"]), int(totals["m"] or 0)
 
     parts = resident_partitions(spark, n_edges, partitions=partitions)
-    use_broadcast = n_vertices <= broadcast_max_vertices
-    if use_broadcast:
-        state = state.withColumn("nsalt", F.lit(1).cast("int"))
-        weights = e.repartition(parts, "src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("mult"))
-    else:
-        threshold = bounded_threshold(n_edges, hub_out_degree, max_hubs)
-        nsalt = F.when(F.col("outdeg") > threshold,
-                       F.ceil(F.col("outdeg") / F.lit(threshold))).otherwise(F.lit(1))
-        state = state.withColumn("nsalt", nsalt.cast("int"))
-        if top > threshold:
-            hubs = state.filter(F.col("nsalt") > 1).select(F.col("id").alias("src"), "nsalt")
-            salted = (e.join(F.broadcast(hubs), "src", "left")
-                       .withColumn("salt", F.when(F.col("nsalt").isNull(), F.lit(0))
-                                   .otherwise(F.pmod(F.xxhash64("dst"), F.col("nsalt"))).cast("int")))
-        else:                                   # no hub: nothing to broadcast
-            salted = e.withColumn("salt", F.lit(0))
-        # one shuffle of the raw edges; the aggregate reuses the (src, salt)
-        # partitioning, and the cached table keeps it (a cached plan's output
-        # partitioning is not changed by AQE), so every round's join finds
-        # the edge side already clustered and only the messages move
-        weights = (salted.repartition(parts, "src", "salt")
-                   .groupBy("src", "salt", "dst").agg(F.count(F.lit(1)).alias("mult"))
-                   .sortWithinPartitions("src", "salt"))     # merge join reads it in order
-
-    # resident edge table for all rounds; its lineage is one shuffle away
-    # from the (materialised) inputs, so a lost block is rebuilt cheaply
-    weights = weights.persist(StorageLevel.MEMORY_AND_DISK)
-    weights.count()        # fill the cache once, before rounds that would race to build it
+    threshold = bounded_threshold(n_edges, hub_out_degree, max_hubs)
+    nsalt = F.when(F.col("outdeg") > threshold,
+                   F.ceil(F.col("outdeg") / F.lit(threshold))).otherwise(F.lit(1))
+    degrees = state
+    state = degrees.withColumn("nsalt", nsalt.cast("int"))
+    weights = resident_weights(e, state, parts)
+
     keep = 1.0 - reset
     ranks = state.select("id", "outdeg", "nsalt", F.lit(1.0).alias("r"))
     base = state.select("id", "outdeg", "nsalt", F.lit(0.0).alias("c"))
-    done = 0
+    done, written = 0, None
     for _ in range(iterations):
         senders = ranks.filter(F.col("outdeg") > 0)
-        if use_broadcast:
-            msgs = senders.select(F.col("id").alias("src"), (F.col("r") / F.col("outdeg")).alias("msg"))
-            contrib = weights.join(F.broadcast(msgs), "src")
-        else:
-            msgs = senders.select(F.col("id").alias("src"),
-                                  F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"),
-                                  (F.col("r") / F.col("outdeg")).alias("msg"))
-            contrib = weights.join(msgs, ["src", "salt"])
+        msgs = senders.select(F.col("id").alias("src"),
+                              F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"),
+                              (F.col("r") / F.col("outdeg")).alias("msg"))
+        contrib = weights.join(msgs, ["src", "salt"])
         incoming = contrib.select(F.col("dst").alias("id"), F.lit(None).cast("long").alias("outdeg"),
                                   F.lit(None).cast("int").alias("nsalt"),
                                   (F.col("mult") * F.col("msg")).alias("c"))
@@ -114,11 +111,17 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_I
         done += 1
         if done % max(1, checkpoint_every) == 0 or done == iterations:
             ranks = cut(ranks)
+            release(written)
+            written = ranks
 
     weights.unpersist()
+    if written is not None:
+        release(degrees)
     total = ranks.agg(F.sum("r")).scalar()
     scaled = F.try_divide(F.col("r") * F.lit(float(n_vertices)), total)
     cols = [F.col("id"), scaled.alias("pagerank")]
     if raw:
         cols.append(F.col("r").alias("raw_rank"))
-    return ranks.select(*cols)
+    out = ranks.select(*cols)
+    out._scratch = getattr(written, "_scratch", None)     # what release() of the result deletes
+    return out

@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.iterate import known_ends
 from .clean import Graph
-from .components import connected_components
+from .layers import bfs_layers
 
 
 def search(nodes: DataFrame, query: str, first: bool = True) -> DataFrame:
@@ -27,13 +28,15 @@ def search(nodes: DataFrame, query: str, first: bool = True) -> DataFrame:
 
 def focus(graph: Graph, nodes: DataFrame, query: str,
           components: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(nodes, edges)`` of the first match's component; empty when no match."""
-    comps = components if components is not None else connected_components(graph)
+    """``(nodes, edges)`` of the first match's component; empty when no match.
+
+    Without ``components`` the component is walked from the match alone (BFS),
+    the rest of the graph is not labelled.
+    """
     match = search(nodes, query, first=True).select("id")
-    target = F.broadcast(match.join(comps, "id").select("component"))     # at most one row
-    members = comps.join(target, "component", "left_semi").select("id")
-    kept = nodes.join(members, "id", "left_semi")
-    ids = members.select("id")
-    edges = (graph.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-                        .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    return kept, edges.select("src", "dst")
+    if components is None:
+        members = bfs_layers(graph, match.select(F.col("id").alias("component"), F.col("id").alias("root"))).select("id")
+    else:
+        target = F.broadcast(match.join(components, "id").select("component"))     # at most one row
+        members = components.join(target, "component", "left_semi").select("id")
+    return nodes.join(members, "id", "left_semi"), known_ends(graph.edges, members)

@@ -8,21 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import display_label, display_type, metric_column, percent_text, to_number
+from ..plans.iterate import known_ends, salted_join
 
 
 def induced_edges(edges: DataFrame, kept: DataFrame) -> DataFrame:
     """Edges with both ends in ``kept.id`` (duplicates kept)."""
-    ids = kept.select("id")
-    return (edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-                 .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-                 .select("src", "dst"))
+    return known_ends(edges, kept)
 
 
 def filter_graph(nodes: DataFrame, edges: DataFrame, mode: str = "static",
                  threshold: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Nodes with ``metric >= threshold`` (inclusive; junk metric reads as 0)
-    and the edges between them."""
+    and the edges between them.  A positive threshold is first asked of a
+    stored double as it is, so that it reaches the scan of a saved snapshot."""
     m = metric_column(mode)
+    if threshold > 0 and dict(nodes.dtypes)[m] == "double":
+        nodes = nodes.filter(F.col(m) >= F.lit(float(threshold)))
     kept = (nodes.withColumn("pr_percent", to_number("pr_percent"))
                  .withColumn("pr_temporal_percent", to_number("pr_temporal_percent"))
                  .filter(F.col(m) >= F.lit(float(threshold))))
@@ -61,7 +62,7 @@ def _seed_frame(spark, seeds) -> DataFrame:
         return seeds.select(F.col(seeds.columns[0]).cast("string").alias("seed")).distinct()
     if isinstance(seeds, str):
         seeds = [seeds]
-    return F.broadcast(spark.createDataFrame([(s,) for s in seeds], "seed string"))
+    return spark.createDataFrame([(s,) for s in seeds], "seed string").distinct()
 
 
 def ego_network(nodes: DataFrame, edges: DataFrame, seeds) -> tuple[DataFrame, DataFrame]:
@@ -73,10 +74,11 @@ def ego_network(nodes: DataFrame, edges: DataFrame, seeds) -> tuple[DataFrame, D
     """
     s = _seed_frame(nodes.sparkSession, seeds)
     known = s.join(nodes.select(F.col("id").alias("seed")), "seed", "left_semi")
-    out = edges.join(known.withColumnRenamed("seed", "src"), "src", "left_semi") \
-               .select(F.col("src").alias("seed"), "src", "dst")
-    inc = edges.join(known.withColumnRenamed("seed", "dst"), "dst", "left_semi") \
-               .select(F.col("dst").alias("seed"), "src", "dst")
+    edges = edges.select("src", "dst")
+    out = (salted_join(edges, known.withColumnRenamed("seed", "src"), "src", "dst", "left_semi")
+           .select(F.col("src").alias("seed"), "src", "dst"))
+    inc = (salted_join(edges, known.withColumnRenamed("seed", "dst"), "dst", "src", "left_semi")
+           .select(F.col("dst").alias("seed"), "src", "dst"))
     ego_edges = out.unionByName(inc.filter(F.col("src") != F.col("dst")))
     ego_nodes = (known.select("seed", F.col("seed").alias("id"))
                  .unionByName(out.select("seed", F.col("dst").alias("id")))
@@ -104,4 +106,4 @@ def neighbour_details(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     idx = neighbour_index(edges)
     info = nodes.select(F.col("id").alias("nbr"), display_label("label", "id").alias("nbr_label"),
                         F.coalesce(F.nullif(F.lower(F.col("t")), F.lit("")), F.lit("-")).alias("nbr_type"))
-    return idx.join(info, "nbr").select("id", "direction", "nbr", "nbr_label", "nbr_type")
+    return salted_join(idx, info, "nbr", "id").select("id", "direction", "nbr", "nbr_label", "nbr_type")

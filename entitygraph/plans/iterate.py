@@ -1,7 +1,10 @@
 """Helpers shared by the iterative operators.
 
 * :func:`cut` materialises a frame as a written table (shared folder,
-  survives executor loss) and returns a frame with a one-node lineage.
+  survives executor loss) and returns a frame with a one-node lineage;
+  :func:`release` deletes such a table once its successor is written.
+* :func:`salted_join` joins a large table to a per-key table and spreads the
+  rows of hot keys over salts, without an action and without relying on AQE.
 * :func:`split_hub_join` joins a large table to a per-key table where a few
   keys may carry a large share of the rows: heavy keys go through a
   broadcast whose row count is bounded by construction, the rest through a
@@ -17,9 +20,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import remove_path, scratch_path
 
 _POS_MASK = (1 << 33) - 1
+#: A key with more rows than this is spread over salts of about so many rows.
+HOT_ROWS = 1_000_000
+#: So many of the heaviest keys are spread: the bound of the broadcast.
+MAX_HOT = 100_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,7 +36,53 @@ def cut(df: DataFrame) -> DataFrame:
     plan baggage from the rounds before it (a scan of files, nothing else)."""
     path = scratch_path(df.sparkSession, "cut")
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete the tables of frames made by :func:`cut`: call it when all that
+    reads them is written.  Other frames are left alone."""
+    for f in frames:
+        path = getattr(f, "_scratch", None) if f is not None else None
+        if path:
+            remove_path(f.sparkSession, path)
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: str | list[str], spread: str, how: str = "inner",
+                counted: DataFrame | None = None) -> DataFrame:
+    """Join ``big`` to ``small`` (at most one row per key) on ``on``; ``how`` is
+    ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+
+    The :data:`MAX_HOT` heaviest keys with more than :data:`HOT_ROWS` rows of
+    ``big`` (partial aggregate; ties by key) are spread over
+    ``ceil(rows / HOT_ROWS)`` salts by a hash of the column ``spread``, and
+    their rows of ``small`` are repeated once per salt.  Every other key has at
+    most ``max(HOT_ROWS, |big| / MAX_HOT)`` rows.  The table of hot keys is
+    broadcast and has at most ``MAX_HOT`` rows.  Rows equal in ``spread`` share
+    a salt.  ``counted``: a table whose rows per key are at least those of
+    ``big`` (what ``big`` was derived from), to count that one instead.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    rows = F.col("__rows")
+    hot = F.broadcast((big if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+                      .filter(rows > F.lit(HOT_ROWS)).orderBy(rows.desc(), *keys).limit(MAX_HOT)
+                      .select(*keys, F.ceil(rows / F.lit(HOT_ROWS)).cast("int").alias("__salts")))
+    salt = F.when(F.col("__salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col("__salts")))
+    left = big.join(hot, keys, "left").select(*big.columns, salt.cast("int").alias("__salt"))
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)).alias("__salt")
+    right = small.join(hot, keys, "left").select(*small.columns, each)
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
+
+
+def known_ends(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(src, dst)`` rows of ``edges`` whose two ends are in ``ids.id``
+    (duplicates kept): two semi joins with hot ends spread over salts."""
+    ids = ids.select("id")
+    src_known = salted_join(edges.select("src", "dst"), ids.withColumnRenamed("id", "src"), "src", "dst", "left_semi")
+    return salted_join(src_known, ids.withColumnRenamed("id", "dst"), "dst", "src", "left_semi",
+                       counted=edges).select("src", "dst")
 
 
 def resident_partitions(spark, rows: int, rows_per_partition: int = 2_000_000,

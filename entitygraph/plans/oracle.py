@@ -51,17 +51,21 @@ raw_e AS (
 
 # cleaned graph over raw_v / raw_e: dedupe ids (newest last_seen, then t,
 # label), drop null ids, keep edges whose two ends are vertices
-CLEAN_CTES = """
+def clean_ctes(raw_v: str = "raw_v", raw_e: str = "raw_e") -> str:
+    return f"""
 v AS (
-  SELECT id, t, label, last_seen FROM raw_v WHERE id IS NOT NULL
+  SELECT id, t, label, last_seen FROM {raw_v} WHERE id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_seen DESC NULLS LAST, t NULLS FIRST, label NULLS FIRST) = 1
 ),
 e AS (
-  SELECT src, dst FROM raw_e
+  SELECT src, dst FROM {raw_e}
   WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)
 )"""
 
 
+CLEAN_CTES = clean_ctes()
+
+
 def pagerank_ctes(iterations: int = PAGERANK_ITERATIONS, reset: float = PAGERANK_RESET) -> str:
     """``pr(id, pagerank)`` over ``v``/``e``: the rounds unrolled as CTEs."""
     keep = 1.0 - reset
@@ -107,11 +111,11 @@ reach(s, id) AS (SELECT id, id FROM v UNION SELECT r.s, u.b FROM reach r JOIN un
 comp AS (SELECT s AS id, min(id) AS component FROM reach GROUP BY s)"""
 
 
-def label_propagation_ctes(rounds: int = 10) -> str:
+def label_propagation_ctes(rounds: int = 10, v: str = "v", e: str = "e") -> str:
     """``comp(id, component)`` over ``v``/``e`` by min-label propagation,
     ``rounds`` unrolled (exact when ``rounds`` >= the graph's diameter)."""
-    parts = ["und AS (SELECT src AS a, dst AS b FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst)",
-             "l0 AS (SELECT id, id AS c FROM v)"]
+    parts = [f"und AS (SELECT src AS a, dst AS b FROM {e} WHERE src <> dst UNION SELECT dst, src FROM {e} WHERE src <> dst)",
+             f"l0 AS (SELECT id, id AS c FROM {v})"]
     for i in range(1, rounds + 1):
         parts.append(
             f"l{i} AS (SELECT l.id, least(l.c, coalesce(m.mc, l.c)) AS c FROM l{i - 1} l LEFT JOIN "

@@ -15,27 +15,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import edge_key, normalise_type
-from ..operators.clean import Graph, build_graph, dangling_edges, valid_edges, vertex_universe
+from ..functions.columns import edge_key, normalise_type, to_number
+from ..operators.clean import Graph, build_graph, dangling_edges, valid_edges, valid_vertices, vertex_universe
 from ..operators.components import (component_count, component_members, component_roots, component_scores,
                                     connected_components, ranked_components, with_component_size)
 from ..operators.layers import layered_components, organised_layout
-from ..operators.metrics import graph_counts, node_metrics, recency, sqrt_scale, top_nodes
+from ..operators.metrics import as_percent, compute_graph, graph_counts, node_metrics, recency, sqrt_scale, top_nodes
 from ..operators.pagerank import pagerank
 from ..operators.search import focus, search
 from ..operators.subgraph import (degrees, ego_network, filter_graph, neighbour_details, neighbour_index,
                                   node_details)
 from ..session import scratch_path
-from ..sources.files import (export_subgraph, load_snapshot, read_edges, read_graph_jsonl, read_vertices,
+from ..sources.files import (export_subgraph, load_snapshot, read_edges, read_graph_json, read_graph_jsonl, read_vertices,
                              save_snapshot, write_edges, write_graph_json, write_vertices)
-from ..sources.tables import trade_graph, trade_order_edges, web_graph
+from ..sources.tables import HOST_PATTERN, LINK_PATTERN, trade_graph, trade_order_edges, web_graph
 from . import oracle as O
+from .iterate import cut
 
 AS_OF = O.AS_OF
 LONG_HALF_LIFE = 365.0
 FILTER_THRESHOLD = 0.02          # static percent; no T value sits on it
 TRADE_QUERY = "  Nation_7 "
 WEB_QUERY = "P:0"
+PAGE_SEEDS = ["p:0", "p:1", "p:2", "p:3", "no such page"]
 
 
 # ---------------------------------------------------------------- graphs
@@ -122,19 +124,17 @@ def q_vertex_universe(spark, d):
 
 
 def q_valid_edges(spark, d):
-    v, e = trade_graph(spark, d)
-    g = build_graph(v, e.unionByName(trade_order_edges(spark, d)), dangling="keep")
-    return valid_edges(g.edges, build_graph(v, e).vertices)
+    v, e = trade_graph(spark, d, materialize=True)
+    return valid_edges(e.unionByName(trade_order_edges(spark, d)), cut(valid_vertices(v)))
 
 
 def q_dangling_edges(spark, d):
-    v, e = trade_graph(spark, d)
-    g = build_graph(v, e)
-    return dangling_edges(g.vertices, e.unionByName(trade_order_edges(spark, d)))
+    v, e = trade_graph(spark, d, materialize=True)
+    return dangling_edges(cut(valid_vertices(v)), e.unionByName(trade_order_edges(spark, d)))
 
 
 def q_degrees(spark, d):
-    g = _web(spark, d)
+    g = _web(spark, d, materialize=True)
     return degrees(g.vertices, g.edges)
 
 
@@ -144,10 +144,8 @@ def q_neighbour_index(spark, d):
 
 def q_pagerank_percent(spark, d):
     g = _trade(spark, d, materialize=True)
-    pr = pagerank(g.vertices, g.edges)
-    total = pr.agg(F.sum("pagerank")).scalar()
-    return pr.select("id", _r6("pagerank"),
-                     F.round(F.try_divide(F.col("pagerank"), total) * 100.0, 6).alias("pr_percent"))
+    ranked = as_percent(pagerank(g.vertices, g.edges), "pagerank", "pr_percent")
+    return ranked.select("id", _r6("pagerank"), "pr_percent")
 
 
 def q_top_nodes(spark, d):
@@ -189,13 +187,13 @@ def _nation_seeds(spark, d):
 
 
 def q_ego_nodes(spark, d):
-    g = _trade(spark, d)
+    g = _trade(spark, d, materialize=True)
     nodes, _ = ego_network(g.vertices, g.edges, _nation_seeds(spark, d))
     return nodes
 
 
 def q_ego_edges(spark, d):
-    g = _trade(spark, d)
+    g = _trade(spark, d, materialize=True)
     _, edges = ego_network(g.vertices, g.edges, _nation_seeds(spark, d))
     return edges
 
@@ -206,7 +204,7 @@ def q_node_details(spark, d):
 
 
 def q_neighbour_details(spark, d):
-    g = _trade(spark, d)
+    g = _trade(spark, d, materialize=True)
     return neighbour_details(g.vertices, g.edges)
 
 
@@ -260,8 +258,8 @@ def q_focus_nodes(spark, d):
 
 
 def q_focus_edges(spark, d):
-    g, nm = _web_metrics(spark, d)
-    _, edges = focus(g, nm, WEB_QUERY)
+    g = _web(spark, d, materialize=True)
+    _, edges = focus(g, g.vertices, WEB_QUERY)
     return edges.select("src", "dst", edge_key("src", "dst").alias("key"))
 
 
@@ -278,7 +276,7 @@ def q_type_normalised(spark, d):
 def _snapshot_back(spark, d):
     g, nm = _trade_metrics(spark, d)
     path = scratch_path(spark, "snapshot")
-    save_snapshot(nm, valid_edges(g.edges, g.vertices), path)
+    save_snapshot(nm, g.edges, path)
     return load_snapshot(spark, path)
 
 
@@ -307,6 +305,136 @@ def q_export_nodes(spark, d):
         os.path.join(_exported(spark, d), "nodes"))
 
 
+# ---------------- the whole job on dirty files; inputs that can tell right from wrong
+def _job(spark, d):
+    """Raw files -> ``compute_graph``.  The trade graph as CSV, with every
+    customer again under a malformed date, every supplier again under a newer
+    date and a label to quote, nations without id, edges without source and
+    edges to unknown orders."""
+    v, e = trade_graph(spark, d, materialize=True)
+    v = v.select("id", "t", "label", F.col("last_seen").cast("string").alias("last_seen"))
+    none = F.lit(None).cast("string")
+    v = (v.unionByName(v.filter("t = 'customer'").select("id", F.lit("dup").alias("t"), "label", F.lit("garbage").alias("last_seen")))
+          .unionByName(v.filter("t = 'supplier'").select("id", "t", F.concat("label", F.lit(', "renamed"')).alias("label"),
+                                                         F.lit("2002-01-01").alias("last_seen")))
+          .unionByName(v.filter("t = 'nation'").withColumn("id", none)))
+    e = (e.unionByName(trade_order_edges(spark, d))
+          .unionByName(e.filter(F.col("src").startswith("n")).withColumn("src", none)))
+    base = scratch_path(spark, "job")
+    write_vertices(v, os.path.join(base, "vertices"))
+    write_edges(e, os.path.join(base, "edges"))
+    return compute_graph(read_vertices(spark, os.path.join(base, "vertices"), escaped=True),
+                         read_edges(spark, os.path.join(base, "edges"), escaped=True),
+                         half_life_days=LONG_HALF_LIFE, as_of=AS_OF)
+
+
+def q_job_nodes(spark, d):
+    return _job(spark, d)[0].select("id", "label", "t", "last_seen", "pr_percent", "pr_temporal_percent")
+
+
+def q_job_edges(spark, d):
+    return _job(spark, d)[1]
+
+
+def _documents(spark, d):
+    """One graph document a line and page, half of them in each alias form."""
+    page = F.concat(F.lit("p:"), F.col("page_id").cast("string"))
+    pages = spark.read.parquet(os.path.join(d, "pages.parquet")).select(
+        "page_id", "url", page.alias("page"), F.regexp_extract("url", HOST_PATTERN, 1).alias("host"),
+        F.coalesce(F.regexp_extract_all("html", F.lit(LINK_PATTERN), 1), F.array().cast("array<string>")).alias("found"))
+    short, none = F.col("page_id") % 2 == 0, F.lit(None).cast("string")
+
+    def node(i, label, t):
+        return F.struct(i.alias("id"), label.alias("label"), F.when(short, F.lit(t)).alias("t"),
+                        F.when(short, none).otherwise(F.lit(t)).alias("type"))
+
+    def link(a, b):
+        return F.transform("found", lambda x: F.struct(F.col("page").alias(a), F.concat(F.lit("u:"), "host", x).alias(b)))
+
+    nodes = F.concat(F.array(node(F.col("page"), F.col("url"), "page")),
+                     F.transform("found", lambda x: node(F.concat(F.lit("u:"), "host", x), F.concat("host", x), "url")))
+    path = scratch_path(spark, "documents")
+    pages.select(nodes.alias("nodes"), F.when(short, link("source", "target")).alias("links"),
+                 F.when(~short, link("src", "dst")).alias("edges")).write.json(path)
+    return read_graph_json(spark, path, lines=True)
+
+
+def q_document_nodes(spark, d):
+    return _documents(spark, d)[0].select("id", "label", "t")
+
+
+def q_document_edges(spark, d):
+    return _documents(spark, d)[1]
+
+
+def _multigraph(spark, d):
+    """The trade graph with one edge per ``lineitem`` row and a loop at each nation."""
+    v, e = trade_graph(spark, d, materialize=True)
+    sold = spark.read.parquet(os.path.join(d, "lineitem.parquet")).select(
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"),
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+    loops = _nation_seeds(spark, d).select(F.col("seed").alias("src"), F.col("seed").alias("dst"))
+    e = e.filter(~F.col("dst").startswith("p")).unionByName(sold).unionByName(loops)
+    return build_graph(v, e, materialize=True)
+
+
+def q_multigraph_degrees(spark, d):
+    g = _multigraph(spark, d)
+    return degrees(g.vertices, g.edges)
+
+
+def q_multigraph_percent(spark, d):
+    g = _multigraph(spark, d)
+    return as_percent(pagerank(g.vertices, g.edges), "pagerank", "pr_percent").select("id", "pr_percent")
+
+
+def q_temporal_filter_nodes(spark, d):
+    g, nm = _trade_metrics(spark, d, LONG_HALF_LIFE)
+    return filter_graph(nm, g.edges, "temporal", FILTER_THRESHOLD)[0].select("id", "pr_temporal_percent")
+
+
+def q_temporal_filter_edges(spark, d):
+    g, nm = _trade_metrics(spark, d, LONG_HALF_LIFE)
+    return filter_graph(nm, g.edges, "temporal", FILTER_THRESHOLD)[1]
+
+
+def q_temporal_top(spark, d):
+    _, nm = _trade_metrics(spark, d, LONG_HALF_LIFE)
+    return top_nodes(nm, 20, "temporal").select("id", "pr_temporal_percent")
+
+
+def q_temporal_scale(spark, d):
+    _, nm = _trade_metrics(spark, d, LONG_HALF_LIFE)
+    return sqrt_scale(nm, "temporal").select("id", _r6("size"))
+
+
+def q_filtered_components(spark, d):
+    """Exploration of the filtered graph: threshold, then components."""
+    g, nm = _trade_metrics(spark, d)
+    kept, edges = filter_graph(nm, g.edges, "static", FILTER_THRESHOLD)
+    return with_component_size(connected_components(Graph(cut(kept), cut(edges))))
+
+
+def q_component_of_pages(spark, d):
+    g = _web(spark, d, materialize=True)
+    seeds = spark.createDataFrame([(s,) for s in PAGE_SEEDS], "seed string")
+    return component_members(connected_components(g), seeds)
+
+
+def q_type_mixed(spark, d):
+    """The vocabulary in mixed case, and strangers."""
+    mixed = F.create_map(*[F.lit(x) for x in ("customer", "IP", "supplier", "Domain", "part", "hash", "nation", "CERT")])
+    return _trade(spark, d).vertices.select("id", normalise_type(mixed[F.col("t")]).alias("type"))
+
+
+def q_number_text(spark, d):
+    """Numbers and junk as text."""
+    text = F.element_at(F.array(*[F.lit(x) for x in ("1.5d", "NaN", "  ", "Infinity", "x12", None)],
+                                F.col("o_totalprice").cast("double").cast("string")),
+                        (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return spark.read.parquet(os.path.join(d, "orders.parquet")).select("o_orderkey", to_number(text).alias("value"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vertices": q_vertices,
     "edges": q_edges,
@@ -349,6 +477,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "snapshot_edges": q_snapshot_edges,
     "export_nodes": q_export_nodes,
     "export_subgraph": q_export_subgraph,
+    "job_nodes": q_job_nodes,
+    "job_edges": q_job_edges,
+    "document_nodes": q_document_nodes,
+    "document_edges": q_document_edges,
+    "multigraph_degrees": q_multigraph_degrees,
+    "multigraph_percent": q_multigraph_percent,
+    "temporal_filter_nodes": q_temporal_filter_nodes,
+    "temporal_filter_edges": q_temporal_filter_edges,
+    "temporal_top": q_temporal_top,
+    "temporal_scale": q_temporal_scale,
+    "filtered_components": q_filtered_components,
+    "component_of_pages": q_component_of_pages,
+    "type_mixed": q_type_mixed,
+    "number_text": q_number_text,
 }
 
 
@@ -375,6 +517,31 @@ def _pct_text(x):
     return f"printf('%.3f %%', CAST(round(CAST(coalesce({x}, 0.0) AS DECIMAL(18, 6)), 3) AS DOUBLE))"
 
 
+_JOB = f"""
+dirty_v AS (
+  SELECT id, t, label, last_seen FROM raw_v
+  UNION ALL SELECT id, 'dup', label, NULL FROM raw_v WHERE t = 'customer'
+  UNION ALL SELECT id, t, label || ', "renamed"', DATE '2002-01-01' FROM raw_v WHERE t = 'supplier'
+  UNION ALL SELECT NULL, t, label, last_seen FROM raw_v WHERE t = 'nation'),
+dirty_e AS (
+  SELECT src, dst FROM raw_e UNION ALL {_ORDER_EDGES}
+  UNION ALL SELECT NULL, dst FROM raw_e WHERE src LIKE 'n%')"""
+
+_MULTI = """
+multi_e AS (
+  SELECT src, dst FROM raw_e WHERE dst NOT LIKE 'p%'
+  UNION ALL SELECT 's' || CAST(l_suppkey AS VARCHAR), 'p' || CAST(l_partkey AS VARCHAR) FROM lineitem
+  UNION ALL SELECT 'n' || CAST(n_nationkey AS VARCHAR), 'n' || CAST(n_nationkey AS VARCHAR) FROM nation)"""
+
+_DEGREES = """
+SELECT v.id,
+       CAST(coalesce(o.oe, 0) AS BIGINT) AS out_degree, CAST(coalesce(i.ie, 0) AS BIGINT) AS in_degree,
+       CAST(coalesce(o.onb, 0) AS BIGINT) AS out_neighbours, CAST(coalesce(i.inb, 0) AS BIGINT) AS in_neighbours
+FROM v
+LEFT JOIN (SELECT src AS id, sum(mult) AS oe, count(*) AS onb FROM pairs GROUP BY src) o ON o.id = v.id
+LEFT JOIN (SELECT dst AS id, sum(mult) AS ie, count(*) AS inb FROM pairs GROUP BY dst) i ON i.id = v.id"""
+_PAIRS = "pairs AS (SELECT src, dst, count(*) AS mult FROM e GROUP BY src, dst)"
+
 _SCORES = """
 sc AS (SELECT c.component, greatest(coalesce(max(nm.pr_percent), 0.0), 0.0) AS score, count(*) AS size
        FROM comp c LEFT JOIN nm ON nm.id = c.id GROUP BY c.component)"""
@@ -410,13 +577,7 @@ SELECT src, dst FROM all_e WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id
     "dangling_edges": _t(f"all_e AS (SELECT src, dst FROM raw_e UNION ALL {_ORDER_EDGES})", body="""
 SELECT src, dst FROM all_e WHERE src NOT IN (SELECT id FROM v)
 UNION ALL SELECT src, dst FROM all_e WHERE src IN (SELECT id FROM v) AND dst NOT IN (SELECT id FROM v)"""),
-    "degrees": _w("pairs AS (SELECT src, dst, count(*) AS mult FROM e GROUP BY src, dst)", body="""
-SELECT v.id,
-       CAST(coalesce(o.oe, 0) AS BIGINT) AS out_degree, CAST(coalesce(i.ie, 0) AS BIGINT) AS in_degree,
-       CAST(coalesce(o.onb, 0) AS BIGINT) AS out_neighbours, CAST(coalesce(i.inb, 0) AS BIGINT) AS in_neighbours
-FROM v
-LEFT JOIN (SELECT src AS id, sum(mult) AS oe, count(*) AS onb FROM pairs GROUP BY src) o ON o.id = v.id
-LEFT JOIN (SELECT dst AS id, sum(mult) AS ie, count(*) AS inb FROM pairs GROUP BY dst) i ON i.id = v.id"""),
+    "degrees": _w(_PAIRS, body=_DEGREES),
     "neighbour_index": _w("pairs AS (SELECT DISTINCT src, dst FROM e)", body="""
 SELECT src AS id, dst AS nbr, 'out' AS direction FROM pairs
 UNION ALL SELECT dst, src, 'in' FROM pairs"""),
@@ -507,4 +668,36 @@ SELECT id, CASE WHEN lower(t) IN ('domain', 'ip', 'cert', 'hash') THEN lower(t)
     "export_subgraph": _t(_PR, _NM30, f"kept AS (SELECT id FROM nm WHERE pr_percent >= {FILTER_THRESHOLD!r})",
                           body="""
 SELECT src AS source, dst AS target FROM e WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)"""),
+    "job_nodes": O.with_ctes(O.TRADE_CTES, _JOB, O.clean_ctes("dirty_v", "dirty_e"), _PR, _NM365) + """
+SELECT id, label, t, last_seen, pr_percent, pr_temporal_percent FROM nm""",
+    "job_edges": O.with_ctes(O.TRADE_CTES, _JOB, O.clean_ctes("dirty_v", "dirty_e")) + "\nSELECT src, dst FROM e",
+    "document_nodes": O.with_ctes(O.WEB_CTES) + """
+SELECT 'p:' || CAST(page_id AS VARCHAR) AS id, url AS label, 'page' AS t FROM pg
+UNION ALL SELECT 'u:' || host || link, host || link, 'url' FROM lk""",
+    "document_edges": O.with_ctes(O.WEB_CTES) + "\nSELECT page AS src, 'u:' || host || link AS dst FROM lk",
+    "multigraph_degrees": O.with_ctes(O.TRADE_CTES, _MULTI, O.clean_ctes("raw_v", "multi_e"), _PAIRS) + _DEGREES,
+    "multigraph_percent": O.with_ctes(O.TRADE_CTES, _MULTI, O.clean_ctes("raw_v", "multi_e"), _PR) + """
+SELECT id, round(pagerank / (SELECT sum(pagerank) FROM pr) * 100.0, 6) AS pr_percent FROM pr""",
+    "temporal_filter_nodes": _t(_PR, _NM365, body=f"""
+SELECT id, pr_temporal_percent FROM nm WHERE pr_temporal_percent >= {FILTER_THRESHOLD!r}"""),
+    "temporal_filter_edges": _t(_PR, _NM365, f"kept AS (SELECT id FROM nm WHERE pr_temporal_percent >= {FILTER_THRESHOLD!r})",
+                                body="""
+SELECT src, dst FROM e WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)"""),
+    "temporal_top": _t(_PR, _NM365, body="""
+SELECT id, pr_temporal_percent FROM nm ORDER BY pr_temporal_percent DESC, id LIMIT 20"""),
+    "temporal_scale": _t(_PR, _NM365, body="""
+SELECT id, round(5.0 + 23.0 * sqrt(pr_temporal_percent / coalesce(nullif((SELECT max(pr_temporal_percent) FROM nm), 0.0), 1.0)), 6)
+  AS size FROM nm"""),
+    "filtered_components": _t(_PR, _NM30, f"kept AS (SELECT id FROM nm WHERE pr_percent >= {FILTER_THRESHOLD!r})",
+                              "kept_e AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept))",
+                              O.label_propagation_ctes(10, "kept", "kept_e"), body="""
+SELECT id, component, count(*) OVER (PARTITION BY component) AS component_size FROM comp"""),
+    "component_of_pages": _w(_CC, body=f"""
+SELECT c.component, c.id FROM comp c
+WHERE c.component IN (SELECT component FROM comp WHERE id IN ({", ".join(f"'{s}'" for s in PAGE_SEEDS)}))"""),
+    "type_mixed": _t(body="""
+SELECT id, CASE t WHEN 'customer' THEN 'ip' WHEN 'supplier' THEN 'domain' WHEN 'part' THEN 'hash' WHEN 'nation' THEN 'cert'
+  ELSE 'other' END AS type FROM v"""),
+    "number_text": """
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN CAST(o_totalprice AS DOUBLE) ELSE 0.0::DOUBLE END AS value FROM orders""",
 }

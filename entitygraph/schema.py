@@ -38,8 +38,6 @@ GRAPH_DOC = T.StructType([
     T.StructField("edges", T.ArrayType(_LINK_DOC)),
 ])
 
-# Column names of the node output (node payload + our additions).
-NODE_COLUMNS = ["id", "label", "t", "pr_percent", "pr_temporal_percent"]
 METRICS = {"static": "pr_percent", "temporal": "pr_temporal_percent"}
 
 # ---- fixed values (must equal the reference's for equal results) ----------

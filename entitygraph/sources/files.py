@@ -4,12 +4,15 @@ written by the executors (no collect)."""
 from __future__ import annotations
 
 import os
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..schema import EDGE_CSV, GRAPH_DOC, VERTEX_CSV
+from ..session import remove_path
 
 
 def _csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
@@ -85,18 +88,19 @@ def write_edges(edges: DataFrame, path: str, fmt: str = "csv", mode: str = "over
         out.write.mode(mode).format(fmt).save(path)
 
 
-def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_graph_json(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Graph document(s) ``{nodes: [...], links|edges: [...]}`` -> ``(nodes, edges)``.
 
     ``links`` wins over ``edges`` when present, ``source``/``target`` over
     ``src``/``dst``.  Metrics are kept as text (read them with
     ``to_number``).  A document is one JSON value per file (``multiLine``),
-    hence one task per file: use it for exports and demos; large graphs use
-    the JSON-lines directories of :func:`write_graph_json`.
+    hence one task per file; with ``lines`` it is one line of a file, which
+    splits.  Large graphs use the JSON-lines directories of
+    :func:`write_graph_json`.
     """
-    doc = spark.read.schema(GRAPH_DOC).option("multiLine", True).json(path)
+    doc = spark.read.schema(GRAPH_DOC).option("multiLine", not lines).json(path)
     nodes = doc.select(F.explode("nodes").alias("n")).select(
-        "n.id", "n.label", F.coalesce("n.t", "n.type").alias("t"), "n.last_seen",
+        "n.id", "n.label", F.coalesce(F.nullif("n.t", F.lit("")), "n.type").alias("t"), "n.last_seen",
         "n.pr_percent", "n.pr_temporal_percent")
     links = doc.select(F.explode(F.coalesce("links", "edges")).alias("l")).select(
         F.coalesce("l.source", "l.src").alias("src"), F.coalesce("l.target", "l.dst").alias("dst"))
@@ -127,16 +131,31 @@ def export_subgraph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "
     links.write.mode(mode).json(os.path.join(path, "links"))
 
 
-def save_snapshot(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Keep the result as the current snapshot (parquet, overwrite)."""
-    nodes.write.mode("overwrite").parquet(os.path.join(path, "nodes"))
-    edges.select("src", "dst").write.mode("overwrite").parquet(os.path.join(path, "edges"))
+def save_snapshot(nodes: DataFrame, edges: DataFrame, path: str, keep: int = 2) -> None:
+    """Keep the result as the current snapshot.
+
+    Both tables go into a new folder under ``path/versions``; only when they
+    are complete is its name appended to ``path/current``, so a failed job
+    leaves the last snapshot in place and a reader never meets new nodes with
+    old edges.  The newest ``keep`` versions stay, for readers still on them.
+    """
+    spark = nodes.sparkSession
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    target = os.path.join(path, "versions", version)
+    nodes.write.parquet(os.path.join(target, "nodes"))
+    edges.select("src", "dst").write.parquet(os.path.join(target, "edges"))
+    current = os.path.join(path, "current")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(current)
+    newest = spark.read.schema("version string").parquet(current).orderBy(F.desc("version")).limit(keep + 1).collect()
+    for row in newest[keep:]:
+        remove_path(spark, os.path.join(path, "versions", row["version"]))
 
 
 def load_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The last saved snapshot; a clear error when none exists."""
     try:
-        return (spark.read.parquet(os.path.join(path, "nodes")),
-                spark.read.parquet(os.path.join(path, "edges")))
+        current = spark.read.schema("version string").parquet(os.path.join(path, "current"))
     except AnalysisException as exc:
         raise FileNotFoundError(f"no graph snapshot at {path}: generate one first") from exc
+    target = os.path.join(path, "versions", current.agg(F.max("version")).first()[0])
+    return spark.read.parquet(os.path.join(target, "nodes")), spark.read.parquet(os.path.join(target, "edges"))

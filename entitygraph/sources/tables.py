@@ -18,7 +18,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# ---- fixed values: patterns of the web graph -------------------------------
 HOST_PATTERN = r"^https?://([^/?#]+)"
 LINK_PATTERN = r'href="(/[^"]*)"'
 

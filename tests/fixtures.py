@@ -1,48 +1,31 @@
 """Hand-sized graphs (see FIXTURES.md)."""
 
-# sample topology, 34 vertices / 37 edges (ids, labels, types retyped).
-F1_NODES = [
-    ("dom_1", "example.com", "domain"), ("dom_2", "evil.net", "domain"),
-    ("dom_3", "shop.example", "domain"), ("dom_4", "api.example", "domain"),
-    ("dom_5", "updates.example", "domain"), ("dom_6", "cdn.example", "domain"),
-    ("ip_1", "10.0.0.1", "ip"), ("ip_2", "10.0.0.2", "ip"), ("ip_3", "10.0.0.3", "ip"),
-    ("ip_4", "172.16.5.10", "ip"), ("ip_5", "192.168.1.50", "ip"), ("ip_6", "185.23.11.2", "ip"),
-    ("ip_7", "66.77.88.99", "ip"), ("ip_8", "203.0.113.45", "ip"), ("ip_9", "198.51.100.12", "ip"),
-    ("ip_10", "5.45.23.9", "ip"),
-    ("cert_1", "CN=Demo", "cert"), ("cert_2", "CN=Wildcard-Example", "cert"),
-    ("cert_3", "CN=EvilCorp", "cert"), ("cert_4", "CN=ShopTLS", "cert"),
-    ("cert_5", "CN=Legacy", "cert"), ("cert_6", "CN=NewEdge", "cert"),
-    ("hash_1", "abc123", "hash"), ("hash_2", "e4f9aa", "hash"), ("hash_3", "9b1d77", "hash"),
-    ("hash_4", "d0c0de", "hash"), ("hash_5", "f00db4", "hash"), ("hash_6", "cafeba", "hash"),
-    ("hash_7", "deadbe", "hash"), ("hash_8", "badc0d", "hash"), ("hash_9", "feedfa", "hash"),
-    ("hash_10", "7ac0e1", "hash"), ("hash_11", "a11ce0", "hash"), ("hash_12", "bbccdd", "hash"),
-]
-F1_EDGES = [
-    ("dom_1", "ip_1"), ("dom_1", "ip_3"), ("dom_1", "cert_2"), ("dom_1", "cert_1"),
-    ("dom_1", "hash_1"), ("dom_1", "hash_5"), ("dom_1", "hash_9"),
-    ("dom_2", "ip_3"), ("dom_2", "ip_6"), ("dom_2", "ip_7"), ("dom_2", "cert_3"),
-    ("dom_2", "hash_3"), ("dom_2", "hash_7"),
-    ("dom_3", "ip_2"), ("dom_3", "ip_4"), ("dom_3", "cert_4"), ("dom_3", "cert_2"),
-    ("dom_3", "hash_2"), ("dom_3", "hash_6"),
-    ("dom_4", "ip_5"), ("dom_4", "ip_8"), ("dom_4", "cert_6"), ("dom_4", "hash_10"),
-    ("dom_5", "ip_9"), ("dom_5", "ip_10"), ("dom_5", "cert_5"), ("dom_5", "hash_4"), ("dom_5", "hash_11"),
-    ("dom_6", "ip_6"), ("dom_6", "ip_8"), ("dom_6", "cert_2"), ("dom_6", "cert_6"), ("dom_6", "hash_12"),
-    ("hash_3", "ip_7"), ("hash_9", "ip_1"), ("hash_6", "ip_4"), ("hash_12", "ip_8"),
-]
-# Expected static percents (10 rounds, reset 0.15), computed independently.
+# an own sample, 34 vertices / 34 edges: four domains with shared ends (27
+# vertices), one domain apart (6) and a hash without edges.
+F1_NODES = (
+    [(f"d_{name}", f"{name}.test", "domain") for name in ("alder", "birch", "cedar", "elm", "fir")]
+    + [(f"a{i}", f"10.20.0.{i}", "ip") for i in (*range(1, 10), 20, 21)]
+    + [(f"c{i}", f"CN=tree-{i}", "cert") for i in (1, 2, 3, 4, 9)]
+    + [(f"h{i}", f"sample-{i}", "hash") for i in (*range(1, 11), 20, 21, 99)]
+)
+F1_LINKS = {
+    "d_alder": "a1 a2 a3 c1 h1 h2", "d_birch": "a3 a4 c2 h3 h4 h5", "d_cedar": "a5 a6 c2 c3 h6",
+    "d_elm": "a6 a7 a8 c4 h7 h8", "h1": "a1", "h3": "a8", "h4": "a4", "h7": "a9", "h9": "a8", "h10": "a9",
+    "d_fir": "a20 c9 h20", "h20": "a21", "h21": "a21",
+}
+F1_EDGES = [(src, dst) for src, dsts in F1_LINKS.items() for dst in dsts.split()]
+# Expected static percents (10 rounds, reset 0.15), from a plain-Python power
+# iteration; tests/test_graphx_oracle.py holds the graph against GraphX too.
 F1_PERCENT = {
-    5.529380: ["ip_8"],
-    4.913130: ["ip_4", "ip_7"],
-    4.826036: ["ip_1"],
-    3.333667: ["cert_2"],
-    3.215973: ["cert_6"],
-    3.051200: ["ip_6"],
-    2.938213: ["ip_3"],
-    2.820519: ["ip_5", "hash_10"],
-    2.721655: ["ip_9", "ip_10", "cert_5", "hash_4", "hash_11", "hash_12"],
-    2.655746: ["ip_2", "cert_3", "cert_4", "hash_2", "hash_3", "hash_6", "hash_7"],
-    2.608668: ["cert_1", "hash_1", "hash_5", "hash_9"],
-    2.326201: ["dom_1", "dom_2", "dom_3", "dom_4", "dom_5", "dom_6", "hash_8"],
+    6.471316: ["a8"],
+    6.424891: ["a21"],
+    6.161815: ["a9"],
+    4.614306: ["a1", "a4"],
+    2.865622: ["a6", "c2"],
+    2.803721: ["a3", "a20", "c9", "h20"],
+    2.556120: ["a5", "c3", "h6"],
+    2.494220: ["a2", "a7", "c1", "c4", "h1", "h2", "h3", "h4", "h5", "h7", "h8"],
+    2.184718: ["d_alder", "d_birch", "d_cedar", "d_elm", "d_fir", "h9", "h10", "h21", "h99"],
 }
 
 # PageRank corner cases.

@@ -28,7 +28,7 @@ def test_generate_then_export():
                    check=True, env=env, cwd=d, timeout=600)
     nodes, links = (_lines(os.path.join(out, part)) for part in ("nodes", "links"))
     ids = {n["id"] for n in nodes}
-    assert "ip_8" in ids and all(n["pr_temporal_percent"] >= 3 for n in nodes)
+    assert "a8" in ids and all(n["pr_temporal_percent"] >= 3 for n in nodes)
     assert set(nodes[0]) <= {"id", "label", "t", "pr_percent", "pr_temporal_percent", "last_seen"}
     for link in links:
         assert link["source"] in ids and link["target"] in ids

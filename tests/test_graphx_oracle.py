@@ -49,7 +49,7 @@ def test_trade_graph_equals_graphx(spark):
     g = eg.build_graph(*eg.trade_graph(spark, "/root/testdata/sf0.001"))
     edges = [(r["src"], r["dst"]) for r in g.edges.collect()]
     want = graphx_pagerank(spark, edges)
-    for opts in ({}, {"broadcast_max_vertices": 0, "hub_out_degree": 2, "max_hubs": 100_000}):
+    for opts in ({}, {"hub_out_degree": 2, "max_hubs": 100_000}):
         got = ours(spark, edges, **opts)
         assert got.keys() == want.keys()
         for k in want:

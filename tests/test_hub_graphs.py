@@ -63,7 +63,7 @@ def test_skewed_graph_all_paths(spark, seed):
     g = eg.build_graph(v, e, materialize=True)
 
     want_pr = _pagerank(nodes, edges)
-    for opts in ({}, {"broadcast_max_vertices": 0, "hub_out_degree": 10, "max_hubs": 1000}):
+    for opts in ({}, {"hub_out_degree": 10, "max_hubs": 1000}):
         got = {r["id"]: r["pagerank"] for r in eg.pagerank(g.vertices, g.edges, **opts).collect()}
         for n in nodes:
             assert got[n] == pytest.approx(want_pr[n], rel=1e-10), (opts, n)
@@ -86,6 +86,6 @@ def test_skewed_graph_all_paths(spark, seed):
                     dist[y] = dist[x] + 1
                     q.append(y)
         want_layer.update(dist)
-    for opts in ({}, {"broadcast_max_frontier": 0, "hub_degree": 10, "max_hubs": 1000}):
+    for opts in ({}, {"hub_degree": 10, "max_hubs": 1000}):
         got = {r["id"]: r["layer"] for r in eg.bfs_layers(g, roots, **opts).collect()}
         assert got == want_layer, opts

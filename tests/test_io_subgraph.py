@@ -47,7 +47,7 @@ def test_graph_document_both_alias_forms(spark, form):
     with open(os.path.join(d, "graph.json"), "w") as fh:
         json.dump(doc, fh, indent=2)
     n, e = eg.read_graph_json(spark, os.path.join(d, "graph.json"))
-    assert n.count() == 34 and e.count() == 37
+    assert n.count() == 34 and e.count() == 34
     assert e.filter(F.col("src").isNull() | F.col("dst").isNull()).count() == 0
     vals = n.select(eg.to_number("pr_percent").alias("a"), eg.to_number("pr_temporal_percent").alias("b")).first()
     assert (vals["a"], vals["b"]) == (1.5, 0.0)
@@ -61,7 +61,7 @@ def test_snapshot_and_export(spark):
         eg.load_snapshot(spark, os.path.join(d, "missing"))
     eg.save_snapshot(nodes, edges, os.path.join(d, "snap"))
     n2, e2 = eg.load_snapshot(spark, os.path.join(d, "snap"))
-    assert n2.count() == 34 and e2.count() == 37
+    assert n2.count() == 34 and e2.count() == 34
     kept, kept_e = eg.filter_graph(n2, e2, "static", 2.7)
     eg.export_subgraph(kept, kept_e, os.path.join(d, "doc"))
     links = spark.read.json(os.path.join(d, "doc", "links"))
@@ -70,7 +70,7 @@ def test_snapshot_and_export(spark):
     eg.write_graph_json(n2, e2, os.path.join(d, "jl"))
     from entitygraph.sources.files import read_graph_jsonl
     n3, e3 = read_graph_jsonl(spark, os.path.join(d, "jl"))
-    assert n3.count() == 34 and e3.count() == 37
+    assert n3.count() == 34 and e3.count() == 34
 
 
 @pytest.fixture(scope="module")
@@ -82,45 +82,45 @@ def f1m(spark):
 
 def test_filter_graph_inclusive(spark, f1m):
     g, nm = f1m
-    kept, edges = eg.filter_graph(nm, g.edges, "static", 2.721655)
+    kept, edges = eg.filter_graph(nm, g.edges, "static", 2.865622)
     ids = {r["id"] for r in kept.collect()}
-    assert "ip_9" in ids and "ip_2" not in ids            # inclusive threshold
+    assert "a6" in ids and "a3" not in ids            # inclusive threshold
     for r in edges.collect():
         assert r["src"] in ids and r["dst"] in ids
     all_nodes, all_edges = eg.filter_graph(nm, g.edges, "unknown-mode", 0)
-    assert all_nodes.count() == 34 and all_edges.count() == 37
+    assert all_nodes.count() == 34 and all_edges.count() == 34
 
 
 def test_ego_network(spark, f1m):
     g, _ = f1m
-    nodes, edges = eg.ego_network(g.vertices, g.edges, "ip_8")
-    assert {r["id"] for r in nodes.collect()} == {"ip_8", "dom_4", "dom_6", "hash_12"}
+    nodes, edges = eg.ego_network(g.vertices, g.edges, "a8")
+    assert {r["id"] for r in nodes.collect()} == {"a8", "d_elm", "h3", "h9"}
     assert sorted((r["src"], r["dst"]) for r in edges.collect()) == [
-        ("dom_4", "ip_8"), ("dom_6", "ip_8"), ("hash_12", "ip_8")]
-    n2, _ = eg.ego_network(g.vertices, g.edges, ["ip_8", "nope"])
+        ("d_elm", "a8"), ("h3", "a8"), ("h9", "a8")]
+    n2, _ = eg.ego_network(g.vertices, g.edges, ["a8", "nope"])
     assert n2.count() == 4
 
 
 def test_degrees_and_neighbours(spark, f1m):
     g, nm = f1m
     d = {r["id"]: r for r in eg.degrees(g.vertices, g.edges).collect()}
-    assert (d["dom_1"]["out_degree"], d["dom_1"]["in_degree"]) == (7, 0)
-    assert d["ip_8"]["in_neighbours"] == 3 and d["hash_8"]["out_degree"] == 0
-    det = eg.neighbour_details(nm, g.edges).filter("id = 'hash_12'").collect()
+    assert (d["d_alder"]["out_degree"], d["d_alder"]["in_degree"]) == (6, 0)
+    assert d["a8"]["in_neighbours"] == 3 and d["h99"]["out_degree"] == 0
+    det = eg.neighbour_details(nm, g.edges).filter("id = 'h3'").collect()
     assert sorted((r["direction"], r["nbr"], r["nbr_type"]) for r in det) == [
-        ("in", "dom_6", "domain"), ("out", "ip_8", "ip")]
+        ("in", "d_birch", "domain"), ("out", "a8", "ip")]
     nd = {r["id"]: r for r in eg.node_details(nm).collect()}
-    assert nd["ip_8"]["pr_text"] == "5.529 %" and nd["ip_8"]["last_seen"] == "-"
-    assert nd["ip_8"]["title"] == "203.0.113.45"
+    assert nd["a8"]["pr_text"] == "6.471 %" and nd["a8"]["last_seen"] == "-"
+    assert nd["a8"]["title"] == "10.20.0.8"
 
 
 def test_search_and_focus(spark, f1m):
     g, nm = f1m
-    assert eg.search(nm, "  EVIL.NET ").first()["id"] == "dom_2"
+    assert eg.search(nm, "  BIRCH.TEST ").first()["id"] == "d_birch"
     assert eg.search(nm, "   ").count() == 0
     assert eg.search(nm, "no-such").count() == 0
-    nodes, edges = eg.focus(g, nm, "cn=legacy")
-    assert {r["id"] for r in nodes.collect()} == {"dom_5", "ip_9", "ip_10", "cert_5", "hash_4", "hash_11"}
+    nodes, edges = eg.focus(g, nm, "cn=tree-9")
+    assert {r["id"] for r in nodes.collect()} == {"d_fir", "a20", "a21", "c9", "h20", "h21"}
     assert edges.count() == 5
     n0, e0 = eg.focus(g, nm, "nothing")
     assert n0.count() == 0 and e0.count() == 0
@@ -129,7 +129,7 @@ def test_search_and_focus(spark, f1m):
 def test_scalar_functions(spark, f1m):
     g, nm = f1m
     sized = {r["id"]: r["size"] for r in eg.sqrt_scale(nm).collect()}
-    assert sized["ip_8"] == pytest.approx(28.0) and min(sized.values()) > 5.0
+    assert sized["a8"] == pytest.approx(28.0) and min(sized.values()) > 5.0
     df = spark.createDataFrame([("IP",), ("Domain",), ("thing",), (None,)], "t string")
     assert [r[0] for r in df.select(eg.normalise_type("t")).collect()] == ["ip", "domain", "other", "other"]
     nums = spark.createDataFrame([("1.5",), ("NaN",), ("Infinity",), (None,), ("x",)], "v string")

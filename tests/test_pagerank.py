@@ -6,9 +6,9 @@ from fixtures import F1_EDGES, F1_NODES, F1_PERCENT, F2_EDGES, F2_RAW, graph
 
 
 @pytest.mark.parametrize("opts", [
-    {},                                                             # broadcast messages
-    {"broadcast_max_vertices": 0, "hub_out_degree": 1, "max_hubs": 100},   # salted hubs
-    {"broadcast_max_vertices": 0, "checkpoint_every": 1},           # shuffle join, cut each round
+    {},
+    {"hub_out_degree": 1, "max_hubs": 100},   # salted hubs
+    {"checkpoint_every": 1},           # cut each round
 ])
 def test_f2_raw_ranks_equal_graphx(spark, opts):
     v, e = graph(spark, [str(i) for i in range(1, 8)], F2_EDGES)

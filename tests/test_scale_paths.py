@@ -1,5 +1,5 @@
-"""The at-scale code paths (salted hub sources, hub-split joins, shuffled
-frontiers) forced on real derived graphs give the same answers as the
+"""The at-scale code paths (salted hub sources, hub-split joins, salted
+adjacency) forced on real derived graphs give the same answers as the
 default (small-graph) paths."""
 
 import pytest
@@ -19,11 +19,11 @@ def web(spark):
     return eg.build_graph(*eg.web_graph(spark, SF), materialize=True)
 
 
-def test_pagerank_salted_equals_broadcast(trade):
+def test_pagerank_salted_equals_plain(trade):
     base = {r["id"]: r["pagerank"] for r in eg.pagerank(trade.vertices, trade.edges).collect()}
     # every supplier with more than 3 parts is split over several salts
     salted = {r["id"]: r["pagerank"] for r in eg.pagerank(
-        trade.vertices, trade.edges, broadcast_max_vertices=0, hub_out_degree=3, max_hubs=10_000).collect()}
+        trade.vertices, trade.edges, hub_out_degree=3, max_hubs=10_000).collect()}
     assert base.keys() == salted.keys()
     for k, v in base.items():
         assert salted[k] == pytest.approx(v, rel=1e-12)
@@ -36,15 +36,14 @@ def test_components_hub_split_equals_plain(trade, web):
         assert plain == hubs
 
 
-def test_bfs_shuffled_frontier_equals_broadcast(web):
+def test_bfs_salted_adjacency_equals_plain(web):
     nm = eg.node_metrics(web, as_of="2001-12-31")
     cc = eg.connected_components(web)
     roots = eg.component_roots(cc, nm)
     a = sorted(eg.bfs_layers(web, roots).collect())
-    b = sorted(eg.bfs_layers(web, roots, broadcast_max_frontier=0).collect())
-    c = sorted(eg.bfs_layers(web, roots, broadcast_max_frontier=0, hub_degree=2, max_hubs=1_000_000).collect())
+    c = sorted(eg.bfs_layers(web, roots, hub_degree=2, max_hubs=1_000_000).collect())
     d = sorted(eg.bfs_layers(web, roots, hub_degree=3, max_hubs=1_000_000).collect())
-    assert a == b == c == d and len(a) == web.vertices.count()
+    assert a == c == d and len(a) == web.vertices.count()
 
 
 def test_layers_respect_bfs_property(web):

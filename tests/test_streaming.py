@@ -28,6 +28,6 @@ def test_refresh_regenerates_snapshot_on_new_files(spark):
     q = start_refresh(spark, vdir, edir, snap, checkpoint_location=ck, available_now=True, as_of="2024-01-01")
     q.awaitTermination(300)
     nodes, edges = eg.load_snapshot(spark, snap)
-    assert edges.count() == 37
+    assert edges.count() == 34
     top = nodes.orderBy(nodes.pr_percent.desc()).first()
-    assert top["id"] == "ip_8"
+    assert top["id"] == "a8"
