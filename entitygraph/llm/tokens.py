@@ -7,7 +7,10 @@ the piece after it).  Pieces repeat, texts do not: a chunk of texts is cut into
 pieces, its distinct pieces are found (Arrow dictionary), the library encodes
 those that this worker has not met lately, and the ids are gathered piece by
 piece.  Pieces that are one word of Latin letters need no normalising or
-splitting and go to the library's byte-pair model directly.
+splitting and go to the library's byte-pair model directly.  An added token of
+the file (``<|endoftext|>``) that a text spells out is one id, as the library
+gives by default: it is a piece of its own, and what stands before and after it
+is cut as texts are.
 """
 
 from __future__ import annotations
@@ -44,16 +47,29 @@ _BETWEEN = {"byte": ("\n", "\n"), "word": (" 0 ", "0")}
 CALL_BYTES = 20_000
 
 
+def _added_tokens(tok, path: str) -> re.Pattern | None:
+    """What finds the file's added tokens in a text: leftmost, then longest."""
+    added = tok.get_added_tokens_decoder().values()
+    for t in added:
+        if t.normalized or t.single_word or t.lstrip or t.rstrip:
+            raise ValueError(f"{path}: added token {t.content!r} is not found by its text alone")
+    longest = sorted((t.content for t in added), key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+
+
 class Encoder:
     """``encode(texts)`` gives the ids of all texts in one array (without
-    special tokens) and the number of ids of each text (null: 0)."""
+    special tokens) and the number of ids of each text (null: 0).  ``literal``:
+    a special token spelled out in a text is ordinary characters (the library's
+    ``encode_special_tokens``)."""
 
-    def __init__(self, path: str, kind: str, width: str = "<u2"):
+    def __init__(self, path: str, kind: str, width: str = "<u2", *, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True
+        self._tok.encode_special_tokens = literal
+        self._added = None if literal else _added_tokens(self._tok, path)
         self._kind, self._model = kind, self._tok.model
         self.dtype = np.dtype(width)
         if self._tok.get_vocab_size() > np.iinfo(self.dtype).max + 1:
@@ -110,7 +126,18 @@ class Encoder:
         if len(data) != len(joined):
             size = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
         ends = np.cumsum(size)
-        return self._gather(data, self._cuts(texts, joined, data, ends), ends)
+        if self._added is None or not self._added.search(joined):
+            return self._gather(data, self._cuts(texts, joined, data, ends), ends)
+        # every second part is an added token
+        split = [self._added.split(t) for t in texts]
+        parts = [p for x in split for p in x]
+        upto = np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)))
+        cuts = self._cuts(parts, joined, data, upto)
+        token = np.concatenate([np.arange(len(x)) % 2 == 1 for x in split])
+        a, b = np.concatenate([[0], upto[:-1]])[token], upto[token]
+        place = np.searchsorted(a, cuts, "left") - 1  # the last token that begins before the cut
+        inside = (place >= 0) & (cuts < b[place]) if len(a) else np.zeros(len(cuts), bool)
+        return self._gather(data, cuts[~inside], ends)
 
     def _cuts(self, texts: list[str], joined: str, data: bytes, ends: np.ndarray) -> np.ndarray:
         """Byte offsets at which the texts' pieces begin, and the end."""
@@ -174,5 +201,5 @@ class Encoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, kind: str, width: str = "<u2") -> Encoder:
-    """One encoder per worker process and file."""
-    return Encoder(path, kind, width)
+    """One encoder per worker process and file; added tokens in texts are found."""
+    return Encoder(path, kind, width, literal=False)

@@ -192,6 +192,29 @@ def test_pieces_give_the_library_s_ids(kind, name):
     assert [g.tolist() for g in got] == [w[:-1] for _, w in want]
 
 
+@pytest.mark.parametrize("kind, name", [("word", "word_bpe_49k.json"), ("byte", "byte_bpe_50k.json")])
+def test_added_tokens_are_the_library_s_ids(spark, kind, name):
+    from tokenizers import Tokenizer
+
+    ship(spark)
+    some = ["<|endoftext|>", "a <|endoftext|> b", "a<|endoftext|>b, c", "  <|startoftext|>\n\n  <|endoftext|>  ", None, "",
+            "<|endoftext|><|endoftext|>x", "plain text. no token", "<|endoftext|", "<|ENDOFTEXT|> é <|endoftext|>\u3000 é",
+            "a \n<|endoftext|>\n b", "<<|endoftext|>> 0 <|startoftext|>", "<|endof", "text|>"]
+    plain = Tokenizer.from_file(packing.tokenizer_path(name))
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in some]
+    ids, size = tokens.encoder(packing.tokenizer_path(name), kind).encode(some)
+    assert [g.tolist() for g in np.split(ids, np.cumsum(size)[:-1])] == want
+    d = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    if kind == "word":
+        got = {(r["doc_id"], r["length"], r["ids_crc32"]) for r in packing.pack_documents(d).collect()}
+        end = 1
+    else:
+        out = token_store.encode_and_read_back(spark, d, tokenizer=packing.tokenizer_path(name)).collect()
+        got, end = {(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in out}, 0
+    # both operators close a document with an end id
+    assert got == {(i, len(x) + 1, crc(x + [end])) for i, x in enumerate(want)}
+
+
 def test_packing(docs, odd, none):
     for df in (docs, odd):
         got = packing.pack_documents(df).toPandas()
