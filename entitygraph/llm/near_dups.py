@@ -26,7 +26,8 @@ and the components of the links are the groups.
 
 Defined cases: null or empty text, or one without words, is the empty set, linked
 with nothing; a null key takes no part and is kept; rows that repeat a key are
-one vertex; an empty table gives an empty result; other columns are ignored by
+one vertex, with different texts one vertex of several sets: each set is a class
+of its own, star links join them, and the key is kept or dropped as a whole; an empty table gives an empty result; other columns are ignored by
 :func:`near_duplicates` and kept by :func:`drop_duplicates`.
 """
 
@@ -42,6 +43,7 @@ from pyspark.sql import functions as F
 
 from ..operators.clean import Graph
 from ..operators.components import connected_components
+from ..plans.iterate import salted_join
 from .common import cut, hash_words, in_chunks, is_text, window_hashes
 
 REGISTERS, BANDS = 128, 32
@@ -118,18 +120,34 @@ def _registers(column: pd.Series) -> np.ndarray:
 # ------------------------------------------------------------------- stages
 
 def sketches(docs: DataFrame, text: str, key: str, k: int) -> DataFrame:
-    """``key, n_shingles, digest, registers`` per row (null digest: no words)."""
+    """``key, text_hash, n_shingles, digest, registers`` per row (null digest: no words)."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in in_chunks(frames, "text"):
             out = []
-            for key_, text_ in zip(part["key"].array, part["text"]):
+            for key_, hash_, text_ in zip(part["key"].array, part["text_hash"], part["text"]):
                 s = shingles(text_, k)
-                out.append((key_, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch(s).tobytes())
-                           if len(s) else (key_, 0, None, None))
-            yield pd.DataFrame(out, columns=["key", "n_shingles", "digest", "registers"])
+                out.append((key_, hash_, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch(s).tobytes())
+                           if len(s) else (key_, hash_, 0, None, None))
+            yield pd.DataFrame(out, columns=["key", "text_hash", "n_shingles", "digest", "registers"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "key long, n_shingles long, digest binary, registers binary")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, "key long, text_hash long, n_shingles long, digest binary, registers binary")
+
+
+def several_sets(rows: DataFrame) -> DataFrame:
+    """``key, hub`` of every key whose rows have different sets (the hub is the
+    least digest of them)."""
+    own = rows.filter(F.col("key").isNotNull()).groupBy("key").agg(
+        F.min("digest").alias("hub"), F.max("digest").alias("top"), F.count(F.lit(1)).alias("n"), F.count("digest").alias("m"))
+    return cut(own.filter("hub <> top or m > 0 and m < n").select("key", "hub"))
+
+
+def star_links(own: DataFrame, several: DataFrame, classes: DataFrame) -> DataFrame:
+    """``a, b``: the classes of each key with several sets, linked to its hub."""
+    side = salted_join(own.select("key", "digest").distinct(), several, "key", "digest").filter("digest <> hub")
+    a = side.select("digest", "hub").distinct().join(classes.select("digest", F.col("rep").alias("a")), "digest")
+    return cut(salted_join(cut(a.select("a", "hub")), classes.select(F.col("digest").alias("hub"), F.col("rep").alias("b")), "hub", "a")
+               .select("a", "b"))
 
 
 def bucket_members(classes: DataFrame) -> DataFrame:
@@ -148,10 +166,12 @@ def bucket_members(classes: DataFrame) -> DataFrame:
 
 def full_sets(docs: DataFrame, involved: DataFrame, text: str, key: str, k: int) -> DataFrame:
     """``rep, items`` (sorted shingle hashes) of the involved classes, read again
-    from the documents; ``involved``: rep, digest."""
+    from the documents; ``involved``: rep, digest, and the key and text hash of a
+    row that has the set."""
     few = involved.count() <= BROADCAST_KEYS
     right = F.broadcast(involved) if few else involved
-    rows = (docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(right, "rep"))
+    rows = (docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+            .join(right, ["key", "text_hash"]))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in in_chunks(frames, "text"):
@@ -160,7 +180,7 @@ def full_sets(docs: DataFrame, involved: DataFrame, text: str, key: str, k: int)
             yield pd.DataFrame({"rep": part["rep"].array, "items": [s.view(np.int64) for s in sets]})[own]
 
     got = rows.mapInPandas(run, "rep long, items array<long>")
-    # a key whose row repeats gives equal sets: one of them stays
+    # a row that repeats gives equal sets (the digest tells): one of them stays
     return cut(got.groupBy("rep").agg(F.first("items").alias("items")))
 
 
@@ -260,14 +280,18 @@ def _meet(a: pd.DataFrame, b: pd.DataFrame, band: int, percent: int, out: set) -
                     out.add(pair)
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, text: str, key: str, k: int, percent: int) -> DataFrame:
-    """``rep, component`` of every class that shares a bucket."""
+def link_classes(docs: DataFrame, classes: DataFrame, text: str, key: str, k: int, percent: int,
+                 stars: DataFrame | None = None) -> DataFrame:
+    """``rep, component`` of every class that shares a bucket or is an end of ``stars``."""
     members = bucket_members(classes)
-    vertices = cut(members.select("rep").distinct())
+    vertices = bucketed = cut(members.select("rep").distinct())
+    if stars is not None:
+        vertices = cut(bucketed.union(stars.select("a")).union(stars.select("b")).distinct())
     pairs = members.filter("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     likely = cut(estimated(cut(pairs), classes, percent))
-    sets = full_sets(docs, cut(vertices.join(classes.select("rep", "digest"), "rep")), text, key, k)
-    labels = components(vertices, cut(confirmed(likely, sets, percent)))
+    sets = full_sets(docs, cut(bucketed.join(classes.select("rep", "digest", "key", "text_hash"), "rep")), text, key, k)
+    links = cut(confirmed(likely, sets, percent))
+    labels = components(vertices, links if stars is None else links.union(stars))
     late = late_links(members, labels, classes, sets, percent)
     if not late.limit(1).count():
         return labels
@@ -282,14 +306,29 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     """``key, n_shingles, component_id, kept`` per row."""
     rows = cut(sketches(docs, text, key, k))
     own = rows.filter(F.col("digest").isNotNull() & F.col("key").isNotNull())
-    classes = cut(own.groupBy("digest").agg(F.min(F.struct("key", "n_shingles", "registers")).alias("m"))
-                  .select("digest", F.col("m.key").alias("rep"), F.col("m.n_shingles").alias("n_shingles"),
-                          F.col("m.registers").alias("registers")))
-    # rows that repeat a key with different texts: one vertex with several sets
-    labels = link_classes(docs, classes, text, key, k, percent)
-    named = cut(classes.select("digest", "rep").join(labels, "rep", "left")
-                .select("digest", F.coalesce("component", "rep").alias("component")))
-    found = rows.select("key", "n_shingles", "digest").join(named, "digest", "left")
+    classes = cut(own.groupBy("digest").agg(F.min(F.struct("key", "text_hash", "n_shingles", "registers")).alias("m"))
+                  .select("digest", F.col("m.key").alias("key"), F.col("m.key").alias("rep"), F.col("m.text_hash").alias("text_hash"),
+                          F.col("m.n_shingles").alias("n_shingles"), F.col("m.registers").alias("registers")))
+    several = several_sets(rows)
+    if several.limit(1).count():
+        # a key with several sets names none of them: each is known by its digest
+        unclear = salted_join(classes, several, "key", "digest", "left")
+        classes = cut(unclear.withColumn("rep", F.when(F.col("hub").isNull(), F.col("key")).otherwise(F.xxhash64("digest")))
+                      .select(classes.columns))
+        labels = link_classes(docs, classes, text, key, k, percent, star_links(own, several, classes))
+        named = cut(classes.select("digest", "key", "rep").join(labels, "rep", "left")
+                    .select("digest", "key", F.coalesce("component", "rep").alias("label")))
+        least = cut(named.groupBy("label").agg(F.min("key").alias("component")))
+        named = cut(salted_join(named, least, "label", "digest").select("digest", "component"))
+        # a row without words goes with the other rows of its key
+        found = (salted_join(rows.select("key", "n_shingles", "digest", "text_hash"), several, "key", "text_hash", "left")
+                 .select("key", "n_shingles", F.coalesce("digest", "hub").alias("digest")))
+    else:
+        labels = link_classes(docs, classes, text, key, k, percent)
+        named = cut(classes.select("digest", "rep").join(labels, "rep", "left")
+                    .select("digest", F.coalesce("component", "rep").alias("component")))
+        found = rows.select("key", "n_shingles", "digest")
+    found = found.join(named, "digest", "left")
     out = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
     return found.select(F.col("key").alias(key), "n_shingles", out.alias("component_id"),
                         (F.col("key").isNull() | (F.col("key") == out)).alias("kept"))

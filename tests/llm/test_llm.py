@@ -132,6 +132,27 @@ def test_near_duplicates_match_brute_force(spark, odd, none):
     assert near_dups.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_a_key_with_several_texts(spark):
+    ship(spark)
+    rng = np.random.default_rng(8)
+    words = [[f"{c}{x}" for x in rng.integers(0, 10**6, 60)] for c in "abcdefg"]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    text = [" ".join(w) for w in words]
+    # 5 has two texts, each with a near copy; one of 8's is also a text of 2; 9 has a text and none
+    rows = [(5, text[0]), (5, text[1]), (11, near(words[0])), (12, near(words[1])), (2, text[2]), (8, text[2].upper()),
+            (8, text[3]), (13, near(words[3])), (9, text[4]), (9, ""), (3, near(words[4])), (14, text[5]), (None, text[5]), (15, "")]
+    rows += [(20, f"{text[6]} {' '.join(f'n{i}x{j}' for j in range(60))}") for i in range(40)]  # many unlike texts of one id
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for p in (1, 7):
+        got = near_dups.near_duplicates(d.repartition(p), k=2).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in got} == {
+            (5, 5), (11, 5), (12, 5), (2, 2), (8, 2), (13, 2), (9, 3), (3, 3), (14, 14), (None, None), (15, 15), (20, 20)}
+        assert len(got) == len(rows)
+        assert all(r["kept"] == (r["doc_id"] == r["component_id"] or r["doc_id"] is None) for r in got)
+    kept = near_dups.drop_duplicates(d, k=2).collect()
+    assert sorted(repr(r["doc_id"]) for r in kept) == sorted(map(repr, [5, 2, 3, 14, None, 15, 20]))
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, 900, np.uint64), rng.integers(0, 2**63, 900, np.uint64)
