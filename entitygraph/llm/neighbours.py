@@ -63,8 +63,16 @@ def _lists(column, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(column), kind), size
 
 
+def _coded(v: np.ndarray) -> list[bytes]:
+    """Each vector as its own scale (float32) and 8-bit components."""
+    scale = np.maximum(np.abs(v).max(1) / 127, np.finfo(np.float32).tiny).astype(np.float32)
+    x = np.clip(np.round(v / scale[:, None].astype(float)), -127, 127).astype(np.int8)
+    return [a.tobytes() + b.tobytes() for a, b in zip(scale, x)]
+
+
 def _vectors(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.int8).reshape(len(column), -1).astype(np.float32)
+    raw = np.frombuffer(b"".join(column), np.int8).reshape(len(column), -1)
+    return raw[:, 4:].astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
 
 
 def _best(a: np.ndarray, b: np.ndarray, s: np.ndarray, fresh: np.ndarray, k: int):
@@ -132,14 +140,15 @@ def classes_of(rows: DataFrame, vec: str, key: str) -> tuple[DataFrame, DataFram
 
 
 def start_state(nodes: DataFrame, parts: int) -> DataFrame:
-    """Every node in its part with an 8-bit vector and an empty list."""
+    """Every node in its part with an 8-bit vector and an empty list.  Each vector
+    has a scale of its own, so a few of large norm leave the others exact."""
     top = nodes.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("m")).first()["m"] or 1.0
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                v = np.round(np.stack(f["v"].to_numpy()) * (127 / top)).astype(np.int8)
-                yield pd.DataFrame({"p": part_of(f["rep"].to_numpy(), parts), "id": f["rep"], "vec": [x.tobytes() for x in v],
+                v = np.stack(f["v"].to_numpy()) / top
+                yield pd.DataFrame({"p": part_of(f["rep"].to_numpy(), parts), "id": f["rep"], "vec": _coded(v),
                                     "nbr": b"", "sim": b"", "new": b"", "n_new": 0})
 
     return cut(nodes.mapInPandas(run, STATE))
@@ -204,7 +213,8 @@ def meet(state: DataFrame, parts: int, k: int) -> DataFrame:
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         ids, worst, size, to, new = (np.frombuffer(b"".join(f[c]), t) for c, t in (
             ("id", np.int64), ("worst", np.float32), ("n", np.int32), ("to", np.int64), ("new", np.uint8)))
-        x = np.frombuffer(b"".join(f["vec"]), np.int8).reshape(len(ids), -1).astype(np.float32)
+        x = np.frombuffer(b"".join(f["vec"]), np.int8).reshape(len(ids), -1)
+        x = _vectors([v.tobytes() for v in x])
         row = np.repeat(np.arange(len(ids)), size)
         o = np.lexsort((mixed(ids[row] ^ to, 7), 1 - new, to))
         to, new, row = to[o], new[o].astype(bool), row[o]
@@ -334,7 +344,7 @@ def greedy_search(graph: DataFrame, parts: int, queries: DataFrame, *, beam: int
         for q, g in asked.groupby("q"):
             w = np.unique(np.frombuffer(b"".join(g["to"]), np.int64))
             w = w[w != q]
-            s = x[np.searchsorted(ids, w)] @ np.frombuffer(g["vec"].iloc[0], np.int8).astype(np.float32)
+            s = x[np.searchsorted(ids, w)] @ _vectors(g["vec"].iloc[:1])[0]
             o = np.argsort(-s, kind="stable")[:2 * beam]
             out.append((q, w[o].tobytes(), s[o].tobytes()))
         return pd.DataFrame(out, columns=["q", "nbr", "sim"])

@@ -322,6 +322,28 @@ def test_neighbours_reach_brute_force(spark):
     assert tiny.count() == 2
 
 
+def recall(got, ids, x, queries):
+    """Share of the brute-force 20 nearest that were found."""
+    hit = 0
+    found = got.groupby("query_id").vec_id.agg(set)
+    for q in queries:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        hit += len(set(ids[np.argsort(-s, kind="stable")[:20]]) & found[q])
+    return hit / (20 * len(queries))
+
+
+def test_neighbours_of_skewed_norms(spark):
+    ship(spark)
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(30, 16)), 50, 0) + rng.normal(size=(1500, 16)) * 0.5
+    x[[3, 700, 1400]] *= 1000
+    ids = np.arange(len(x))
+    d = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(d, F.col("id") % 10 == 0).toPandas()
+    assert recall(got, ids, x, ids[::10]) >= 0.97
+
+
 def test_pipeline(spark, odd):
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert len(out) and out.length.between(1, 4096).all()
