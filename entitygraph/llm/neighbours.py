@@ -3,18 +3,25 @@
 Nearness is the inner product.  Equal vectors are one node, so a vector shared
 by most rows is one node with many members.  The neighbour graph is built by
 rounds of joins of neighbours of neighbours: every node sends its (8-bit) vector
-to the nodes in its list, and the senders that meet at a node are compared with
-each other, pairs of two old entries excepted; what beats a node's worst entry
-goes back to it.  The rounds end when few entries change.  Queries then search
-the graph greedily: the nearest ``BEAM`` nodes of a query's pool are expanded,
-their neighbours are compared with the query, and so on for ``STEPS`` rounds.
-The pool is scored again in double precision on the original vectors.
+to the nodes in its list and to the nodes that list it, and the senders that
+meet at a node are compared with each other, pairs of two old entries excepted;
+what beats a node's worst entry goes back to it.  As NN-descent samples, ``SAMPLE``
+new entries of a list, drawn anew in each round, take part in it and are old
+after it; the others stay new.  The rounds end when few entries are new.  Queries
+then search the graph greedily: the nearest ``BEAM`` nodes of a query's pool are
+expanded, their neighbours are compared with the query, and so on, for at least
+``STEPS`` steps and until the best ``SETTLED`` of the pool stay.  The pool is
+scored again in double precision on the original vectors.
 
 Nodes live in parts of about ``PART_NODES`` by hash of the id.  A node's vector
 goes to a part once, whatever the number of its targets there, and the messages
-of a batch of nodes to one part are one row; a task gets one part's messages.  At a node that very many list, ``MEETING`` senders
-drawn by hash are compared in a round, new ones first, as NN-descent samples;
-nothing else is dropped.
+of a batch of nodes to one part are one row; a task gets one part's messages.  A
+node that more than ``HUB`` list (or more than a share of the entries that keeps
+these nodes below ``MAX_HUBS``) is a hub: it has several meetings, in several
+parts, and those who list it are dealt to them anew in each round; its vector is
+known to all tasks.  Of more than ``MEETING`` that list a node, so many at a time
+meet, in groups dealt anew in each round, and there old entries are compared too.
+No sender is left out.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do vectors of another than the most frequent
@@ -26,6 +33,8 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -36,13 +45,18 @@ from .common import cut, give_back
 
 K_GRAPH = 64
 STARTS, START_GROUP = 4, 128
-MEETING, PER_MEETING = 128, 12
-#: A part offers a node so many candidates a round; a task sorts so many pairs at once.
-PER_PART, SORTED = 32, 1_000_000
-ROUNDS, CHANGED = 8, 0.03
-BEAM, STEPS = 48, 2
+#: New entries of a list that take part in a round; senders that meet at once.
+SAMPLE, MEETING = 12, 512
+#: A node that more list has several meetings; there are at most so many such nodes.
+HUB, MAX_HUBS = 4096, 100_000
+#: A task sorts so many pairs at once.
+SORTED = 1_000_000
+CHANGED = 0.03
+BEAM, STEPS, SETTLED = 48, 2, 20
 PART_NODES = 1500
 STATE = "p int, id long, vec binary, nbr binary, sim binary, new binary, n_new long"
+#: What an entry of a list is: met before, still to be drawn, drawn for the round.
+OLD, WAITING, DRAWN = 0, 1, 2
 FOUND = "p int, id binary, n binary, nbr binary, sim binary"
 
 
@@ -186,100 +200,215 @@ def start_lists(state: DataFrame, n: int, parts: int, k: int) -> DataFrame:
     return dealt.groupBy(F.floor(F.col("g") / (16 * STARTS)).alias("call")).applyInPandas(compare, FOUND)
 
 
-def meet(state: DataFrame, parts: int, k: int) -> DataFrame:
-    """One round: senders that meet at a node are compared; candidates go back."""
-    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def hubs_of(state: DataFrame, parts: int, k: int, most: int) -> pd.DataFrame:
+    """``id, vec, worst, n`` (times listed) of the nodes that more than ``most`` list."""
+    def times(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            nbr, flag = _lists(f["nbr"], np.int64)[0], _lists(f["new"], np.uint8)[0]
+            to, n = np.unique(nbr[flag != WAITING], return_counts=True)
+            p = part_of(to, parts)
+            yield pd.DataFrame([(x, to[p == x].tobytes(), n[p == x].tobytes()) for x in np.unique(p).tolist()],
+                               columns=["p", "to", "n"])
+
+    def total(f: pd.DataFrame) -> pd.DataFrame:
+        to, which = np.unique(np.frombuffer(b"".join(f["to"]), np.int64), return_inverse=True)
+        n = np.bincount(which, np.frombuffer(b"".join(f["n"]), np.int64), len(to)).astype(np.int64)
+        return pd.DataFrame({"hub": to, "n": n})[n > most]
+
+    heavy = cut(state.mapInPandas(times, "p int, to binary, n binary").groupBy("p").applyInPandas(total, "hub long, n long"))
+    if not heavy.limit(1).count():
+        return pd.DataFrame({"id": np.empty(0, np.int64), "vec": [], "worst": np.empty(0, np.float32), "n": np.empty(0, np.int64)})
+    rows = state.join(F.broadcast(heavy), state["id"] == heavy["hub"]).select(
+        "id", "vec", F.substring("sim", -4, 4).alias("last"), (F.length("sim") >= 4 * k).alias("full"), "n").toPandas()
+    rows["worst"] = [np.frombuffer(x, np.float32)[0] if full else -np.inf for x, full in zip(rows["last"], rows["full"])]
+    return rows.sort_values("id").reset_index(drop=True)[["id", "vec", "worst", "n"]]
+
+
+def _meetings(to: np.ndarray, hub_ids: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """Number of meetings of each node."""
+    if not len(hub_ids):
+        return np.ones(len(to), np.int64)
+    at = np.minimum(np.searchsorted(hub_ids, to), len(hub_ids) - 1)
+    return np.where(hub_ids[at] == to, salts[at], 1)
+
+
+def _place(to: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Name of a node's meeting; the first one has the node's own."""
+    return np.where(salt == 0, to, mixed(to ^ mixed(salt, 300).view(np.int64), 301).view(np.int64))
+
+
+def messages(state: DataFrame, parts: int, k: int, turn: int, hub: int) -> DataFrame:
+    """Every node with the meetings it goes to, one row for a batch and part.
+    ``flag``: 1 a new entry, 2 listed by the node of the meeting, 4 one of
+    several meetings."""
+    hubs = hubs_of(state, parts, k, hub)
+    hub_ids, hub_vec, hub_worst = hubs["id"].to_numpy(np.int64), hubs["vec"].tolist(), hubs["worst"].to_numpy(np.float32)
+    salts = -(-hubs["n"].to_numpy(np.int64) // hub)
+
+    def tell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """To every node that is no hub: who lists it."""
         for f in frames:
             nbr, size = _lists(f["nbr"], np.int64)
-            if not len(nbr):
-                continue
-            new, _ = _lists(f["new"], np.uint8)
-            sim, _ = _lists(f["sim"], np.float32)
-            ends = np.cumsum(size)
-            worst = np.full(len(f), -np.inf, np.float32)
-            full = size >= k
-            worst[full] = sim[ends[full] - 1]
-            row, part = np.repeat(np.arange(len(f)), size), part_of(nbr, parts)
-            o = np.lexsort((row, part))
-            row, part, nbr, new = row[o], part[o], nbr[o], new[o]
-            x, ids, rows = np.stack([np.frombuffer(v, np.int8) for v in f["vec"]]), f["id"].to_numpy(), []
-            for p in np.unique(part).tolist():  # one row for each part that gets any of these messages
-                i, j = np.searchsorted(part, [p, p + 1])
-                who, n = np.unique(row[i:j], return_counts=True)
-                rows.append((p, ids[who].tobytes(), x[who].tobytes(), worst[who].tobytes(), n.astype(np.int32).tobytes(),
-                             nbr[i:j].tobytes(), new[i:j].tobytes()))
-            yield pd.DataFrame(rows, columns=["p", "id", "vec", "worst", "n", "to", "new"])
-
+            flag, _ = _lists(f["new"], np.uint8)
+            by = np.repeat(f["id"].to_numpy(np.int64), size)
+            ok = (flag != WAITING) & ~np.isin(nbr, hub_ids)
+            nbr, flag, by = nbr[ok], flag[ok], by[ok]
+            p = part_of(nbr, parts)
+            o = np.argsort(p, kind="stable")
+            p, nbr, flag, by = p[o], nbr[o], flag[o], by[o]
+            rows = []
+            for x in np.unique(p).tolist():
+                i, j = np.searchsorted(p, [x, x + 1])
+                rows.append((x, nbr[i:j].tobytes(), by[i:j].tobytes(), flag[i:j].tobytes()))
+            yield pd.DataFrame(rows, columns=["p", "to", "by", "flag"])
+
+    def send(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        cols = ["p", "id", "vec", "worst", "n", "to", "flag"]
+        if not len(own):
+            return pd.DataFrame(columns=cols)
+        own = own.sort_values("id").reset_index(drop=True)
+        ids = own["id"].to_numpy(np.int64)
+        nbr, size = _lists(own["nbr"], np.int64)
+        sim, _ = _lists(own["sim"], np.float32)
+        flag, _ = _lists(own["new"], np.uint8)
+        worst, full, ends = np.full(len(own), -np.inf, np.float32), size >= k, np.cumsum(size)
+        worst[full] = sim[ends[full] - 1]
+        row = np.repeat(np.arange(len(own)), size)
+        ok = flag != WAITING
+        row, to, new = row[ok], nbr[ok], (flag[ok] == DRAWN).astype(np.uint8)
+        t, by, told_new = (np.frombuffer(b"".join(told[c]), d) for c, d in (("to", np.int64), ("by", np.int64), ("flag", np.uint8)))
+        # those who list a node deal themselves to its meetings ...
+        many = _meetings(to, hub_ids, salts)
+        salt = (mixed(ids[row] ^ mixed(to, 400).view(np.int64), 500 + turn) % many.astype(np.uint64)).astype(np.int64)
+        sender, place, flags = [row], [_place(to, salt)], [new + np.uint8(4) * (many > 1)]
+        # ... and a node goes to every meeting of those whom it knows to list it; so do hubs
+        at = np.searchsorted(hub_ids, to) if len(hub_ids) else np.zeros(len(to), np.int64)
+        listed_hub = hub_ids[np.minimum(at, len(hub_ids) - 1)] == to if len(hub_ids) else np.zeros(len(to), bool)
+        for who, target, is_new in ((np.searchsorted(ids, t), by, (told_new == DRAWN).astype(np.uint8)),
+                                    (len(ids) + at[listed_hub], ids[row[listed_hub]], new[listed_hub])):
+            n = _meetings(target, hub_ids, salts)
+            each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            sender.append(np.repeat(who, n))
+            place.append(_place(np.repeat(target, n), each))
+            flags.append(np.repeat(is_new + np.uint8(2) + np.uint8(4) * (n > 1), n))
+        row, to, flag = np.concatenate(sender), np.concatenate(place), np.concatenate(flags).astype(np.uint8)
+        part = part_of(to, parts)
+        o = np.lexsort((row, part))
+        row, part, to, flag = row[o], part[o], to[o], flag[o]
+        ids, worst = np.concatenate([ids, hub_ids]), np.concatenate([worst, hub_worst])
+        raw, rows = [*own["vec"], *hub_vec], []
+        x = np.frombuffer(b"".join(raw), np.int8).reshape(len(raw), -1)
+        for p in np.unique(part).tolist():  # one row for each part that gets any of these messages
+            i, j = np.searchsorted(part, [p, p + 1])
+            who, n = np.unique(row[i:j], return_counts=True)
+            rows.append((p, ids[who].tobytes(), x[who].tobytes(), worst[who].tobytes(), n.astype(np.int32).tobytes(),
+                         to[i:j].tobytes(), flag[i:j].tobytes()))
+        return pd.DataFrame(rows, columns=cols)
+
+    told = state.mapInPandas(tell, "p int, to binary, by binary, flag binary")
+    return (state.groupBy("p").cogroup(told.groupBy("p"))
+            .applyInPandas(send, "p int, id binary, vec binary, worst binary, n binary, to binary, flag binary"))
+
+
+def meet(sent: DataFrame, parts: int, k: int, turn: int) -> DataFrame:
+    """One round: senders that meet at a node are compared; candidates go back."""
     def compare(f: pd.DataFrame) -> pd.DataFrame:
-        ids, worst, size, to, new = (np.frombuffer(b"".join(f[c]), t) for c, t in (
-            ("id", np.int64), ("worst", np.float32), ("n", np.int32), ("to", np.int64), ("new", np.uint8)))
-        x = np.frombuffer(b"".join(f["vec"]), np.int8).reshape(len(ids), -1)
-        x = _vectors([v.tobytes() for v in x])
-        row = np.repeat(np.arange(len(ids)), size)
-        o = np.lexsort((mixed(ids[row] ^ to, 7), 1 - new, to))
-        to, new, row = to[o], new[o].astype(bool), row[o]
-        starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-        owners, own = np.unique(ids, return_inverse=True)
+        by, worst, size, to, flag = (np.frombuffer(b"".join(f[c]), t) for c, t in (
+            ("id", np.int64), ("worst", np.float32), ("n", np.int32), ("to", np.int64), ("flag", np.uint8)))
+        owners, first, own = np.unique(by, return_index=True, return_inverse=True)
+        raw = np.frombuffer(b"".join(f["vec"]), np.int8).reshape(len(by), -1)[first]
+        x, worst = _vectors([v.tobytes() for v in raw]), worst[first].copy()
+        row = np.repeat(own, size)
+        o = np.lexsort((row, to))
+        to, row, flag = to[o], row[o], flag[o]
+        # a node that lists and is listed comes once
+        start = np.flatnonzero(np.concatenate([[True], (to[1:] != to[:-1]) | (row[1:] != row[:-1])]))
+        flag = np.bitwise_or.reduceat(flag, start)
+        to, row = to[start], row[start]
+        new, listed, several = (flag & 1) > 0, (flag & 2) > 0, (flag & 4) > 0
         a, b, s, held = [], [], [], 0
+        starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
         for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(to)]):
-            j = min(j, i + MEETING)
-            if j - i < 2 or not new[i]:
+            at, fresh, here = row[i:j], new[i:j], listed[i:j]
+            if j - i < 2:
                 continue
-            at, n_new = row[i:j], int(new[i:j].sum())
-            m = x[at] @ x[at].T
-            m[n_new:, n_new:] = -np.inf
-            m[m <= worst[at][:, None]] = -np.inf
-            np.fill_diagonal(m, -np.inf)
-            t = min(PER_MEETING, j - i - 1)
-            best = np.argpartition(-m, t - 1, 1)[:, :t]
-            got = np.take_along_axis(m, best, 1)
-            r, c = np.nonzero(got > -np.inf)
-            a.append(own[at[r]].astype(np.int32))
-            b.append(ids[at[best[r, c]]])
-            s.append(got[r, c])
-            held += len(r)
-            if held > SORTED:
-                (a, b, s), held = trim(a, b, s), 0
+            groups = [np.arange(j - i)]
+            if j - i - here.sum() > MEETING:  # those who list the node, dealt anew in each round
+                deal = np.flatnonzero(~here)
+                deal = deal[np.argsort(mixed(owners[at[deal]] ^ to[i], 600 + turn))]
+                groups = [np.concatenate([np.flatnonzero(here), c]) for c in np.array_split(deal, -(-len(deal) // MEETING))]
+            if several[i] or len(groups) > 1:  # two old entries need not have met
+                fresh = np.ones(j - i, bool)
+            for g in groups:
+                one, other = at[g[fresh[g]]], at[g[~fresh[g]]]
+                if not len(one):
+                    continue
+                m = x[one] @ x[np.concatenate([one, other])].T
+                np.fill_diagonal(m, -np.inf)
+                r, c = np.nonzero(m > worst[one][:, None])
+                both = np.concatenate([one, other])
+                a.append(one[r])
+                b.append(both[c])
+                s.append(m[r, c])
+                back = m[:, len(one):]
+                r2, c2 = np.nonzero(back > worst[other])
+                a.append(other[c2])
+                b.append(one[r2])
+                s.append(back[r2, c2])
+                held += len(r) + len(r2)
+                if held > 2 * SORTED or (held > SORTED and len(a) > 2):
+                    a, b, s = trim(a, b, s, worst)
+                    held = 0
         if not a:
             return pd.DataFrame(columns=["p", "id", "n", "nbr", "sim"])
-        a, b, s = trim(a, b, s)
-        out = _packed(owners, a[0], b[0], s[0], parts)
+        a, b, s = trim(a, b, s, worst)
+        out = _packed(owners, a[0], owners[b[0]], s[0], parts)
         give_back()
         return out
 
-    def trim(a, b, s):
+    def trim(a, b, s, worst):
+        """Each owner's ``k`` nearest: no other can come into its list."""
         a = np.concatenate(a)
-        a, b, s, _ = _best(a, np.concatenate(b), np.concatenate(s), np.zeros(len(a), bool), PER_PART)
+        a, b, s, _ = _best(a, np.concatenate(b), np.concatenate(s), np.zeros(len(a), bool), k)
+        n = np.bincount(a, minlength=len(worst))
+        full, ends = n >= k, np.cumsum(n)
+        worst[full] = np.maximum(worst[full], s[ends[full] - 1])
         return [a], [b], [s]
 
-    sent = state.mapInPandas(send, "p int, id binary, vec binary, worst binary, n binary, to binary, new binary")
     return sent.groupBy("p").applyInPandas(compare, FOUND)
 
 
-def merged(state: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """The state with each node's ``k`` nearest of its list and its candidates."""
+def merged(state: DataFrame, found: DataFrame, k: int, turn: int = 0, sample: int = SAMPLE) -> DataFrame:
+    """The state with each node's ``k`` nearest of its list and its candidates;
+    what took part is old, and of the rest ``sample`` are drawn for the next round."""
     def run(own: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("id").reset_index(drop=True)
         ids = own["id"].to_numpy()
         b0, n0 = _lists(own["nbr"], np.int64)
         s0, _ = _lists(own["sim"], np.float32)
+        f0, _ = _lists(own["new"], np.uint8)
         who, n1, b1, s1 = _unpacked(more)
         a0 = np.repeat(np.arange(len(ids)), n0)
         a1 = np.repeat(np.searchsorted(ids, who), n1)
-        a, b, s, fresh = _best(np.concatenate([a0, a1]), np.concatenate([b0, b1]), np.concatenate([s0, s1]),
-                               np.concatenate([np.zeros(len(a0), bool), np.ones(len(a1), bool)]), k)
+        # 3: not known before
+        a, b, s, flag = _best(np.concatenate([a0, a1]), np.concatenate([b0, b1]), np.concatenate([s0, s1]),
+                              np.concatenate([np.where(f0 == WAITING, WAITING, OLD), np.full(len(a1), 3)]), k)
+        flag = np.where(flag == OLD, OLD, WAITING).astype(np.uint8)
+        wait = np.flatnonzero(flag == WAITING)
+        o = wait[np.lexsort((mixed(ids[a[wait]] ^ mixed(b[wait], 700).view(np.int64), 800 + turn), a[wait]))]
+        flag[o[np.arange(len(o)) - np.searchsorted(a[o], a[o]) < sample]] = DRAWN
         cuts = np.searchsorted(a, np.arange(len(ids) + 1))
         ranges = list(zip(cuts[:-1], cuts[1:]))
         return own.assign(nbr=[b[i:j].astype(np.int64).tobytes() for i, j in ranges],
                           sim=[s[i:j].astype(np.float32).tobytes() for i, j in ranges],
-                          new=[fresh[i:j].astype(np.uint8).tobytes() for i, j in ranges],
-                          n_new=[int(fresh[i:j].sum()) for i, j in ranges])
+                          new=[flag[i:j].tobytes() for i, j in ranges],
+                          n_new=[int((flag[i:j] != OLD).sum()) for i, j in ranges])
 
     return state.groupBy("p").cogroup(found.groupBy("p")).applyInPandas(run, STATE)
 
 
-def build_graph(nodes: DataFrame, *, k: int = K_GRAPH, rounds: int = ROUNDS, changed: float = CHANGED,
-                part_nodes: int = PART_NODES) -> tuple[DataFrame, int]:
+def build_graph(nodes: DataFrame, *, k: int = K_GRAPH, changed: float = CHANGED, part_nodes: int = PART_NODES,
+                hub: int = HUB) -> tuple[DataFrame, int]:
     """The neighbour graph and its number of parts."""
     n = nodes.count()
     parts = max(1, -(-n // part_nodes))
@@ -288,20 +417,21 @@ def build_graph(nodes: DataFrame, *, k: int = K_GRAPH, rounds: int = ROUNDS, cha
         return state, parts
     k = min(k, n - 1)
     state = cut(merged(state, start_lists(state, n, parts, k), k))
-    for _ in range(rounds):
-        state = cut(merged(state, cut(meet(state, parts, k)), k))
+    hub = max(hub, n * k // MAX_HUBS)
+    for turn in count(1):  # lists only get nearer, so few entries are new in the end
         if state.agg(F.sum("n_new")).first()[0] <= changed * n * k:
-            break
-    return state, parts
+            return state, parts
+        state = cut(merged(state, cut(meet(messages(state, parts, k, turn, hub), parts, k, turn)), k, turn))
 
 
 # -------------------------------------------------------------------- search
 
-POOL = "q long, vec binary, nbr binary, sim binary, done binary"
+POOL = "q long, vec binary, nbr binary, sim binary, done binary, moved boolean"
 
 
 def greedy_search(graph: DataFrame, parts: int, queries: DataFrame, *, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
-    """``q, nbr, sim``: the pool of each query node (column ``q``)."""
+    """``q, nbr, sim``: the pool of each query node (column ``q``), once a step
+    (the ``steps``-th or a later one) leaves the best ``SETTLED`` as they were."""
     pool = cut(graph.join(queries, graph["id"] == queries["q"]).select(
         "q", "vec", "nbr", "sim", F.lit(b"").alias("done")))
 
@@ -352,28 +482,34 @@ def greedy_search(graph: DataFrame, parts: int, queries: DataFrame, *, beam: int
     def gather(own: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
         got = dict(iter(more.groupby("q")))
         out = []
-        for q, vec, nbr, sim, done in own.itertuples(index=False):
+        for q, vec, nbr, sim, done in own[["q", "vec", "nbr", "sim", "done"]].itertuples(index=False):
             b, s = np.frombuffer(nbr, np.int64), np.frombuffer(sim, np.float32)
-            done = np.union1d(np.frombuffer(done, np.int64), b[:beam]).tobytes()
+            done, top = np.union1d(np.frombuffer(done, np.int64), b[:beam]).tobytes(), b[:SETTLED]
             if q in got:
                 b = np.concatenate([b, np.frombuffer(b"".join(got[q]["nbr"]), np.int64)])
                 s = np.concatenate([s, np.frombuffer(b"".join(got[q]["sim"]), np.float32)])
             _, b, s, _ = _best(np.zeros(len(b), np.int64), b, s, np.zeros(len(b), bool), 2 * beam)
-            out.append((q, vec, b.tobytes(), s.astype(np.float32).tobytes(), done))
+            out.append((q, vec, b.tobytes(), s.astype(np.float32).tobytes(), done, not np.array_equal(b[:SETTLED], top)))
         give_back()
-        return pd.DataFrame(out, columns=["q", "vec", "nbr", "sim", "done"])
+        return pd.DataFrame(out, columns=["q", "vec", "nbr", "sim", "done", "moved"])
 
     ASKED = "p int, q long, vec binary, to binary"
     call = F.pmod(F.xxhash64("q"), F.lit(parts)).alias("call")
     here = graph.select("p", "id", "vec", "nbr").groupBy("p")
-    for _ in range(steps):
+    settled = []
+    for step in count(1):
         met = (pool.select("q", "vec", "nbr", "done").mapInPandas(ask, ASKED).groupBy("p").cogroup(here)
                .applyInPandas(expand, "q long, to binary"))
         # each query's neighbours of neighbours meet once before they go to their parts
         asked = (pool.select("q", "vec", "nbr").groupBy(call).cogroup(met.groupBy(call)).applyInPandas(split, ASKED))
         near = asked.groupBy("p").cogroup(here).applyInPandas(compare, "q long, nbr binary, sim binary")
         pool = cut(pool.groupBy(call).cogroup(near.groupBy(call)).applyInPandas(gather, POOL))
-    return pool
+        if step < steps:
+            continue
+        settled.append(pool.filter(~F.col("moved")).select("q", "nbr", "sim"))
+        pool = pool.filter("moved")
+        if not pool.limit(1).count():
+            return reduce(DataFrame.union, settled)
 
 
 def nearest(rows: DataFrame, is_query: Column, *, vec: str = "embedding", key: str = "vec_id", k: int = 20) -> DataFrame:

@@ -344,6 +344,59 @@ def test_neighbours_of_skewed_norms(spark):
     assert recall(got, ids, x, ids[::10]) >= 0.97
 
 
+def test_graph_with_hubs_is_nearly_whole(spark):
+    ship(spark)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(60, 16)), 50, 0) + rng.normal(size=(3000, 16)) * 0.5
+    x[:4] *= 30  # listed by about half of the others
+    n = len(x)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "rep long, v array<double>")
+    state, _ = neighbours.build_graph(nodes, k=30, part_nodes=300, hub=200)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    best = np.argsort(-s, 1)[:, :30]
+    rows = state.collect()
+    hit = sum(len(set(best[r["id"]]) & set(np.frombuffer(r["nbr"], np.int64))) for r in rows)
+    assert len(rows) == n and hit / best.size >= 0.95
+
+
+def test_an_entry_stays_new_until_it_is_drawn(spark):
+    ship(spark)
+    rng = np.random.default_rng(6)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)))], "rep long, v array<double>")
+    state = neighbours.start_state(nodes, 1)
+    state = neighbours.merged(state, neighbours.start_lists(state, 400, 1, 40), 40, 0, 12)
+    none = state.limit(0).selectExpr("p", "vec as id", "vec as n", "vec as nbr", "vec as sim")
+    for turn in range(1, 5):  # 12 a round take part, and only they become old
+        flags = [r["new"] for r in state.collect()]
+        assert all(f.count(neighbours.DRAWN) == min(12, max(0, len(f) - 12 * (turn - 1))) for f in flags)
+        assert all(f.count(neighbours.WAITING) == max(0, len(f) - 12 * turn) for f in flags)
+        state = neighbours.merged(state, none, 40, turn, 12)
+    assert {r["n_new"] for r in neighbours.merged(state, none, 40, 4, 12).collect()} == {0}
+
+
+def test_those_who_list_one_node_meet_in_several_parts(spark):
+    ship(spark)
+    n, parts = 3000, 10
+    nodes = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(n)], "rep long, v array<double>")
+    start = neighbours.start_state(nodes, parts).toPandas()
+    start["nbr"] = [np.array([1 if i == 0 else 0], np.int64).tobytes() for i in start["id"]]
+    start["sim"], start["new"], start["n_new"] = np.float32(1).tobytes(), bytes([neighbours.DRAWN]), 1
+    state = spark.createDataFrame(start, neighbours.STATE)
+    seen = {}
+    for turn in (1, 2):
+        sent = neighbours.messages(state, parts, 1, turn, 100).toPandas()
+        assert sent.groupby("p")["to"].agg(lambda c: sum(map(len, c)) // 8).max() < n
+        pairs = [(i, t) for ids, size, to in zip(sent["id"], sent["n"], sent["to"])
+                 for i, t in zip(np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(size, np.int32)), np.frombuffer(to, np.int64))]
+        own = collections.Counter(t for _, t in pairs)
+        big = {t for t, c in own.items() if c > 50}
+        assert 25 <= len(big) and max(own.values()) < 200
+        seen[turn] = {i: t for i, t in pairs if t in big}
+        assert len(seen[turn]) >= n - 1  # every sender is in a meeting of the hub
+    assert sum(seen[1][i] != seen[2].get(i) for i in seen[1]) > n / 2  # and in another one the next time
+
+
 def test_pipeline(spark, odd):
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert len(out) and out.length.between(1, 4096).all()
