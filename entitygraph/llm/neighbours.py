@@ -9,9 +9,8 @@ what beats a node's worst entry goes back to it.  As NN-descent samples, ``SAMPL
 new entries of a list, drawn anew in each round, take part in it and are old
 after it; the others stay new.  The rounds end when few entries are new.  Queries
 then search the graph greedily: the nearest ``BEAM`` nodes of a query's pool are
-expanded, their neighbours are compared with the query, and so on, for at least
-``STEPS`` steps and until the best ``SETTLED`` of the pool stay.  The pool is
-scored again in double precision on the original vectors.
+expanded, their neighbours are compared with the query, and so on, until the
+nearest ``BEAM`` have all been expanded and no longer change.  The pool is scored again in double precision on the original vectors.
 
 Nodes live in parts of about ``PART_NODES`` by hash of the id.  A node's vector
 goes to a part once, whatever the number of its targets there, and the messages
@@ -52,7 +51,7 @@ HUB, MAX_HUBS = 4096, 100_000
 #: A task sorts so many pairs at once.
 SORTED = 1_000_000
 CHANGED = 0.03
-BEAM, STEPS, SETTLED = 48, 2, 20
+BEAM = 48
 PART_NODES = 1500
 STATE = "p int, id long, vec binary, nbr binary, sim binary, new binary, n_new long"
 #: What an entry of a list is: met before, still to be drawn, drawn for the round.
@@ -429,9 +428,9 @@ def build_graph(nodes: DataFrame, *, k: int = K_GRAPH, changed: float = CHANGED,
 POOL = "q long, vec binary, nbr binary, sim binary, done binary, moved boolean"
 
 
-def greedy_search(graph: DataFrame, parts: int, queries: DataFrame, *, beam: int = BEAM, steps: int = STEPS) -> DataFrame:
-    """``q, nbr, sim``: the pool of each query node (column ``q``), once a step
-    (the ``steps``-th or a later one) leaves the best ``SETTLED`` as they were."""
+def greedy_search(graph: DataFrame, parts: int, queries: DataFrame, *, beam: int = BEAM) -> DataFrame:
+    """``q, nbr, sim``: the pool of each query node (column ``q``), when its
+    nearest ``beam`` have all been expanded."""
     pool = cut(graph.join(queries, graph["id"] == queries["q"]).select(
         "q", "vec", "nbr", "sim", F.lit(b"").alias("done")))
 
@@ -484,12 +483,13 @@ def greedy_search(graph: DataFrame, parts: int, queries: DataFrame, *, beam: int
         out = []
         for q, vec, nbr, sim, done in own[["q", "vec", "nbr", "sim", "done"]].itertuples(index=False):
             b, s = np.frombuffer(nbr, np.int64), np.frombuffer(sim, np.float32)
-            done, top = np.union1d(np.frombuffer(done, np.int64), b[:beam]).tobytes(), b[:SETTLED]
+            done = np.union1d(np.frombuffer(done, np.int64), b[:beam])
             if q in got:
                 b = np.concatenate([b, np.frombuffer(b"".join(got[q]["nbr"]), np.int64)])
                 s = np.concatenate([s, np.frombuffer(b"".join(got[q]["sim"]), np.float32)])
             _, b, s, _ = _best(np.zeros(len(b), np.int64), b, s, np.zeros(len(b), bool), 2 * beam)
-            out.append((q, vec, b.tobytes(), s.astype(np.float32).tobytes(), done, not np.array_equal(b[:SETTLED], top)))
+            out.append((q, vec, b.tobytes(), s.astype(np.float32).tobytes(), done.tobytes(),
+                        not np.isin(b[:beam], done).all()))
         give_back()
         return pd.DataFrame(out, columns=["q", "vec", "nbr", "sim", "done", "moved"])
 
@@ -497,15 +497,13 @@ def greedy_search(graph: DataFrame, parts: int, queries: DataFrame, *, beam: int
     call = F.pmod(F.xxhash64("q"), F.lit(parts)).alias("call")
     here = graph.select("p", "id", "vec", "nbr").groupBy("p")
     settled = []
-    for step in count(1):
+    while True:
         met = (pool.select("q", "vec", "nbr", "done").mapInPandas(ask, ASKED).groupBy("p").cogroup(here)
                .applyInPandas(expand, "q long, to binary"))
         # each query's neighbours of neighbours meet once before they go to their parts
         asked = (pool.select("q", "vec", "nbr").groupBy(call).cogroup(met.groupBy(call)).applyInPandas(split, ASKED))
         near = asked.groupBy("p").cogroup(here).applyInPandas(compare, "q long, nbr binary, sim binary")
         pool = cut(pool.groupBy(call).cogroup(near.groupBy(call)).applyInPandas(gather, POOL))
-        if step < steps:
-            continue
         settled.append(pool.filter(~F.col("moved")).select("q", "nbr", "sim"))
         pool = pool.filter("moved")
         if not pool.limit(1).count():
