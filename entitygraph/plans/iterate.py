@@ -10,15 +10,21 @@
   broadcast whose row count is bounded by construction, the rest through a
   normal shuffle join.
 * :func:`dense_index` numbers rows 0..n-1 in a global order without a
-  single-partition window (range partitioning + per-partition offsets).
+  single-partition window (range partitioning + per-partition offsets); its
+  partitions grow with the counted rows and bytes.
+* :func:`bucketed` writes a table clustered by keys, so later joins and
+  aggregates on them read it in place.
 """
 
 from __future__ import annotations
 
 import math
+import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import remove_path, scratch_path
 
@@ -27,6 +33,8 @@ _POS_MASK = (1 << 33) - 1
 HOT_ROWS = 1_000_000
 #: So many of the heaviest keys are spread: the bound of the broadcast.
 MAX_HOT = 100_000
+#: A partition of a global index has about so many rows and bytes at most.
+PART_ROWS, PART_BYTES = 1_000_000, 64 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -131,18 +139,75 @@ def split_hub_join(big: DataFrame, small: DataFrame, key: str, weight: str,
     return hot.unionByName(cold.select(*big.columns, *small_cols))
 
 
+def bucketed(df: DataFrame, keys: list[str], buckets: int, *, cluster: bool = True) -> DataFrame:
+    """Write ``df`` once as a parquet table bucketed by ``keys`` under the shared
+    checkpoint folder and return a scan of it.
+
+    Joins and aggregates on the keys read the buckets in place (no exchange
+    of this side), and a lost executor reads the files again.  ``cluster``: move
+    each key's rows to one task first, so a bucket is one file; without it every
+    task writes the buckets that it holds.  Delete it with :func:`release`.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "buckets")
+    name = os.path.basename(path).replace("-", "_")
+    rows = df.repartition(buckets, *keys) if cluster else df
+    rows.write.option("path", path).bucketBy(buckets, *keys).saveAsTable(name)
+    out = spark.table(name)
+    out.schema                     # resolved now: the scan needs the catalog no more
+    spark.sql(f"DROP TABLE {name}")
+    out._scratch = path
+    return out
+
+
+def _value_bytes(value: Column, kind: T.DataType) -> Column:
+    """About the bytes of a value; a null has none."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value).cast("long")
+    elif isinstance(kind, T.StructType):
+        size = reduce(Column.__add__, [_value_bytes(value[f.name], f.dataType) for f in kind], F.lit(0).cast("long"))
+    elif isinstance(kind, (T.ArrayType, T.MapType)):
+        size = F.size(value).cast("long") * F.lit(16)
+    else:
+        return F.lit(8).cast("long")
+    return F.coalesce(size, F.lit(0).cast("long"))
+
+
+def table_size(df: DataFrame) -> tuple[int, int]:
+    """Rows and about the bytes of ``df``, counted in one pass."""
+    each = reduce(Column.__add__, [_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema],
+                  F.lit(0).cast("long"))
+    row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(each), F.lit(0))).first()
+    return int(row[0]), int(row[1])
+
+
+def sized_partitions(spark, rows: int, size: int) -> int:
+    """Partitions of at most about :data:`PART_ROWS` rows and
+    :data:`PART_BYTES` bytes, without an upper limit on their number."""
+    return max(resident_partitions(spark, rows, PART_ROWS), -(-size // PART_BYTES))
+
+
 def dense_index(df: DataFrame, order: list[Column], name: str = "idx",
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, *, spread_ties: bool = False) -> DataFrame:
     """Add ``name`` = position (0-based, bigint) of each row in ``order``.
 
     Rows are range-partitioned on the full sort key (a large group spreads
     over several partitions), sorted inside each partition, materialised,
-    and shifted by the row count of all earlier partitions.  The offset table
-    has one row per partition, so its broadcast is bounded.
+    and shifted by the row count of all earlier partitions.  The number of
+    partitions follows from counted rows and bytes (one more pass over
+    ``df``, without its computed columns of fixed width), so a partition's size
+    does not grow with the table.  The offset table has one row per partition,
+    so its broadcast is bounded.
+
+    ``spread_ties``: rows that agree in the whole sort key (one row repeated)
+    are spread too, by the row's own number.  ``df`` must then be a scan of
+    files and what follows from each of its rows alone, so that a task that
+    runs again numbers its rows alike.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    n = partitions or sized_partitions(spark, *table_size(df))
+    rows, keys = (df.withColumn("__own", F.monotonically_increasing_id()), [*order, F.col("__own")]) if spread_ties \
+        else (df, order)
+    s = (rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("__own")
            .withColumn("__pid", F.spark_partition_id())
            .withColumn("__pos", F.monotonically_increasing_id().bitwiseAND(F.lit(_POS_MASK))))
     s = cut(s)
