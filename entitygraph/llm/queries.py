@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, near_dups, neighbours, packing, quality_model, quality_rules, sharding, token_store
+from . import (chat, language, mixing, near_dups, neighbours, packing, quality_model, quality_rules, sharding,
+               token_store, vector_codes)
 from .common import table
 
 
@@ -56,6 +57,10 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bin_completion": op1_bin_completion,
     "op2_token_store": op2_token_store,
@@ -67,10 +72,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_setsketch": op8_setsketch,
     "op9_host_rules": op9_host_rules,
     "op10_systematic_mix": op10_systematic_mix,
+    "op12_resident_lloyd": op12_resident_lloyd,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+
+def _lloyd_sql(rounds: int = 6) -> str:
+    """Integer product codes with unrolled rounds: x(r, j, i, x) are components
+    (row, part, position), c0, c1, ... the codebooks (part, entry, position)."""
+    steps = ["""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label,
+        list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+      WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, 8 * i // len(q) AS j, i, q[i + 1] AS x FROM (SELECT r, q, unnest(range(len(q))) AS i FROM v)),
+c0 AS MATERIALIZED (SELECT r AS e, j, i, x AS c FROM x WHERE r < 16)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (SELECT r, j, min({{'d': d, 'e': e}}) AS b FROM (SELECT r, x.j, e, sum((x - c) * (x - c)) AS d
+      FROM x JOIN c{k} c ON x.j = c.j AND x.i = c.i GROUP BY ALL) GROUP BY r, j)""")
+        if k < rounds:
+            steps.append(f"""
+c{k + 1} AS MATERIALIZED (SELECT c.e, c.j, c.i, coalesce((s - ((s % n) + n) % n) // n, c) AS c FROM c{k} c LEFT JOIN
+      (SELECT b.e AS e, x.j, x.i, sum(x) AS s, count(*) AS n FROM x JOIN a{k} a ON x.r = a.r AND x.j = a.j GROUP BY ALL) m
+      ON m.e = c.e AND m.j = c.j AND m.i = c.i)""")
+    return ",".join(steps) + f""",
+g AS (SELECT r, string_agg(printf('%02x', b.e), '' ORDER BY j) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY j, e, i)) FROM c{rounds}) AS codebooks_sha256
+FROM g JOIN v USING (r)"""
+
+
 ORACLE: dict[str, str] = {
     "op3_snapshot_collapse": """
 WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p,
@@ -119,4 +151,5 @@ SELECT doc_id, size, source_size, target,
   CAST(least(floor((pos + 1) * (target / source_size) + u) - floor(pos * (target / source_size) + u),
         ceil(target / source_size)) * size AS BIGINT) AS taken
 FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source""",
+    "op12_resident_lloyd": _lloyd_sql(),
 }
