@@ -214,5 +214,7 @@ def dense_index(df: DataFrame, order: list[Column], name: str = "idx",
     counts = s.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    out = s.join(F.broadcast(offsets), "__pid")
-    return out.select(*df.columns, (F.col("__off") + F.col("__pos")).cast("long").alias(name))
+    out = s.join(F.broadcast(offsets), "__pid").select(
+        *[F.col(f"`{c}`") for c in df.columns], (F.col("__off") + F.col("__pos")).cast("long").alias(name))
+    out._scratch = s._scratch        # what release() of the result deletes
+    return out
