@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat, language, mixing, near_dups, neighbours, packing, quality_model, quality_rules, sharding,
-               token_store, vector_codes)
+from . import (chat, language, manifest, mixing, near_dups, neighbours, packing, quality_model, quality_rules,
+               sharding, token_store, vector_codes)
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_pointer_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 def op12_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
@@ -72,12 +76,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_setsketch": op8_setsketch,
     "op9_host_rules": op9_host_rules,
     "op10_systematic_mix": op10_systematic_mix,
+    "op11_pointer_proofs": op11_pointer_proofs,
     "op12_resident_lloyd": op12_resident_lloyd,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _told_sql(text: str) -> str:
+    """The fields of a leaf written one after another."""
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields)
+
+
 def _lloyd_sql(rounds: int = 6) -> str:
     """Integer product codes with unrolled rounds: x(r, j, i, x) are components
     (row, part, position), c0, c1, ... the codebooks (part, entry, position)."""
@@ -151,5 +162,32 @@ SELECT doc_id, size, source_size, target,
   CAST(least(floor((pos + 1) * (target / source_size) + u) - floor(pos * (target / source_size) + u),
         ceil(target / source_size)) * size AS BIGINT) AS taken
 FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source""",
+    "op11_pointer_proofs": f"""
+WITH RECURSIVE f AS (SELECT *, CAST(doc_id AS VARCHAR) AS k, CASE WHEN text IS NOT NULL AND list_reduce(list_concat([4294967295],
+        flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), {', '.join(['-1'] * 8)}]))),
+        lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) % 2 = 1
+        THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents),
+d AS MATERIALIZED (SELECT doc_id, source, sha256({_told_sql('text')}) AS leaf, sha256({_told_sql('changed')}) AS tampered FROM f),
+r AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+up AS (SELECT tree, 0 AS h, pos, leaf AS x, count(*) OVER (PARTITION BY tree) AS n FROM r UNION ALL
+  SELECT tree, h + 1, pos // 3, sha256(string_agg(x, '' ORDER BY pos)), CAST(ceil(max(n) / 3) AS BIGINT) FROM up
+  WHERE n > 1 GROUP BY tree, h, pos // 3),
+over AS (SELECT 0 AS h, tree AS pos, x, count(*) OVER () AS n FROM up WHERE n = 1 UNION ALL
+  SELECT h + 1, pos // 3, sha256(string_agg(x, '' ORDER BY pos)), CAST(ceil(max(n) / 3) AS BIGINT) FROM over WHERE n > 1 GROUP BY h, pos // 3),
+sib AS MATERIALIZED (SELECT a.tree, a.h, a.pos, a.n, coalesce(string_agg(b.x, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.x, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM (SELECT tree, h, pos, x, n FROM up UNION ALL SELECT -1, h, pos, x, n FROM over) a
+  JOIN (SELECT tree, h, pos, x FROM up UNION ALL SELECT -1, h, pos, x FROM over) b
+  ON a.tree = b.tree AND a.h = b.h AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+walk AS (SELECT tree AS t0, pos AS p0, tree, 0 AS h, pos, tampered AS x, '' AS proof FROM r UNION ALL
+  SELECT t0, p0, CASE WHEN s.n IS NULL THEN -1 ELSE w.tree END, CASE WHEN s.n IS NULL THEN 0 ELSE w.h + 1 END,
+    CASE WHEN s.n IS NULL THEN w.tree ELSE w.pos // 3 END, CASE WHEN s.n IS NULL THEN w.x ELSE sha256(s.l || w.x || s.r) END,
+    CASE WHEN s.n IS NULL THEN proof ELSE proof || s.l || s.r END
+  FROM walk w LEFT JOIN sib s ON w.tree = s.tree AND w.h = s.h AND w.pos = s.pos WHERE w.tree >= 0 OR s.n IS NOT NULL),
+ended AS (SELECT t0, p0, arg_max(x, h) AS folded, arg_max(proof, h) AS proof FROM walk WHERE tree = -1 GROUP BY t0, p0)
+SELECT doc_id, leaf, u.x AS subroot, o.x AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = o.x AS verified
+FROM r JOIN ended ON r.tree = t0 AND r.pos = p0 JOIN (SELECT tree, x FROM up WHERE n = 1) u ON u.tree = r.tree,
+  (SELECT x FROM over WHERE n = 1) o""",
     "op12_resident_lloyd": _lloyd_sql(),
 }
