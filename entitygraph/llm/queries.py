@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (chat, language, manifest, mixing, near_dups, neighbours, packing, quality_model, quality_rules,
-               sharding, token_store, vector_codes)
+               sharding, token_store, vector_codes, vector_dups)
 from .common import table
 
 
@@ -65,6 +65,10 @@ def op12_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_p_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bin_completion": op1_bin_completion,
     "op2_token_store": op2_token_store,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_systematic_mix": op10_systematic_mix,
     "op11_pointer_proofs": op11_pointer_proofs,
     "op12_resident_lloyd": op12_resident_lloyd,
+    "op13_p_stable": op13_p_stable,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -190,4 +195,16 @@ SELECT doc_id, leaf, u.x AS subroot, o.x AS root, sha256(proof) AS proof_sha256,
 FROM r JOIN ended ON r.tree = t0 AND r.pos = p0 JOIN (SELECT tree, x FROM up WHERE n = 1) u ON u.tree = r.tree,
   (SELECT x FROM over WHERE n = 1) o""",
     "op12_resident_lloyd": _lloyd_sql(),
+    "op13_p_stable": """
+WITH RECURSIVE e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS MATERIALIZED (SELECT * FROM e WHERE len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+      AND len(list_filter(x, lambda y: y <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.r <> b.r AND len(a.x) = len(b.x)
+      AND list_cosine_similarity(a.x, b.x) >= 0.95),
+w AS (SELECT a, b FROM l UNION SELECT w.a, l.b FROM w JOIN l ON w.b = l.a),
+c AS (SELECT a, min(vec_id) AS least FROM w JOIN e ON e.r = w.b GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(least, vec_id)) AS kept
+FROM e LEFT JOIN c ON c.a = e.r LEFT JOIN n ON n.a = e.r""",
 }
