@@ -32,7 +32,6 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -49,6 +48,8 @@ from .common import cut, give_back
 
 COSINE, WIDTH, MISS, SEED = 0.95, 2.0, 0.005, 13
 BLOCK, PIVOTS = 1024, 1024
+#: Meetings of so many rows are compared together with others, larger ones in strips of so many.
+SMALL = 32
 #: An angle may be wrong by less than this.
 _EPS = 1e-6
 
@@ -111,16 +112,12 @@ def classes_of(rows: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """``id, digest`` of every row (null: unusable) and ``cls, digest, n, rep,
     vec`` of every distinct vector."""
 
-    def digests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            raw = [None if v is None else (np.asarray(v, np.float64) + 0.0).astype(kind).tobytes() for v in f["v"]]
-            yield pd.DataFrame({"id": f["id"], "vec": raw, "digest": [
-                None if r is None else hashlib.blake2b(r, digest_size=20).digest() for r in raw]})
-        give_back()
+    @F.pandas_udf("binary")
+    def packed(v: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else (np.asarray(x, np.float64) + 0.0).astype(kind).tobytes() for x in v], dtype=object)
 
-    id_type = rows.schema["id"].dataType.simpleString()
-    seen = cut(rows.select("id", F.when(usable(F.col("v")), F.col("v")).alias("v"))
-               .mapInPandas(digests, f"id {id_type}, vec binary, digest binary"))
+    vec = packed(F.when(usable(F.col("v")), F.col("v")))
+    seen = cut(rows.select("id", vec.alias("vec")).withColumn("digest", F.unhex(F.sha2("vec", 256))))
     classes = (seen.filter(F.col("digest").isNotNull()).groupBy("digest")
                .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"), F.min("vec").alias("vec")))
     return seen.select("id", "digest"), cut(classes.withColumn("cls", F.monotonically_increasing_id()))
@@ -237,35 +234,49 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def linked(group: pd.DataFrame, kind: str, cosine: float) -> pd.DataFrame | None:
-    """``cls, links, to`` of the rows of one meeting that have links."""
-    group = group.sort_values("cls")
-    tbl, i, j = (int(group[c].iloc[0]) for c in ("tbl", "i", "j"))
-    if len(group["vec"].map(len).unique()) > 1:       # another length cannot link
-        most = group["vec"].map(len)
-        found = [linked(group[most == s], kind, cosine) for s in most.unique()]
-        found = [f for f in found if f is not None]
-        return pd.concat(found) if found else None
-    own, crowd, n = (group[c].to_numpy() for c in ("own", "crowd", "n"))
-    x = unit(np.frombuffer(b"".join(group["vec"]), kind).reshape(len(group), -1))
-    codes = np.stack(group["codes"].to_numpy())
-    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    if not len(left) or not len(right):
-        return None
-    hit = x[left] @ x[right].T >= cosine
-    if i == j:
-        hit = np.triu(hit, 1)
-    a, b = np.nonzero(hit)
-    a, b = left[a], right[b]
-    new = ((crowd[a] < 0) | (crowd[a] != crowd[b])) & ~(codes[a, :tbl] == codes[b, :tbl]).any(1)
-    a, b = a[new], b[new]
-    if not len(a):
-        return None
-    links = np.bincount(a, n[b], len(x)) + np.bincount(b, n[a], len(x))
-    with_links = np.flatnonzero(links)
-    cls = group["cls"].to_numpy()
-    return pd.DataFrame({"cls": cls[with_links], "links": links[with_links].astype(np.int64),
-                         "to": cls[local_components(len(x), a, b)[with_links]]})
+def met_pairs(ends: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of the pairs that meet, in bounded pieces: meetings of few
+    rows (most buckets) by size, others one by one, block against block."""
+    start, size = ends[:-1], np.diff(ends)
+    alone = i[start] == j[start]
+    for s in np.unique(size[(size <= SMALL) & alone]).tolist():
+        a, b = np.triu_indices(s, 1)
+        here = start[(size == s) & alone][:, None]
+        yield (here + a).ravel(), (here + b).ravel()
+    for g in np.flatnonzero((size > SMALL) | ~alone).tolist():
+        rows = np.arange(ends[g], ends[g + 1])
+        left, right = rows[own[rows] == i[rows[0]]], rows[own[rows] == j[rows[0]]]
+        for x in range(0, len(left), SMALL):
+            a, b = np.meshgrid(left[x:x + SMALL], right, indexing="ij")
+            keep = (a < b) if alone[g] else np.ones(a.shape, bool)
+            yield a[keep], b[keep]
+
+
+def linked(frame: pd.DataFrame, kind: str, cosine: float) -> pd.DataFrame:
+    """``cls, links, to`` of the rows of whole meetings that have links there;
+    rows are in order of (tbl, code, i, j, cls)."""
+    meeting = frame[["tbl", "code", "i", "j"]].to_numpy()
+    ends = np.concatenate([[0], np.flatnonzero((meeting[1:] != meeting[:-1]).any(1)) + 1, [len(frame)]])
+    cls, own, crowd, n = (frame[c].to_numpy() for c in ("cls", "own", "crowd", "n"))
+    codes, tbl = np.stack(frame["codes"].to_numpy()), meeting[:, 0]
+    length = frame["vec"].map(len).to_numpy()
+    x = np.zeros((len(frame), length.max() // np.dtype(kind).itemsize))
+    for here, v in _by_length(frame["vec"], kind):
+        x[here, :v.shape[1]] = v
+    pairs = [(np.empty(0, np.int64),) * 2]
+    for a, b in met_pairs(ends, own, meeting[:, 2], meeting[:, 3]):
+        near = (length[a] == length[b]) & ((crowd[a] < 0) | (crowd[a] != crowd[b]))
+        a, b = a[near], b[near]
+        near = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+        a, b = a[near], b[near]
+        before = np.arange(codes.shape[1]) < tbl[a][:, None]       # shared by an earlier table: counted there
+        new = ~((codes[a] == codes[b]) & before).any(1)
+        pairs.append((a[new], b[new]))
+    a, b = (np.concatenate(p) for p in zip(*pairs))
+    links = np.bincount(a, n[b], len(frame)) + np.bincount(b, n[a], len(frame))
+    some = np.flatnonzero(links)
+    return pd.DataFrame({"cls": cls[some], "links": links[some].astype(np.int64),
+                         "to": cls[local_components(len(frame), a, b)[some]]})
 
 
 def links_of(meets: DataFrame, packed: DataFrame, kind: str, cosine: float, row_bytes: int) -> DataFrame:
@@ -273,26 +284,21 @@ def links_of(meets: DataFrame, packed: DataFrame, kind: str, cosine: float, row_
     key = ["tbl", "code", "i", "j"]
     count = meets.count()
     parts = sized_partitions(meets.sparkSession, count, count * row_bytes)
-    rows = meets.join(packed, "cls").repartition(parts, *key).sortWithinPartitions(*key)
+    rows = meets.join(packed, "cls").repartition(parts, *key).sortWithinPartitions(*key, "cls")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def groups():
-            rest = None
-            for f in frames:
-                f = f if rest is None else pd.concat([rest, f], ignore_index=True)
-                if not len(f):
-                    continue
-                changes = (f[key].to_numpy()[1:] != f[key].to_numpy()[:-1]).any(1)
-                ends = [0, *(np.flatnonzero(changes) + 1).tolist()]
-                for x, y in zip(ends, ends[1:]):
-                    yield f.iloc[x:y]
-                rest = f.iloc[ends[-1]:]
-            if rest is not None and len(rest):
-                yield rest
-
-        for g in groups():
-            if len(g) > 1 and (found := linked(g, kind, cosine)) is not None:
-                yield found
+        rest = None                                                  # of a meeting that may go on
+        for f in frames:
+            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            if not len(f):
+                continue
+            last = (f[key].to_numpy() == f[key].to_numpy()[-1]).all(1)
+            first = int(np.flatnonzero(last)[0])
+            if first:
+                yield linked(f.iloc[:first], kind, cosine)
+            rest = f.iloc[first:]
+        if rest is not None and len(rest):
+            yield linked(rest, kind, cosine)
         give_back()
 
     return cut(rows.mapInPandas(compare, "cls long, links long, to long"))
