@@ -9,6 +9,10 @@ component with a third of all vertices ends as one star) into one task, so it
 goes through :func:`split_hub_join`: heavy keys are broadcast (their count is
 bounded by ``2|E| / threshold``), light keys shuffle.
 
+Before the first round every task contracts its own edges: a union-find over
+at most ``LOCAL_EDGES`` of them at a time leaves a star per local component, so
+the first shuffles carry at most a row per vertex and task, not the edges.
+
 Stop test per round: row count and an order-free 64-bit hash sum of the edge
 set equal the previous round's.  It is then confirmed exactly (no vertex is
 both a centre and a leaf, i.e. the edge set is a forest of stars centred on
@@ -17,10 +21,15 @@ their minimum) before labels are read off.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.iterate import bounded_threshold, cut, release, salted_join, split_hub_join
+from ..session import ship_package
 from .clean import Graph
 
 
@@ -36,6 +45,52 @@ def _is_star_forest(ee: DataFrame) -> bool:
     return both.limit(1).count() == 0
 
 
+#: Edges that a task contracts at a time.
+LOCAL_EDGES = 500_000
+
+
+def least_members(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least member of the component of each of ``n`` nodes under edges a-b."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (up := new[new]).tobytes() != new.tobytes():
+            new = up
+        if (new == label).all():
+            return label
+        label = new
+
+
+def local_stars(edges: DataFrame) -> DataFrame:
+    """``(a, b)``: edges with the components of ``edges`` (columns of one type),
+    each task's own contracted to stars around their least vertex."""
+    kind = edges.schema[0].dataType.simpleString()
+
+    def contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, rows = [], 0
+        for f in frames:
+            kept.append(f)
+            rows += len(f)
+            if rows >= LOCAL_EDGES:
+                yield stars(kept)
+                kept, rows = [], 0
+        if rows:
+            yield stars(kept)
+
+    def stars(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        ends = np.concatenate([f.iloc[:, i].to_numpy() for i in (0, 1) for f in frames])
+        code, names = pd.factorize(ends, sort=True)
+        low = least_members(len(names), code[:len(code) // 2], code[len(code) // 2:])
+        leaves = np.flatnonzero(low != np.arange(len(names)))
+        return pd.DataFrame({"a": names[low[leaves]], "b": names[leaves]})
+
+    ship_package(edges.sparkSession)
+    return edges.mapInPandas(contract, f"a {kind}, b {kind}")
+
+
 def connected_components(graph: Graph, *, hub_degree: int = 1_000_000, max_hubs: int = 100_000,
                          stats: dict | None = None) -> DataFrame:
     """``(id, component)`` for every vertex; ``component`` is the smallest id
@@ -45,7 +100,7 @@ def connected_components(graph: Graph, *, hub_degree: int = 1_000_000, max_hubs:
     ``stats``: optional dict that receives ``rounds`` (star-step pairs run).
     """
     e = graph.edges.filter(F.col("src") != F.col("dst"))
-    ee = cut(e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    ee = cut(local_stars(e.select("src", "dst")).distinct())
     n, h = _stats(ee)
     rounds = 0
     while n:  # to the fixed point: rounds grow with the log of the diameter

@@ -5,17 +5,21 @@ from __future__ import annotations
 import math
 import os
 
-from pyspark import StorageLevel
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import metric_column, to_number
-from ..plans.iterate import bounded_threshold, cut, dense_index, release, resident_partitions, salted_join
+from ..plans.iterate import bounded_threshold, bucketed, cut, dense_index, release, resident_partitions, salted_join
 from ..schema import LAYOUT_CELL_H, LAYOUT_MIN_CELL_W, LAYOUT_RING_STEP, LAYOUT_TOP
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 from .clean import Graph
 from .components import component_roots, component_scores, connected_components
 
+#: A component of at most so many edges is walked inside one task.
+SMALL_EDGES = 200_000
+
 
 def undirected_adjacency(edges: DataFrame) -> DataFrame:
     """``(u, v)``: distinct neighbour pairs in both directions, no self-loops."""
@@ -27,9 +31,9 @@ def undirected_adjacency(edges: DataFrame) -> DataFrame:
 
 def resident_adjacency(edges: DataFrame, hub_degree: int = 1_000_000, max_hubs: int = 100_000,
                        partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """``(u, salt, v, v_nsalt)``: the undirected adjacency, cached and
-    hash-partitioned on ``(u, salt)`` so repeated joins on ``u`` never move it;
-    and ``(u, nsalt)`` of its hubs.
+    """``(u, salt, v, v_nsalt)``: the undirected adjacency, written once and
+    bucketed by ``(u, salt)`` so repeated joins on ``u`` never move it; and
+    ``(u, nsalt)`` of its hubs.
 
     A vertex with more than ``threshold`` neighbours is spread over
     ``ceil(deg / threshold)`` salts (``salt = xxhash64(v) mod nsalt``); the
@@ -53,28 +57,100 @@ def resident_adjacency(edges: DataFrame, hub_degree: int = 1_000_000, max_hubs:
               .select("u", F.when(F.col("nsalt").isNull(), F.lit(0))
                       .otherwise(F.pmod(F.xxhash64("v"), F.col("nsalt"))).cast("int").alias("salt"),
                       "v", F.coalesce("v_nsalt", F.lit(1)).cast("int").alias("v_nsalt")))
-    adj = (adj.repartition(parts, "u", "salt").sortWithinPartitions("u", "salt")
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    adj.count()
-    return adj, hubs
+    return bucketed(adj, ["u", "salt"], parts), hubs
+
+
+def walk(edges: np.ndarray, roots: np.ndarray, n: int) -> np.ndarray:
+    """Undirected distance of ``n`` nodes from the nearest root (-1: none)."""
+    src, dst = np.concatenate([edges[0], edges[1]]), np.concatenate([edges[1], edges[0]])
+    dst = dst[np.argsort(src, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))])
+    dist, front, depth = np.full(n, -1), np.unique(roots), 0
+    while len(front):
+        dist[front] = depth
+        size = first[front + 1] - first[front]
+        at = np.repeat(first[front] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        near = dst[at]
+        front, depth = np.unique(near[dist[near] < 0]), depth + 1
+    return dist
+
+
+def walked_at_once(edges: DataFrame, roots: DataFrame, parts: int) -> DataFrame:
+    """``(component, id, root, layer)`` of whole components of bounded size:
+    each lies in one of ``parts`` groups, which a task walks in memory, so the
+    depth costs no jobs.  ``edges``: ``label, src, dst``; ``roots``: ``label,
+    component, root``."""
+
+    def walk_part(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        is_root = frame["dst"].isna().to_numpy()
+        ends = frame["src"].where(~is_root, frame["root"])
+        code, names = pd.factorize(np.concatenate([ends.to_numpy(), frame["dst"].to_numpy()[~is_root]]))
+        a, b = code[:len(frame)], code[len(frame):]
+        dist = walk((a[~is_root], b), a[is_root], len(names))
+        # a node's component is that of any of its rows
+        comp, labels = pd.factorize(frame["label"])
+        of = np.zeros(len(names), np.int64)
+        of[a] = comp
+        of[b] = comp[~is_root]
+        told = frame[is_root].set_index("label").reindex(labels)
+        reached = np.flatnonzero(dist >= 0)
+        return pd.DataFrame({"component": told["component"].to_numpy()[of[reached]], "id": names[reached],
+                             "root": told["root"].to_numpy()[of[reached]], "layer": dist[reached].astype(np.int32)})
+
+    rows = (edges.select("label", "src", "dst", F.lit(None).cast("string").alias("component"), F.lit(None).cast("string").alias("root"))
+            .unionByName(roots.select("label", F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"),
+                                      "component", "root")))
+    part = F.pmod(F.xxhash64("label"), F.lit(parts)).cast("int")
+    ship_package(edges.sparkSession)
+    return rows.withColumn("part", part).groupBy("part").applyInPandas(
+        walk_part, "component string, id string, root string, layer int")
+
+
+def bfs_layers(graph: Graph, roots: DataFrame, *, components: DataFrame | None = None, hub_degree: int = 1_000_000,
+               max_hubs: int = 100_000, small_edges: int = SMALL_EDGES) -> DataFrame:
+    """``(component, id, root, layer)``: undirected BFS distance from each
+    component's root (one root to a component), all components at once.
+
+    A component of at most ``small_edges`` edges is walked inside one task
+    (:func:`walked_at_once`): one job for all of them, however deep they are.  The
+    others go layer by layer over the whole cluster (:func:`walked_by_layers`).
+    ``components``: those of ``graph``, if they are known.  Vertices that no root
+    reaches are absent.
+    """
+    spark = graph.edges.sparkSession
+    comps = components if components is not None else connected_components(graph)
+    label = comps.select("id", F.col("component").alias("label"))
+    e = graph.edges.filter(F.col("src") != F.col("dst")).select("src", "dst")
+    e = cut(salted_join(e, label.withColumnRenamed("id", "src"), "src", "dst"))
+    sizes = cut(e.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    starts = cut(roots.select("component", "root").join(label.withColumnRenamed("id", "root"), "root")
+                 .join(sizes, "label", "left").withColumn("n", F.coalesce("n", F.lit(0))))
+    large = sizes.filter(F.col("n") > small_edges)
+    total = sizes.agg(F.coalesce(F.sum(F.when(F.col("n") <= small_edges, F.col("n"))), F.lit(0)),
+                      F.count_if(F.col("n") > small_edges)).first()
+    some = int(total[1]) > 0
+    within = salted_join(e, large.select("label"), "label", "src", "left_anti") if some else e
+    parts = resident_partitions(spark, int(total[0]) + starts.count(), max(1, 2 * small_edges))
+    out = cut(walked_at_once(within, starts.filter(F.col("n") <= small_edges), parts))
+    if some:
+        beyond = salted_join(e, large.select("label"), "label", "src", "left_semi")
+        out = out.unionByName(walked_by_layers(beyond, starts.filter(F.col("n") > small_edges), hub_degree, max_hubs))
+    release(sizes, starts)
+    return out
 
 
-def bfs_layers(graph: Graph, roots: DataFrame, *, hub_degree: int = 1_000_000,
-               max_hubs: int = 100_000) -> DataFrame:
-    """``(component, id, root, layer)``: undirected BFS distance from each
-    component's root, all components at once.
+def walked_by_layers(edges: DataFrame, roots: DataFrame, hub_degree: int, max_hubs: int) -> DataFrame:
+    """``(component, id, root, layer)``, a few jobs a layer.
 
     In an undirected graph every neighbour of layer d lies in layer d-1, d or
     d+1, so the next frontier is the neighbours of layer d minus layers d and
     d-1: each round's anti-joins are frontier-sized, never against a growing
-    visited set.  The adjacency stays resident (:func:`resident_adjacency`);
-    the frontier is shuffled to its partitioning (or broadcast by the optimizer
-    where it is small in bytes).  Each layer is written as one partition of one
-    table, which the result reads in a single scan whatever the depth.
-    Vertices no root reaches are absent.
+    visited set.  The adjacency stays in its buckets (:func:`resident_adjacency`)
+    and the frontier is shuffled to them.  Each layer is written as one partition
+    of one table, which the result reads in a single scan whatever the depth.
     """
-    spark = graph.edges.sparkSession
-    adj, hubs = resident_adjacency(graph.edges, hub_degree, max_hubs)
+    spark = edges.sparkSession
+    adj, hubs = resident_adjacency(edges, hub_degree, max_hubs)
     table = scratch_path(spark, "layers")
 
     def written(frontier: DataFrame, depth: int) -> DataFrame:
@@ -92,7 +168,7 @@ def bfs_layers(graph: Graph, roots: DataFrame, *, hub_degree: int = 1_000_000,
                            F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"))
         # id determines component, root and nsalt: grouping on id alone leaves
         # the rows hash-partitioned on id, which the anti-joins below reuse
-        nxt = (adj.join(front, ["u", "salt"])
+        nxt = (adj.join(front.hint("shuffle_hash"), ["u", "salt"])
                   .groupBy(F.col("v").alias("id"))
                   .agg(F.max("component").alias("component"), F.max("root").alias("root"),
                        F.max("v_nsalt").alias("nsalt")))
@@ -101,8 +177,7 @@ def bfs_layers(graph: Graph, roots: DataFrame, *, hub_degree: int = 1_000_000,
                 nxt = nxt.join(known.select("id"), "id", "left_anti")
         layer += 1
         prev, cur = cur, written(nxt.select("component", "root", "id", "nsalt"), layer)
-    adj.unpersist()
-    release(hubs)
+    release(adj, hubs)
     return (spark.read.schema("component string, root string, id string, layer int").parquet(table)
             .select("component", "id", "root", "layer"))
 
@@ -114,7 +189,7 @@ def layered_components(graph: Graph, nodes: DataFrame, mode: str = "static",
     root of its component; ``components`` are those of ``graph``)."""
     comps = components if components is not None else connected_components(graph)
     roots = cut(component_roots(comps, nodes, metric_column(mode)))
-    out = bfs_layers(graph, roots)
+    out = bfs_layers(graph, roots, components=comps)
     release(roots)
     return out
 

@@ -9,8 +9,7 @@ Physical plan per round (the edge table never moves after setup):
 
 * setup: out-degree per source (partial aggregate), one vertex-state table
   ``(id, outdeg, nsalt)`` materialised; edges collapsed to ``(src, salt, dst,
-  mult)``, hash-partitioned on ``(src, salt)`` once and cached with that
-  partitioning (a written table would forget it and re-shuffle every round).
+  mult)`` and written once as a table bucketed by ``(src, salt)``.
 * a source whose out-degree exceeds the hub threshold is split over
   ``nsalt`` salts (``salt = xxhash64(dst) mod nsalt``), so no task owns a
   hub's edges alone; the hub table is broadcast once and holds fewer than
@@ -19,19 +18,18 @@ Physical plan per round (the edge table never moves after setup):
   partitions; contributions are summed per target with a map-side partial
   aggregate (a target receiving a third of all edges is combined before the
   shuffle); vertices without in-edges come in through the same aggregate.
-* one plan at every size; the optimizer may broadcast a message table that is
-  small in bytes (``spark.sql.autoBroadcastJoinThreshold``).
+* one plan at every size: the messages are shuffled to the buckets and hashed
+  there.  Nothing is kept in executor memory between rounds.
 * every ``checkpoint_every`` rounds the ranks are cut with a written table
   in the shared checkpoint folder (``plans.iterate.cut``).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.iterate import bounded_threshold, cut, release, resident_partitions
+from ..plans.iterate import bounded_threshold, bucketed, cut, release, resident_partitions
 from ..schema import PAGERANK_ITERATIONS, PAGERANK_RESET
 
 
@@ -41,26 +39,25 @@ def out_degrees(edges: DataFrame) -> DataFrame:
 
 
 def resident_weights(edges: DataFrame, state: DataFrame, partitions: int) -> DataFrame:
-    """``(src, salt, dst, mult)``, cached for all rounds, hash-partitioned on
-    ``(src, salt)`` and sorted by it.
-
-    One shuffle of the raw edges; the aggregate reuses its partitioning and the
-    cached table keeps it (AQE leaves an explicit partition count alone), so
-    every round's join finds the edges clustered and only the messages move.
-    The salt is a computed column also where no source is hot: a constant would
-    be folded out of the partitioning, and every round would move the edges.
-    The lineage is one shuffle away from the (materialised) inputs, so a lost
-    block is rebuilt cheaply.
+    """``(src, salt, dst, mult)``, written once, bucketed by ``(src, salt)``.
+
+    One shuffle of the raw edges; the aggregate reuses its partitioning, and
+    every task writes the one bucket that it holds.  Every round's join reads
+    the buckets where they lie, so only the messages move; a lost executor's
+    buckets are read again from the files.
     """
     hubs = F.broadcast(state.filter(F.col("nsalt") > 1).select(F.col("id").alias("src"), "nsalt"))
     salt = F.when(F.col("nsalt").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("dst"), F.col("nsalt")))
     weights = (edges.join(hubs, "src", "left").select("src", salt.cast("int").alias("salt"), "dst")
                .repartition(partitions, "src", "salt")
-               .groupBy("src", "salt", "dst").agg(F.count(F.lit(1)).alias("mult"))
-               .sortWithinPartitions("src", "salt")          # merge join reads it in order
-               .persist(StorageLevel.MEMORY_AND_DISK))
-    weights.count()        # fill the cache once, before rounds that would race to build it
-    return weights
+               .groupBy("src", "salt", "dst").agg(F.count(F.lit(1)).alias("mult")))
+    return bucketed(weights, ["src", "salt"], partitions, cluster=False)
+
+
+def contributions(weights: DataFrame, msgs: DataFrame) -> DataFrame:
+    """Messages ``(src, salt, msg)`` along the resident edges.  The messages are
+    the hash side at every size: the edges stream past them, unsorted."""
+    return weights.join(msgs.hint("shuffle_hash"), ["src", "salt"])
 
 
 def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_ITERATIONS,
@@ -101,7 +98,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_I
         msgs = senders.select(F.col("id").alias("src"),
                               F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"),
                               (F.col("r") / F.col("outdeg")).alias("msg"))
-        contrib = weights.join(msgs, ["src", "salt"])
+        contrib = contributions(weights, msgs)
         incoming = contrib.select(F.col("dst").alias("id"), F.lit(None).cast("long").alias("outdeg"),
                                   F.lit(None).cast("int").alias("nsalt"),
                                   (F.col("mult") * F.col("msg")).alias("c"))
@@ -114,9 +111,8 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_I
             release(written)
             written = ranks
 
-    weights.unpersist()
     if written is not None:
-        release(degrees)
+        release(weights, degrees)
     total = ranks.agg(F.sum("r")).scalar()
     scaled = F.try_divide(F.col("r") * F.lit(float(n_vertices)), total)
     cols = [F.col("id"), scaled.alias("pagerank")]

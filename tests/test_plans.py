@@ -55,17 +55,19 @@ def test_snapshot_is_replaced_whole(spark, tmp_path):
 
 @pytest.mark.parametrize("salts", [1, 3])
 def test_resident_edges_do_not_move(spark, salts):
-    """A round's join exchanges and sorts the messages only, with and without hubs."""
-    from entitygraph.operators.pagerank import resident_weights
+    """A round's join exchanges the messages only, with and without hubs, and
+    reads the edges in their buckets: nothing is cached, nothing sorted."""
+    from entitygraph.operators.pagerank import contributions, resident_weights
     from entitygraph.plans.iterate import cut
     e = cut(spark.range(1000).select((F.col("id") % 7).cast("string").alias("src"), F.col("id").cast("string").alias("dst")))
     state = cut(e.groupBy(F.col("src").alias("id")).agg(F.lit(salts).alias("nsalt")))
     msgs = state.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"))
     weights = resident_weights(e, state, 8)
-    plan = weights.join(msgs.hint("merge"), ["src", "salt"])._jdf.queryExecution().executedPlan().toString()
-    before = plan[plan.index("SortMergeJoin"):plan.index("InMemoryTableScan")]
-    weights.unpersist()
-    assert "Exchange" not in before and "Sort [" not in before, plan
+    plan = contributions(weights, msgs)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("ShuffledHashJoin"):]
+    assert below.count("Exchange") == 1 and "Sort" not in below and "InMemoryTableScan" not in below
+    edges = next(line for line in below.splitlines() if "Bucketed: true" in line)
+    assert "dst" in edges
 
 
 def test_scan_prunes_columns(spark):
