@@ -7,10 +7,14 @@ has length one.  The idf counts all documents that may be learned from.  The
 weights are trained on the driver with follow-the-regularised-leader (one
 learning rate per weight, elastic-net penalty: the L1 part leaves most weights
 at zero) on at most ``PER_LANGUAGE`` documents of each language, drawn by hash
-of the id; a fifth of them is kept aside and sets the softmax temperature.
-Scoring runs in Spark tasks over whole texts.
+of the id; a fifth of them is kept aside and sets the softmax temperature.  Every
+language is learned, however rare; beyond ``FULL_LANGUAGES`` of them each gives
+fewer documents (at least ``LEAST_ROWS``), as a step costs in proportion to their
+number.  Weights travel to the tasks as their nonzero entries.  Scoring runs in
+Spark tasks over whole texts.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0;
+a lang column of more than ``MAX_TAGS`` values holds no languages and is refused;
 documents with null lang or null id teach nothing but are predicted; if no
 language was learned every document is ``und``; one language only: its score is
 1; repeated rows are scored one by one; an empty table gives an empty result;
@@ -31,9 +35,12 @@ from .common import fold, in_chunks, is_text
 
 BUCKETS = 1 << 14
 FOLDS, HELD_OUT = 4, 2
-#: At most so many documents of a language, on average, teach the weights, and
-#: at most so many languages (those with most documents).
-PER_LANGUAGE, MAX_LANGUAGES = 500, 200
+#: At most so many documents of a language, on average, teach the weights.
+PER_LANGUAGE = 500
+#: With more languages each gives fewer documents, but at least so many.
+FULL_LANGUAGES, LEAST_ROWS = 16, 20
+#: A column with more values is not one of language tags.
+MAX_TAGS = 10_000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 0.1
 UNKNOWN = "und"
 #: The pipeline rejects documents whose language is less sure than this.
@@ -61,6 +68,15 @@ class Model:
         self.languages, self.idf, self.weights, self.bias = languages, idf, weights, bias
         self.temperature = temperature
 
+    def __getstate__(self) -> dict:
+        at = np.flatnonzero(self.weights)
+        return {**self.__dict__, "weights": (self.weights.shape, at, self.weights.reshape(-1)[at])}
+
+    def __setstate__(self, state: dict) -> None:
+        shape, at, value = state["weights"]
+        self.__dict__.update(state, weights=np.zeros(shape, value.dtype))
+        self.weights.reshape(-1)[at] = value
+
     def logits(self, met: np.ndarray, count: np.ndarray) -> np.ndarray:
         x = (1 + np.log(count)) * self.idf[met]
         norm = np.sqrt(x @ x)
@@ -131,11 +147,14 @@ def learnable(docs: DataFrame, text: str, key: str, lang: str) -> DataFrame:
 def train(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str = "lang",
           per_language: int = PER_LANGUAGE) -> Model:
     own = learnable(docs, text, key, lang)
-    counts = (own.groupBy("__lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "__lang")
-              .limit(MAX_LANGUAGES).collect())
+    counts = own.groupBy("__lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_TAGS + 1).collect()
+    if len(counts) > MAX_TAGS:
+        raise ValueError(f"{lang} has more than {MAX_TAGS} values: it does not hold language tags")
     languages = sorted(r["__lang"] for r in counts)
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
+    if len(languages) > FULL_LANGUAGES:
+        per_language = min(per_language, max(LEAST_ROWS, per_language * FULL_LANGUAGES // len(languages)))
     # a language with n documents gives each with probability per_language / n
     share = {r["__lang"]: min(1.0, per_language / r["n"]) for r in counts}
 
