@@ -7,9 +7,11 @@ is dropped by an anti-join, and of equal conversations the least id stays.  The
 rest is rendered, at most ``PART`` turns to a row.
 
 DataFrame functions only.  Positions come from a global index over a range
-partitioning, so a conversation with most of all turns is spread.  The rolling
-hash is a prefix sum of hashes of (position, role, text): sums over blocks of
-``PART`` positions, then over the blocks.  Both sides of the anti-join are
+partitioning, so a conversation with most of all turns, or one turn repeated in
+most rows, is spread (``turns`` are read from files, so that a task run again
+numbers its rows alike).  The rolling hash is a running xor of two 64-bit hashes
+of (position, role, text), over blocks of ``PART`` positions, then over the blocks:
+128 bits, so that two unlike prefixes agree with a probability of about 3e-39.  Both sides of the anti-join are
 aggregated to one row per hash first, so a first turn that every conversation
 shares is one row.
 
@@ -27,8 +29,6 @@ from pyspark.sql import functions as F
 from .common import cut, dense_index
 
 PART = 256
-#: Width of each of the two hashes that are summed: sums of 2^25 turns fit a long.
-_MODULUS = 1 << 38
 
 
 def _told(c: str) -> Column:
@@ -37,7 +37,7 @@ def _told(c: str) -> Column:
 
 
 def _mix(seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), "p", "h1", "h2"), F.lit(_MODULUS))
+    return F.xxhash64(F.lit(seed), "p", "h1", "h2")
 
 
 def positions(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
@@ -46,7 +46,7 @@ def positions(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> D
                         F.col(text).alias("text"), F.xxhash64(_told(role), _told(text)).alias("h1"),
                         F.xxhash64(F.lit(7), _told(text), _told(role)).alias("h2"))
     order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_last(), F.col("h1").asc(), F.col("h2").asc()]
-    idx = dense_index(rows, order, "g")
+    idx = dense_index(rows, order, "g", spread_ties=True)
     first = idx.groupBy("conv").agg(F.min("g").alias("g0"), F.count(F.lit(1)).alias("n"))
     first = cut(first.withColumnRenamed("conv", "c"))
     return idx.join(first, idx["conv"].eqNullSafe(first["c"])).select(
@@ -57,15 +57,16 @@ def prefix_hashes(placed: DataFrame) -> DataFrame:
     """``conv, n, p, a, b``: rolling hash pair of each conversation up to ``p``."""
     rows = placed.select("conv", "n", "p", F.floor((F.col("p") - 1) / F.lit(PART)).alias("part"),
                          _mix(1).alias("x"), _mix(2).alias("y"))
-    sums = rows.groupBy("conv", "part").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    sums = rows.groupBy("conv", "part").agg(F.bit_xor("x").alias("sx"), F.bit_xor("y").alias("sy"))
     before = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("conv").alias("c"), F.col("part").alias("k"),
-                       F.coalesce(F.sum("sx").over(before), F.lit(0)).alias("bx"),
-                       F.coalesce(F.sum("sy").over(before), F.lit(0)).alias("by"))
+                       F.coalesce(F.bit_xor("sx").over(before), F.lit(0)).alias("bx"),
+                       F.coalesce(F.bit_xor("sy").over(before), F.lit(0)).alias("by"))
     own = Window.partitionBy("conv", "part").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("x", F.sum("x").over(own)).withColumn("y", F.sum("y").over(own))
+    rows = rows.withColumn("x", F.bit_xor("x").over(own)).withColumn("y", F.bit_xor("y").over(own))
     j = rows.join(sums, rows["conv"].eqNullSafe(sums["c"]) & (rows["part"] == sums["k"]))
-    return j.select("conv", "n", "p", (F.col("x") + F.col("bx")).alias("a"), (F.col("y") + F.col("by")).alias("b"))
+    return j.select("conv", "n", "p", F.col("x").bitwiseXOR(F.col("bx")).alias("a"),
+                    F.col("y").bitwiseXOR(F.col("by")).alias("b"))
 
 
 def maximal_conversations(placed: DataFrame) -> DataFrame:
