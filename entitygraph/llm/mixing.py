@@ -13,7 +13,9 @@ most about one longest document.
 
 DataFrame functions only.  The prefix sum is a global rank over a range
 partitioning (:func:`entitygraph.plans.iterate.dense_index`), so a source
-holding most rows is spread over all tasks.
+holding most rows, or one row repeated in most of the table, is spread over all
+tasks (documents are read from files, so that a task run again numbers its rows
+alike).  The number of partitions follows from the rows and bytes.
 
 Defined cases: null or empty text has size 0 (it can be emitted but takes
 nothing); a null source is a source of its own, last in order; a source
@@ -81,7 +83,7 @@ def sample_copies(rows: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat:
     source's first rank is the position within the source.
     """
     idx = dense_index(rows, [F.col("source").asc_nulls_last(), F.col("size").asc(), F.col("__key").asc_nulls_last()],
-                      "__rank")
+                      "__rank", spread_ties=True)
     first = idx.groupBy("source").agg(F.min("__rank").alias("__first"))
     targets = source_targets(idx.select("source", "size"), weights, max_repeat)
     per_source = cut(targets.join(first, targets["source"].eqNullSafe(first["source"])).select(
