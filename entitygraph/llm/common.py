@@ -5,10 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -16,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.iterate import cut, dense_index  # noqa: F401  (re-exported)
+from ..session import ship_package
 
 #: Bytes that separate words: space and \t \n \v \f \r (what bytes.split() splits on).
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
 
 
-_SHIPPED: set[str] = set()
 #: Whole texts go to Python workers, so batches are kept to so many rows.
 BATCH_ROWS = 1000
 
@@ -30,19 +27,10 @@ def ship(spark: SparkSession) -> None:
     """Prepare a session for these operators: short Arrow batches, and this
     package for the Python workers (as ``--py-files`` does, once per
     application: they need not have been started where it is installed)."""
-    sc, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
-    if sc.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    # staged on the driver only: Spark's file server hands it to the executors
-    target = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(target))
-    _SHIPPED.add(sc.applicationId)
+    ship_package(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
