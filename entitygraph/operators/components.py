@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.iterate import bounded_threshold, cut, release, salted_join, split_hub_join
-from ..session import ship_package
+from ..session import give_back, ship_package
 from .clean import Graph
 
 
@@ -79,6 +79,7 @@ def local_stars(edges: DataFrame) -> DataFrame:
                 kept, rows = [], 0
         if rows:
             yield stars(kept)
+        give_back()
 
     def stars(frames: list[pd.DataFrame]) -> pd.DataFrame:
         ends = np.concatenate([f.iloc[:, i].to_numpy() for i in (0, 1) for f in frames])

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,8 +34,8 @@ _POS_MASK = (1 << 33) - 1
 HOT_ROWS = 1_000_000
 #: So many of the heaviest keys are spread: the bound of the broadcast.
 MAX_HOT = 100_000
-#: A partition of a global index has about so many rows and bytes at most.
-PART_ROWS, PART_BYTES = 1_000_000, 64 << 20
+#: A partition of a global index has about so many rows at most.
+PART_ROWS = 1_000_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -181,9 +182,12 @@ def table_size(df: DataFrame) -> tuple[int, int]:
 
 
 def sized_partitions(spark, rows: int, size: int) -> int:
-    """Partitions of at most about :data:`PART_ROWS` rows and
-    :data:`PART_BYTES` bytes, without an upper limit on their number."""
-    return max(resident_partitions(spark, rows, PART_ROWS), -(-size // PART_BYTES))
+    """Partitions of at most about :data:`PART_ROWS` rows and the bytes that a
+    scan's task reads (``spark.sql.files.maxPartitionBytes``, which says what a
+    task of this cluster may hold), without an upper limit on their number."""
+    number, unit = re.fullmatch(r"(\d+)([a-z]*)", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    most = int(number) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(unit[:1], 0)
+    return max(resident_partitions(spark, rows, PART_ROWS), -(-size // max(1, most)))
 
 
 def dense_index(df: DataFrame, order: list[Column], name: str = "idx",

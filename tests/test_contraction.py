@@ -102,8 +102,11 @@ def test_index_partitions_grow_with_rows_and_bytes(spark, monkeypatch):
     monkeypatch.setattr(iterate, "PART_ROWS", 500)
     assert written(few) == small and 30 <= written(many) <= 40
     monkeypatch.setattr(iterate, "PART_ROWS", 10**6)
-    monkeypatch.setattr(iterate, "PART_BYTES", 50_000)
-    assert 40 <= written(many) <= 46
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        assert 40 <= written(many) <= 46
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_index_spreads_equal_rows(spark, monkeypatch):
