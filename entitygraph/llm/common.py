@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.iterate import cut, dense_index  # noqa: F401  (re-exported)
-from ..session import ship_package
+from ..session import give_back, ship_package  # noqa: F401  (re-exported)
 
 #: Bytes that separate words: space and \t \n \v \f \r (what bytes.split() splits on).
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
@@ -53,16 +50,6 @@ def in_chunks(frames: Iterator[pd.DataFrame], text: str, max_chars: int = 2_000_
         give_back()
 
 
-def give_back() -> None:
-    """Return a worker's free memory to the system: idle workers stay alive."""
-    import pyarrow as pa
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def _chunks(frames: Iterator[pd.DataFrame], text: str, max_chars: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         if not len(frame):
