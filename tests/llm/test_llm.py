@@ -253,7 +253,7 @@ def test_bin_completion_beats_or_equals_best_fit():
     rng = np.random.default_rng(5)
     for sizes in (rng.integers(20, 60, 60), rng.integers(34, 50, 40), rng.integers(1, 101, 500), np.full(99, 34)):
         stock = np.bincount(sizes, minlength=101).astype(np.int64)
-        plan = packing.plan_bins(stock, 100)
+        plan = packing.plan_bins(stock, 100).bins
         used = np.zeros(101, np.int64)
         for uses, times in plan:
             assert sum(x * n for x, n in uses.items()) <= 100
@@ -265,6 +265,76 @@ def test_bin_completion_beats_or_equals_best_fit():
         assert packing.lower_bound(rest, 100) <= n <= best
 
 
+def fewest(sizes, capacity):
+    """The least number of sequences, by trying every place for every piece."""
+    sizes, best = sorted(sizes, reverse=True), len(sizes)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for k in set(rooms):
+            if k >= sizes[i]:
+                less = list(rooms)
+                less.remove(k)
+                go(i + 1, less + [k - sizes[i]])
+        go(i + 1, rooms + [capacity - sizes[i]])
+
+    go(0, [])
+    return best
+
+
+def test_bin_completion_is_optimal_on_small_stocks():
+    rng = np.random.default_rng(11)
+    for k in range(100):
+        capacity = int(rng.integers(8, 60))
+        low = int(rng.integers(1, max(2, capacity // 3)))
+        sizes = rng.integers(low, capacity + 1 if k % 2 else max(low + 1, capacity // 2 + 2), int(rng.integers(1, 12)))
+        stock, want = np.bincount(sizes, minlength=capacity + 1).astype(np.int64), fewest(sizes.tolist(), capacity)
+        for rounds in (0, packing.ROUNDS):
+            got = packing.plan_bins(stock, capacity, 100_000, rounds)
+            assert got.ended and got.size == want >= got.bound
+        stock[capacity] = 0
+        apart = [({int(x): 1}, int(stock[x])) for x in np.flatnonzero(stock)]
+        for short_first in (False, True):  # the search alone, from a bad incumbent
+            bins, ended = packing.complete(stock, capacity, apart, 0, 10**6, short_first)
+            assert ended and sum(t for _, t in bins) == want - (sizes == capacity).sum()
+
+
+def test_bin_completion_where_best_fit_is_far_from_the_bound():
+    rng = np.random.default_rng(1)
+    third, half = 4096 // 3, 2048
+    hidden = []
+    for _ in range(100):
+        a = int(rng.integers(1100, 1600))
+        b = int(rng.integers(1000, 4096 - a - 1000))
+        hidden += [a, b, 4096 - a - b]
+    for sizes, gap in ((np.concatenate([rng.integers(third - 60, third + 60, 600), rng.integers(half - 60, half + 60, 400)]), 2),
+                       (rng.integers(700, 2401, 2000), 2), (np.array(hidden), 1)):
+        stock = np.bincount(sizes, minlength=4097).astype(np.int64)
+        got = packing.plan_bins(stock, 4096)
+        assert got.size - got.bound <= gap < sum(t for _, t in packing.best_fit(stock, 4096)) - got.bound
+        used = np.zeros(4097, np.int64)
+        for uses, times in got.bins:
+            assert sum(x * n for x, n in uses.items()) <= 4096
+            for x, n in uses.items():
+                used[x] += n * times
+        assert (used == stock).all()
+
+
+def test_ties_and_repeated_lengths_pack_whole(spark):
+    from pyspark.sql import functions as F
+
+    pieces = spark.range(900).select("id", (F.col("id") % 3 * 0 + 34).alias("length"))
+    got = packing.pack_pieces(pieces, 100).toPandas()
+    assert len(got) == 900 and got.id.nunique() == 900 and got.sequence_id.nunique() == 450
+    assert set(got.gap) == {0} and set(got.offset) == {0, 34}
+    assert not got.duplicated(["sequence_id", "offset"]).any()
+
+
 def test_store_round_trip(spark, docs, odd, none, tmp_path):
     path = packing.tokenizer_path("byte_bpe_50k.json")
     for df in (docs, odd):
