@@ -20,14 +20,14 @@ sequences (mostly wasteful ones) and completing those anew (:func:`refill`).
 The search ends at the lower bound, when no branch is left, or after
 ``max_nodes`` nodes (fillings looked at) for each of its two orders, all after a
 complete solution, which best-fit decreasing gives; refilling after
-``rounds`` rounds.  The result says which: ``gap`` is the number of sequences
+``max_looks`` of them.  The result says which: ``gap`` is the number of sequences
 above the proven lower bound (0: no packing has fewer).
 
 The plan goes back as one table: for each length, runs of piece numbers with
 their sequence and offset.  Each step of the search uses up a length or brings
 a length below its use in that filling, so there are at most
 ``sum(1 + capacity / length)`` steps (about 41,000 at 4096), and refilling adds
-at most 24 fillings a round, with at most 90 lengths each: a proven bound for
+at most one for each filling looked at, with at most 90 lengths each: a proven bound for
 what the tasks receive.  Pieces are numbered within (length, salt) groups, so a
 length shared by most rows is spread.
 
@@ -54,7 +54,7 @@ from .tokens import encoder
 CAPACITY = 4096
 END_ID = 1
 MAX_NODES = 2000
-ROUNDS = 4000
+MAX_LOOKS = 30_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -230,16 +230,20 @@ def dominated(items: list[int], waste: int, longest: np.ndarray, left: np.ndarra
     return False
 
 
-def dive(stock: np.ndarray, capacity: int, short_first: bool) -> list[tuple[dict[int, int], int]]:
-    """The first filling each time, as often as the stock lasts."""
-    rest, plan = Stock(stock, capacity), []
+def dive(stock: np.ndarray, capacity: int, short_first: bool) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """The first filling each time, as often as the stock lasts, and how many
+    fillings were looked at."""
+    rest, plan, looks = Stock(stock, capacity), [], 0
     while rest.left.any():
-        items = next(items for _, items in rest.fillings(short_first) if items)
+        for _, items in rest.fillings(short_first):
+            looks += 1
+            if items:
+                break
         uses = {x: items.count(x) for x in items}
         times = min(int(rest.left[x]) // n for x, n in uses.items())
         rest.take(uses, times)
         plan.append((uses, times))
-    return plan
+    return plan, looks
 
 
 class Packing(NamedTuple):
@@ -302,12 +306,13 @@ def complete(stock: np.ndarray, capacity: int, best: list[tuple[dict[int, int],
 
 
 def refill(best: list[tuple[dict[int, int], int]], capacity: int, bound: int, max_nodes: int,
-           rounds: int) -> list[tuple[dict[int, int], int]]:
+           max_looks: int) -> list[tuple[dict[int, int], int]]:
     """Better incumbents: a few sequences at a time, mostly those that waste
     much, are emptied and completed anew, as many copies at once as there are.
     The new ones replace them if they are fewer or, if as many, fuller at the
-    front, which gathers the waste until a sequence is saved."""
-    rng = np.random.default_rng(0)
+    front, which gathers the waste until a sequence is saved.  Ends at
+    ``bound`` or after ``max_looks`` fillings looked at."""
+    rng, looks, r = np.random.default_rng(0), 0, 0
     stored: dict[tuple, int] = {}
     for uses, times in best:
         key = tuple(sorted(uses.items()))
@@ -316,9 +321,8 @@ def refill(best: list[tuple[dict[int, int], int]], capacity: int, bound: int, ma
     keys, times = list(stored), np.array(list(stored.values()), np.int64)
     at = {key: i for i, key in enumerate(keys)}
     waste = np.array([capacity - fill(key) for key in keys], np.int64)
-    for r in range(rounds):
-        if int(times.sum()) <= bound:
-            break
+    while looks < max_looks and int(times.sum()) > bound:
+        r += 1
         live = np.flatnonzero(times)
         weight = np.minimum(times[live], 32) * (waste[live] + capacity / 256)
         some = min(int(rng.integers(3, 25)), int(times.sum()))
@@ -329,10 +333,12 @@ def refill(best: list[tuple[dict[int, int], int]], capacity: int, bound: int, ma
         for i, c in zip(chosen.tolist(), count.tolist()):
             for x, k in keys[i]:
                 stock[x] += k * c
-        new, low = dive(stock, capacity, bool(r % 2)), lower_bound(stock, capacity)
+        (new, some), low = dive(stock, capacity, bool(r % 2)), lower_bound(stock, capacity)
+        looks += some
         if low < n <= sum(t for _, t in new):
             less, _ = complete(stock, capacity, [(dict(keys[i]), c) for i, c in zip(chosen.tolist(), count.tolist())], low,
                                max_nodes, bool(r % 2))
+            looks += max_nodes
             if sum(t for _, t in less) < n:
                 new = less
         size, full = sum(t for _, t in new), sum(t * fill(u.items()) ** 2 for u, t in new)
@@ -349,7 +355,7 @@ def refill(best: list[tuple[dict[int, int], int]], capacity: int, bound: int, ma
     return [(dict(keys[i]), int(times[i])) for i in np.flatnonzero(times)]
 
 
-def plan_bins(stock: np.ndarray, capacity: int, max_nodes: int = MAX_NODES, rounds: int = ROUNDS) -> Packing:
+def plan_bins(stock: np.ndarray, capacity: int, max_nodes: int = MAX_NODES, max_looks: int = MAX_LOOKS) -> Packing:
     """Sequences for all pieces in ``stock[length]``."""
     stock = stock.astype(np.int64).copy()
     full = [({capacity: 1}, int(stock[capacity]))] if stock[capacity] else []
@@ -364,7 +370,7 @@ def plan_bins(stock: np.ndarray, capacity: int, max_nodes: int = MAX_NODES, roun
     best, ended = best_fit(stock, capacity), False
     size = lambda p: sum(times for _, times in p)
     if size(best) > bound:
-        best = refill(best, capacity, bound, max_nodes // 40, rounds)
+        best = refill(best, capacity, bound, max_nodes // 40, max_looks)
     for short_first in (False, True):
         if size(best) > bound and not ended:
             best, ended = complete(stock, capacity, best, bound, max_nodes, short_first)

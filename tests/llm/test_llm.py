@@ -294,8 +294,8 @@ def test_bin_completion_is_optimal_on_small_stocks():
         low = int(rng.integers(1, max(2, capacity // 3)))
         sizes = rng.integers(low, capacity + 1 if k % 2 else max(low + 1, capacity // 2 + 2), int(rng.integers(1, 12)))
         stock, want = np.bincount(sizes, minlength=capacity + 1).astype(np.int64), fewest(sizes.tolist(), capacity)
-        for rounds in (0, packing.ROUNDS):
-            got = packing.plan_bins(stock, capacity, 100_000, rounds)
+        for looks in (0, packing.MAX_LOOKS):
+            got = packing.plan_bins(stock, capacity, 100_000, looks)
             assert got.ended and got.size == want >= got.bound
         stock[capacity] = 0
         apart = [({int(x): 1}, int(stock[x])) for x in np.flatnonzero(stock)]
