@@ -16,12 +16,14 @@ from .operators.components import (  # noqa: F401
     component_count, component_members, component_of, component_roots, component_scores, connected_components,
     ranked_components, with_component_size,
 )
-from .operators.layers import bfs_layers, layered_components, organised_layout, undirected_adjacency  # noqa: F401
+from .operators.layers import (  # noqa: F401
+    bfs_layers, layered_components, organised_layout, resident_adjacency, seed_components, undirected_adjacency,
+)
 from .operators.metrics import (  # noqa: F401
     as_percent, compute_graph, graph_counts, node_metrics, node_payload, recency, sqrt_scale, top_nodes,
 )
 from .operators.pagerank import out_degrees, pagerank  # noqa: F401
-from .operators.search import focus, search  # noqa: F401
+from .operators.search import focus, search, search_snapshot  # noqa: F401
 from .operators.subgraph import (  # noqa: F401
     degrees, ego_network, filter_graph, induced_edges, neighbour_details, neighbour_index, node_details,
 )

@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.columns import metric_column, to_number
 from ..plans.iterate import bounded_threshold, bucketed, cut, dense_index, release, resident_partitions, salted_join
 from ..schema import LAYOUT_CELL_H, LAYOUT_MIN_CELL_W, LAYOUT_RING_STEP, LAYOUT_TOP
-from ..session import scratch_path, ship_package
+from ..session import remove_path, scratch_path, ship_package
 from .clean import Graph
-from .components import component_roots, component_scores, connected_components
+from .components import component_members, component_roots, component_scores, connected_components
 
 #: A component of at most so many edges is walked inside one task.
 SMALL_EDGES = 200_000
+#: A walk from seeds that is deeper than this labels the whole graph instead.
+SEED_LAYERS = 64
 
 
 def undirected_adjacency(edges: DataFrame) -> DataFrame:
@@ -139,7 +141,9 @@ def bfs_layers(graph: Graph, roots: DataFrame, *, components: DataFrame | None =
     return out
 
 
-def walked_by_layers(edges: DataFrame, roots: DataFrame, hub_degree: int, max_hubs: int) -> DataFrame:
+def walked_by_layers(edges: DataFrame, roots: DataFrame, hub_degree: int, max_hubs: int,
+                     adjacency: tuple[DataFrame, DataFrame] | None = None,
+                     max_layers: int | None = None) -> DataFrame | None:
     """``(component, id, root, layer)``, a few jobs a layer.
 
     In an undirected graph every neighbour of layer d lies in layer d-1, d or
@@ -148,9 +152,12 @@ def walked_by_layers(edges: DataFrame, roots: DataFrame, hub_degree: int, max_hu
     visited set.  The adjacency stays in its buckets (:func:`resident_adjacency`)
     and the frontier is shuffled to them.  Each layer is written as one partition
     of one table, which the result reads in a single scan whatever the depth.
+
+    ``adjacency``: that of ``edges``, if it is written already (it then stays).
+    ``max_layers``: give up and return None when there are more.
     """
     spark = edges.sparkSession
-    adj, hubs = resident_adjacency(edges, hub_degree, max_hubs)
+    adj, hubs = adjacency or resident_adjacency(edges, hub_degree, max_hubs)
     table = scratch_path(spark, "layers")
 
     def written(frontier: DataFrame, depth: int) -> DataFrame:
@@ -164,6 +171,9 @@ def walked_by_layers(edges: DataFrame, roots: DataFrame, hub_degree: int, max_hu
     layer = 0
     prev, cur = None, written(start, layer)
     while not cur.isEmpty():
+        if max_layers is not None and layer >= max_layers:
+            remove_path(spark, table)
+            return None
         front = cur.select("component", "root", F.col("id").alias("u"),
                            F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"))
         # id determines component, root and nsalt: grouping on id alone leaves
@@ -177,11 +187,66 @@ def walked_by_layers(edges: DataFrame, roots: DataFrame, hub_degree: int, max_hu
                 nxt = nxt.join(known.select("id"), "id", "left_anti")
         layer += 1
         prev, cur = cur, written(nxt.select("component", "root", "id", "nsalt"), layer)
-    release(adj, hubs)
+    if adjacency is None:
+        release(adj, hubs)
     return (spark.read.schema("component string, root string, id string, layer int").parquet(table)
             .select("component", "id", "root", "layer"))
 
 
+def seed_components(graph: Graph, seeds: DataFrame, *, hub_degree: int = 1_000_000, max_hubs: int = 100_000,
+                    max_layers: int = SEED_LAYERS, adjacency: tuple[DataFrame, DataFrame] | None = None,
+                    stats: dict | None = None) -> DataFrame:
+    """``(component, id)``: every vertex of every component that holds a seed
+    (the first column of ``seeds``), each once; ``component`` is its smallest id.
+
+    All seeds are walked at once over the written adjacency, each vertex being
+    expanded by the first seed to reach it, so frontiers that meet go on as one
+    and the rest of the graph is not labelled.  Walks of two seeds that touch are
+    joined at the end through the distinct pairs of touching seeds.  Seeds that
+    are no vertex, and nulls, drop; without seeds the result is empty.
+
+    A layer costs a few jobs: after ``max_layers`` of them the components of the
+    whole graph are computed instead, with the same result.  ``adjacency``: from
+    :func:`resident_adjacency` of the graph's edges, kept for later calls.
+    ``stats`` receives ``labelled``: whether that was done.
+    """
+    known = cut(seeds.select(F.col(seeds.columns[0]).cast("string").alias("id")).distinct()
+                .join(graph.vertices.select("id"), "id", "left_semi"))
+    adj, hubs = own = adjacency or resident_adjacency(graph.edges, hub_degree, max_hubs)
+    starts = known.select(F.col("id").alias("component"), F.col("id").alias("root"))
+    reached = walked_by_layers(graph.edges, starts, hub_degree, max_hubs, own, max_layers)
+    if stats is not None:
+        stats["labelled"] = reached is None
+    if reached is None:
+        out = cut(component_members(connected_components(graph), known))
+    else:
+        met = reached.select(F.col("component").alias("walk"), "id")
+        if known.limit(2).count() > 1:
+            met = _joined_walks(met, known, adj, hubs)
+        least = met.groupBy("walk").agg(F.min("id").alias("component"))
+        out = cut(salted_join(met, least, "walk", "id").select("component", "id"))
+    if adjacency is None:
+        release(*own)
+    release(known)
+    return out
+
+
+def _joined_walks(met: DataFrame, seeds: DataFrame, adj: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``(walk, id)`` with the walks of one component under one name.  Only the
+    neighbours of walked vertices are read, from their buckets."""
+    at = (met.join(F.broadcast(hubs.withColumnRenamed("u", "id")), "id", "left")
+          .select("walk", F.col("id").alias("u"),
+                  F.explode(F.sequence(F.lit(0), F.coalesce("nsalt", F.lit(1)) - 1)).alias("salt")))
+    beside = adj.join(at.hint("shuffle_hash"), ["u", "salt"]).select("walk", F.col("v").alias("id")).distinct()
+    pairs = cut(salted_join(beside, met.withColumnRenamed("walk", "other"), "id", "walk")
+                .filter(F.col("walk") < F.col("other"))
+                .select(F.col("walk").alias("src"), F.col("other").alias("dst")).distinct())
+    if not pairs.isEmpty():
+        names = connected_components(Graph(seeds, pairs)).select(F.col("id").alias("walk"), "component")
+        met = salted_join(met, names, "walk", "id").select(F.col("component").alias("walk"), "id")
+    return met
+
+
 def layered_components(graph: Graph, nodes: DataFrame, mode: str = "static",
                        components: DataFrame | None = None) -> DataFrame:
     """Components, their roots (highest metric, ties by id) and BFS layers:
@@ -219,10 +284,12 @@ def organised_layout(graph: Graph, nodes: DataFrame, mode: str = "static", width
         ((F.col("cidx") % cols) * cell_w + cell_w / 2).alias("cx"),
         (F.floor(F.col("cidx") / cols) * F.lit(LAYOUT_CELL_H) + F.lit(LAYOUT_CELL_H / 2 + LAYOUT_TOP)).alias("cy"))
 
-    v = lay.join(nodes.select("id", to_number(m).alias("m")), "id", "left") \
-           .withColumn("m", F.coalesce("m", F.lit(0.0)))
+    # written once: the index counts, samples and sorts its input
+    v = cut(lay.join(nodes.select("id", to_number(m).alias("m")), "id", "left")
+            .select("component", "id", "layer", F.coalesce("m", F.lit(0.0)).alias("m")))
     order = [F.col("component").asc(), F.col("layer").asc(), F.col("m").desc(), F.col("id").asc()]
-    idx = dense_index(v.select("component", "id", "layer", "m"), order, "gidx")
+    idx = dense_index(v, order, "gidx")
+    release(v)
     groups = idx.groupBy("component", "layer").agg(F.min("gidx").alias("first"),
                                                    F.count(F.lit(1)).alias("k"))
     # groups are few beside their rows; a big layer's rows are spread over salts

@@ -3,12 +3,13 @@ then the match's component (nodes in it, edges with both ends in it)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.iterate import known_ends
+from ..sources.files import ID_KEY, LABEL_KEY, snapshot_nodes
 from .clean import Graph
-from .layers import bfs_layers
+from .layers import seed_components
 
 
 def search(nodes: DataFrame, query: str, first: bool = True) -> DataFrame:
@@ -26,16 +27,28 @@ def search(nodes: DataFrame, query: str, first: bool = True) -> DataFrame:
     return found.orderBy("id").limit(1) if first else found
 
 
+def search_snapshot(spark: SparkSession, path: str, query: str, first: bool = True) -> DataFrame:
+    """:func:`search` of the current snapshot's nodes: the same rows, asked of
+    the stored lower-cased columns, so that row groups whose Bloom filters (or
+    dictionaries) lack the query are not read."""
+    nodes = snapshot_nodes(spark, path)
+    q = (query or "").strip().lower()
+    if not q or ID_KEY not in nodes.columns:
+        return search(nodes.drop(ID_KEY, LABEL_KEY), query, first)
+    found = nodes.filter((F.col(ID_KEY) == F.lit(q)) | (F.col(LABEL_KEY) == F.lit(q))).drop(ID_KEY, LABEL_KEY)
+    return found.orderBy("id").limit(1) if first else found
+
+
 def focus(graph: Graph, nodes: DataFrame, query: str,
           components: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(nodes, edges)`` of the first match's component; empty when no match.
 
-    Without ``components`` the component is walked from the match alone (BFS),
-    the rest of the graph is not labelled.
+    Without ``components`` the component is walked from the match alone
+    (:func:`seed_components`), the rest of the graph is not labelled.
     """
     match = search(nodes, query, first=True).select("id")
     if components is None:
-        members = bfs_layers(graph, match.select(F.col("id").alias("component"), F.col("id").alias("root"))).select("id")
+        members = seed_components(graph, match).select("id")
     else:
         target = F.broadcast(match.join(components, "id").select("component"))     # at most one row
         members = components.join(target, "component", "left_semi").select("id")

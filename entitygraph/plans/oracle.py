@@ -102,12 +102,12 @@ nm AS (
 )"""
 
 
-def components_ctes() -> str:
+def components_ctes(v: str = "v", e: str = "e") -> str:
     """``comp(id, component)`` over ``v``/``e`` by reachability closure
     (use on graphs of small components only)."""
-    return """
-und AS (SELECT src AS a, dst AS b FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst),
-reach(s, id) AS (SELECT id, id FROM v UNION SELECT r.s, u.b FROM reach r JOIN und u ON u.a = r.id),
+    return f"""
+und AS (SELECT src AS a, dst AS b FROM {e} WHERE src <> dst UNION SELECT dst, src FROM {e} WHERE src <> dst),
+reach(s, id) AS (SELECT id, id FROM {v} UNION SELECT r.s, u.b FROM reach r JOIN und u ON u.a = r.id),
 comp AS (SELECT s AS id, min(id) AS component FROM reach GROUP BY s)"""
 
 
@@ -125,14 +125,14 @@ def label_propagation_ctes(rounds: int = 10, v: str = "v", e: str = "e") -> str:
     return ",\n".join(parts)
 
 
-def layers_ctes(max_depth: int = 16) -> str:
+def layers_ctes(max_depth: int = 16, metric: str = "pr_percent") -> str:
     """``roots(component, root)`` and ``lay(component, id, root, layer)``;
     needs ``comp``, ``und`` and ``nm``."""
     return f"""
 roots AS (
   SELECT component, id AS root FROM (
     SELECT c.component, c.id, row_number() OVER (PARTITION BY c.component
-             ORDER BY coalesce(nm.pr_percent, 0.0) DESC, c.id) AS rn
+             ORDER BY coalesce(nm.{metric}, 0.0) DESC, c.id) AS rn
     FROM comp c LEFT JOIN nm ON nm.id = c.id) WHERE rn = 1
 ),
 walk(component, root, id, layer) AS (

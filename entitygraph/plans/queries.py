@@ -19,10 +19,11 @@ from ..functions.columns import edge_key, normalise_type, to_number
 from ..operators.clean import Graph, build_graph, dangling_edges, valid_edges, valid_vertices, vertex_universe
 from ..operators.components import (component_count, component_members, component_roots, component_scores,
                                     connected_components, ranked_components, with_component_size)
-from ..operators.layers import layered_components, organised_layout
-from ..operators.metrics import as_percent, compute_graph, graph_counts, node_metrics, recency, sqrt_scale, top_nodes
+from ..operators.layers import layered_components, organised_layout, seed_components
+from ..operators.metrics import (as_percent, compute_graph, graph_counts, node_metrics, node_payload, recency, sqrt_scale,
+                                 top_nodes)
 from ..operators.pagerank import pagerank
-from ..operators.search import focus, search
+from ..operators.search import focus, search, search_snapshot
 from ..operators.subgraph import (degrees, ego_network, filter_graph, neighbour_details, neighbour_index,
                                   node_details)
 from ..session import scratch_path
@@ -37,6 +38,8 @@ LONG_HALF_LIFE = 365.0
 FILTER_THRESHOLD = 0.02          # static percent; no T value sits on it
 TRADE_QUERY = "  Nation_7 "
 WEB_QUERY = "P:0"
+DATED_QUERY = " p:37 "
+DATED_THRESHOLD = 0.05           # temporal percent of the dated web graph
 PAGE_SEEDS = ["p:0", "p:1", "p:2", "p:3", "no such page"]
 
 
@@ -417,8 +420,97 @@ def q_filtered_components(spark, d):
 
 def q_component_of_pages(spark, d):
     g = _web(spark, d, materialize=True)
-    seeds = spark.createDataFrame([(s,) for s in PAGE_SEEDS], "seed string")
-    return component_members(connected_components(g), seeds)
+    return seed_components(g, spark.createDataFrame([(s,) for s in PAGE_SEEDS], "seed string"))
+
+
+def q_component_of_hosts(spark, d):
+    """Walks of many seeds at once: every host."""
+    g = _web(spark, d, materialize=True)
+    return seed_components(g, g.vertices.filter(F.col("t") == "host").select("id"))
+
+
+# ---------------- exploration in temporal mode, on the whole and the filtered graph
+def _dated_web_metrics(spark, d):
+    """The web graph with a day for every page (from its number), others unknown."""
+    v, e = web_graph(spark, d, materialize=True)
+    day = F.pmod(F.substring("id", 3, 20).cast("long") * 37, F.lit(1400)).cast("int")
+    v = v.withColumn("last_seen", F.when(F.col("t") == "page", F.date_add(F.lit("1998-01-01").cast("date"), day)))
+    g = build_graph(v, e, materialize=True)
+    return g, node_metrics(g, as_of=AS_OF, half_life_days=LONG_HALF_LIFE)
+
+
+def _filtered_web(spark, d):
+    g, nm = _dated_web_metrics(spark, d)
+    kept, edges = filter_graph(nm, g.edges, "temporal", DATED_THRESHOLD)
+    kept = cut(kept)
+    return Graph(kept, cut(edges)), kept
+
+
+def q_temporal_scores(spark, d):
+    g, nm = _dated_web_metrics(spark, d)
+    return ranked_components(component_scores(connected_components(g), nm, "pr_temporal_percent"))
+
+
+def q_temporal_roots(spark, d):
+    g, nm = _dated_web_metrics(spark, d)
+    return component_roots(connected_components(g), nm, "pr_temporal_percent")
+
+
+def q_temporal_layers(spark, d):
+    g, nm = _dated_web_metrics(spark, d)
+    return layered_components(g, nm, "temporal")
+
+
+def q_temporal_layout(spark, d):
+    g, nm = _dated_web_metrics(spark, d)
+    return organised_layout(g, nm, "temporal")
+
+
+def q_filtered_layout(spark, d):
+    g, kept = _filtered_web(spark, d)
+    return organised_layout(g, kept, "temporal")
+
+
+def q_filtered_focus_nodes(spark, d):
+    g, kept = _filtered_web(spark, d)
+    return focus(g, kept, DATED_QUERY)[0].select("id", "label", "pr_temporal_percent")
+
+
+def q_filtered_focus_edges(spark, d):
+    g, kept = _filtered_web(spark, d)
+    return focus(g, kept, DATED_QUERY)[1]
+
+
+# ---------------- the payload with both percents; reading a snapshot in part
+def _payload_back(spark, d):
+    g, nm = _trade_metrics(spark, d, LONG_HALF_LIFE)
+    base = scratch_path(spark, "payload")
+    write_graph_json(node_payload(nm, with_last_seen=False), g.edges, base)
+    return read_graph_jsonl(spark, base)
+
+
+def q_payload_nodes(spark, d):
+    return _payload_back(spark, d)[0].select("id", "label", "t", "pr_percent", "pr_temporal_percent")
+
+
+def q_payload_edges(spark, d):
+    return _payload_back(spark, d)[1]
+
+
+def _kept_snapshot(spark, d):
+    g, nm = _trade_metrics(spark, d)
+    path = scratch_path(spark, "snapshot")
+    save_snapshot(nm, g.edges, path)
+    return path
+
+
+def q_snapshot_search(spark, d):
+    return search_snapshot(spark, _kept_snapshot(spark, d), TRADE_QUERY).select("id", "label", "t")
+
+
+def q_snapshot_filter(spark, d):
+    nodes, edges = load_snapshot(spark, _kept_snapshot(spark, d))
+    return filter_graph(nodes, edges, "static", FILTER_THRESHOLD)[1]
 
 
 def q_type_mixed(spark, d):
@@ -489,6 +581,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "temporal_scale": q_temporal_scale,
     "filtered_components": q_filtered_components,
     "component_of_pages": q_component_of_pages,
+    "component_of_hosts": q_component_of_hosts,
+    "temporal_scores": q_temporal_scores,
+    "temporal_roots": q_temporal_roots,
+    "temporal_layers": q_temporal_layers,
+    "temporal_layout": q_temporal_layout,
+    "filtered_layout": q_filtered_layout,
+    "filtered_focus_nodes": q_filtered_focus_nodes,
+    "filtered_focus_edges": q_filtered_focus_edges,
+    "payload_nodes": q_payload_nodes,
+    "payload_edges": q_payload_edges,
+    "snapshot_search": q_snapshot_search,
+    "snapshot_filter": q_snapshot_filter,
     "type_mixed": q_type_mixed,
     "number_text": q_number_text,
 }
@@ -560,6 +664,32 @@ sl AS (
   FROM lay LEFT JOIN nm ON nm.id = lay.id
 )"""
 
+_DATED = """
+dated_v AS (SELECT id, t, label, CASE WHEN t = 'page' THEN DATE '1998-01-01'
+              + CAST((CAST(substr(id, 3) AS BIGINT) * 37) % 1400 AS INTEGER) END AS last_seen FROM raw_v)"""
+_TEMPORAL = [b.replace("pr_percent", "pr_temporal_percent") for b in (_SCORES, _LAYOUT)]
+_TLAY = O.layers_ctes(metric="pr_temporal_percent")
+_KEPT = f"""
+kept_v AS (SELECT * FROM nm WHERE pr_temporal_percent >= {DATED_THRESHOLD!r}),
+kept_e AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM kept_v) AND dst IN (SELECT id FROM kept_v))"""
+_KEPT_CC = O.components_ctes("kept_v", "kept_e")
+_FOUND = f"""
+hit AS (SELECT id FROM kept_v WHERE lower(id) = '{DATED_QUERY.strip().lower()}'
+        OR lower(coalesce(label, '')) = '{DATED_QUERY.strip().lower()}' ORDER BY id LIMIT 1),
+fc AS (SELECT c.id FROM comp c WHERE c.component IN (SELECT component FROM comp JOIN hit USING (id)))"""
+_PLACES = """
+SELECT sl.component, sl.id, sl.layer, CAST(sl.slot AS INTEGER) AS slot,
+       round(c.cx + CASE WHEN sl.layer = 0 THEN 0.0
+             ELSE sl.layer * 42.0 * cos((2 * pi()) * sl.slot / greatest(sl.k, 1)) END, 3) AS x,
+       round(c.cy + CASE WHEN sl.layer = 0 THEN 0.0
+             ELSE sl.layer * 42.0 * sin((2 * pi()) * sl.slot / greatest(sl.k, 1)) END, 3) AS y
+FROM sl JOIN cells c ON c.component = sl.component"""
+
+
+def _dated(*blocks, body):
+    return O.with_ctes(O.WEB_CTES, _DATED, O.clean_ctes("dated_v", "raw_e"), _PR, _NM365, *blocks) + "\n" + body
+
+
 ORACLE: dict[str, str] = {
     "vertices": _t(body="SELECT id, t, label, last_seen FROM v"),
     "edges": _t(body="SELECT src, dst FROM e"),
@@ -635,13 +765,7 @@ SELECT component, score, size, row_number() OVER (ORDER BY score DESC, component
     "component_count": _w(_CC, body="SELECT count(DISTINCT component) AS n_components FROM comp"),
     "component_roots": _w(_PR, _NM30, _CC, _LAY, body="SELECT component, root FROM roots"),
     "bfs_layers": _w(_PR, _NM30, _CC, _LAY, body="SELECT component, id, root, layer FROM lay"),
-    "organised_layout": _w(_PR, _NM30, _CC, _LAY, _SCORES, _LAYOUT, body="""
-SELECT sl.component, sl.id, sl.layer, CAST(sl.slot AS INTEGER) AS slot,
-       round(c.cx + CASE WHEN sl.layer = 0 THEN 0.0
-             ELSE sl.layer * 42.0 * cos((2 * pi()) * sl.slot / greatest(sl.k, 1)) END, 3) AS x,
-       round(c.cy + CASE WHEN sl.layer = 0 THEN 0.0
-             ELSE sl.layer * 42.0 * sin((2 * pi()) * sl.slot / greatest(sl.k, 1)) END, 3) AS y
-FROM sl JOIN cells c ON c.component = sl.component"""),
+    "organised_layout": _w(_PR, _NM30, _CC, _LAY, _SCORES, _LAYOUT, body=_PLACES),
     "search": _t(body=f"""
 SELECT id, label, t FROM v
 WHERE lower(coalesce(id, '')) = '{TRADE_QUERY.strip().lower()}' OR lower(coalesce(label, '')) = '{TRADE_QUERY.strip().lower()}'
@@ -695,6 +819,27 @@ SELECT id, component, count(*) OVER (PARTITION BY component) AS component_size F
     "component_of_pages": _w(_CC, body=f"""
 SELECT c.component, c.id FROM comp c
 WHERE c.component IN (SELECT component FROM comp WHERE id IN ({", ".join(f"'{s}'" for s in PAGE_SEEDS)}))"""),
+    "component_of_hosts": _w(_CC, body="""
+SELECT c.component, c.id FROM comp c
+WHERE c.component IN (SELECT s.component FROM comp s JOIN v ON v.id = s.id WHERE v.t = 'host')"""),
+    "temporal_scores": _dated(_CC, _TEMPORAL[0], body="""
+SELECT component, score, size, row_number() OVER (ORDER BY score DESC, component) - 1 AS rank FROM sc"""),
+    "temporal_roots": _dated(_CC, _TLAY, body="SELECT component, root FROM roots"),
+    "temporal_layers": _dated(_CC, _TLAY, body="SELECT component, id, root, layer FROM lay"),
+    "temporal_layout": _dated(_CC, _TLAY, *_TEMPORAL, body=_PLACES),
+    "filtered_layout": _dated(_KEPT, _KEPT_CC, _TLAY, *_TEMPORAL, body=_PLACES),
+    "filtered_focus_nodes": _dated(_KEPT, _KEPT_CC, _FOUND, body="""
+SELECT id, label, pr_temporal_percent FROM kept_v WHERE id IN (SELECT id FROM fc)"""),
+    "filtered_focus_edges": _dated(_KEPT, _KEPT_CC, _FOUND, body="""
+SELECT src, dst FROM kept_e WHERE src IN (SELECT id FROM fc) AND dst IN (SELECT id FROM fc)"""),
+    "payload_nodes": _t(_PR, _NM365, body="SELECT id, label, t, pr_percent, pr_temporal_percent FROM nm"),
+    "payload_edges": _t(body="SELECT src, dst FROM e"),
+    "snapshot_search": _t(body=f"""
+SELECT id, label, t FROM v
+WHERE lower(coalesce(id, '')) = '{TRADE_QUERY.strip().lower()}' OR lower(coalesce(label, '')) = '{TRADE_QUERY.strip().lower()}'
+ORDER BY id LIMIT 1"""),
+    "snapshot_filter": _t(_PR, _NM30, f"kept AS (SELECT id FROM nm WHERE pr_percent >= {FILTER_THRESHOLD!r})", body="""
+SELECT src, dst FROM e WHERE src IN (SELECT id FROM kept) AND dst IN (SELECT id FROM kept)"""),
     "type_mixed": _t(body="""
 SELECT id, CASE t WHEN 'customer' THEN 'ip' WHEN 'supplier' THEN 'domain' WHEN 'part' THEN 'hash' WHEN 'nation' THEN 'cert'
   ELSE 'other' END AS type FROM v"""),

@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..schema import EDGE_CSV, GRAPH_DOC, VERTEX_CSV
+from ..plans.iterate import cut, release, sized_partitions, table_size
 from ..session import remove_path
 
+#: Lower-cased search columns of a snapshot's node files.
+ID_KEY, LABEL_KEY = "id_key", "label_key"
+#: Row groups of a snapshot's node files: small, so that statistics skip much.
+ROW_GROUP_BYTES = 16 << 20
+
 
 def _csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """CSV columns by header name, all text.  Files of one directory whose
@@ -131,6 +137,23 @@ def export_subgraph(nodes: DataFrame, edges: DataFrame, path: str, mode: str = "
     links.write.mode(mode).json(os.path.join(path, "links"))
 
 
+def _write_nodes(nodes: DataFrame, target: str) -> None:
+    """Node files in the order of the static percent, with the lower-cased id
+    and label and Bloom filters on both: a threshold reads the row groups that
+    reach it, a search those that may hold its text."""
+    have = set(nodes.columns)
+    keys = {k: F.lower(F.col(c)) for k, c in ((ID_KEY, "id"), (LABEL_KEY, "label")) if {"id", "label"} <= have}
+    order = [c for c in ("pr_percent", "id") if c in have]
+    written = cut(nodes)             # counted, sampled and sorted: computed once
+    n = sized_partitions(nodes.sparkSession, *table_size(written))
+    out = written.repartitionByRange(n, *order).sortWithinPartitions(*order) if "pr_percent" in have else written
+    w = out.withColumns(keys).write.option("parquet.block.size", ROW_GROUP_BYTES) if keys else out.write
+    for k in keys:
+        w = w.option(f"parquet.bloom.filter.enabled#{k}", "true").option(f"parquet.bloom.filter.adaptive.enabled#{k}", "true")
+    w.parquet(target)
+    release(written)
+
+
 def save_snapshot(nodes: DataFrame, edges: DataFrame, path: str, keep: int = 2) -> None:
     """Keep the result as the current snapshot.
 
@@ -138,12 +161,18 @@ def save_snapshot(nodes: DataFrame, edges: DataFrame, path: str, keep: int = 2)
     are complete is its name appended to ``path/current``, so a failed job
     leaves the last snapshot in place and a reader never meets new nodes with
     old edges.  The newest ``keep`` versions stay, for readers still on them.
+    A save that fails removes its own version folder.  Nodes with a
+    ``pr_percent`` are stored in its order (see :func:`load_snapshot`).
     """
     spark = nodes.sparkSession
     version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     target = os.path.join(path, "versions", version)
-    nodes.write.parquet(os.path.join(target, "nodes"))
-    edges.select("src", "dst").write.parquet(os.path.join(target, "edges"))
+    try:
+        _write_nodes(nodes, os.path.join(target, "nodes"))
+        edges.select("src", "dst").write.parquet(os.path.join(target, "edges"))
+    except Exception:
+        remove_path(spark, target)
+        raise
     current = os.path.join(path, "current")
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(current)
     newest = spark.read.schema("version string").parquet(current).orderBy(F.desc("version")).limit(keep + 1).collect()
@@ -151,11 +180,22 @@ def save_snapshot(nodes: DataFrame, edges: DataFrame, path: str, keep: int = 2)
         remove_path(spark, os.path.join(path, "versions", row["version"]))
 
 
-def load_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The last saved snapshot; a clear error when none exists."""
+def _current_version(spark: SparkSession, path: str) -> str:
     try:
         current = spark.read.schema("version string").parquet(os.path.join(path, "current"))
     except AnalysisException as exc:
         raise FileNotFoundError(f"no graph snapshot at {path}: generate one first") from exc
-    target = os.path.join(path, "versions", current.agg(F.max("version")).first()[0])
-    return spark.read.parquet(os.path.join(target, "nodes")), spark.read.parquet(os.path.join(target, "edges"))
+    return os.path.join(path, "versions", current.agg(F.max("version")).first()[0])
+
+
+def snapshot_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The current snapshot's node files as stored, search columns included."""
+    return spark.read.parquet(os.path.join(_current_version(spark, path), "nodes"))
+
+
+def load_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The last saved snapshot; a clear error when none exists.  A threshold on
+    ``pr_percent`` skips the row groups below it."""
+    target = _current_version(spark, path)
+    return (spark.read.parquet(os.path.join(target, "nodes")).drop(ID_KEY, LABEL_KEY),
+            spark.read.parquet(os.path.join(target, "edges")))
