@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_date
-from ..plans.iterate import cut, known_ends, salted_join
+from ..plans.iterate import cut, few_rows, known_ends, salted_join
 
 _NULL_DATE_KEY = 2 ** 31 - 1
 
@@ -86,7 +86,7 @@ def valid_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     table is multiplied; the edges of a hot end are spread over salts.
     """
     e = _edge_columns(edges).filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
-    return known_ends(e, vertices)
+    return known_ends(e, vertices, counted=edges if few_rows(edges) else None)
 
 
 def build_graph(raw_vertices: DataFrame, raw_edges: DataFrame, dangling: str = "drop",
@@ -110,7 +110,7 @@ def build_graph(raw_vertices: DataFrame, raw_edges: DataFrame, dangling: str = "
 def _build(v: DataFrame, raw_edges: DataFrame, dangling: str) -> Graph:
     e = _edge_columns(raw_edges).filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
     if dangling == "drop":
-        return Graph(v, valid_edges(e, v))
+        return Graph(v, valid_edges(raw_edges, v))
     if dangling == "keep":
         missing = vertex_universe(v.limit(0), e).join(v.select("id"), "id", "left_anti")
         extra = missing.select("id", F.lit(None).cast("string").alias("t"),

@@ -137,7 +137,7 @@ def bfs_layers(graph: Graph, roots: DataFrame, *, components: DataFrame | None =
     if some:
         beyond = salted_join(e, large.select("label"), "label", "src", "left_semi")
         out = out.unionByName(walked_by_layers(beyond, starts.filter(F.col("n") > small_edges), hub_degree, max_hubs))
-    release(sizes, starts)
+    release(e, sizes, starts)
     return out
 
 

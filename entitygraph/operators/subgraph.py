@@ -74,10 +74,10 @@ def ego_network(nodes: DataFrame, edges: DataFrame, seeds) -> tuple[DataFrame, D
     """
     s = _seed_frame(nodes.sparkSession, seeds)
     known = s.join(nodes.select(F.col("id").alias("seed")), "seed", "left_semi")
-    edges = edges.select("src", "dst")
-    out = (salted_join(edges, known.withColumnRenamed("seed", "src"), "src", "dst", "left_semi")
+    both = edges.select("src", "dst")
+    out = (salted_join(both, known.withColumnRenamed("seed", "src"), "src", "dst", "left_semi", counted=edges)
            .select(F.col("src").alias("seed"), "src", "dst"))
-    inc = (salted_join(edges, known.withColumnRenamed("seed", "dst"), "dst", "src", "left_semi")
+    inc = (salted_join(both, known.withColumnRenamed("seed", "dst"), "dst", "src", "left_semi", counted=edges)
            .select(F.col("dst").alias("seed"), "src", "dst"))
     ego_edges = out.unionByName(inc.filter(F.col("src") != F.col("dst")))
     ego_nodes = (known.select("seed", F.col("seed").alias("id"))

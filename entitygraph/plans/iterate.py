@@ -72,8 +72,13 @@ def salted_join(big: DataFrame, small: DataFrame, on: str | list[str], spread: s
     broadcast and has at most ``MAX_HOT`` rows.  Rows equal in ``spread`` share
     a salt.  ``counted``: a table whose rows per key are at least those of
     ``big`` (what ``big`` was derived from), to count that one instead.
+
+    Where that table (or ``big``) was written by :func:`cut` and has at most
+    ``HOT_ROWS`` rows in all, no key can be hot: the plain join is returned.
     """
     keys = [on] if isinstance(on, str) else list(on)
+    if few_rows(big if counted is None else counted):
+        return big.join(small, keys, how)
     rows = F.col("__rows")
     hot = F.broadcast((big if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
                       .filter(rows > F.lit(HOT_ROWS)).orderBy(rows.desc(), *keys).limit(MAX_HOT)
@@ -85,13 +90,21 @@ def salted_join(big: DataFrame, small: DataFrame, on: str | list[str], spread: s
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
-def known_ends(edges: DataFrame, ids: DataFrame) -> DataFrame:
+def few_rows(table: DataFrame) -> bool:
+    """Whether a table written by :func:`cut` has at most :data:`HOT_ROWS` rows
+    (file footers tell, no column is read).  Other frames are not computed for it."""
+    return getattr(table, "_scratch", None) is not None and table.count() <= HOT_ROWS
+
+
+def known_ends(edges: DataFrame, ids: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """``(src, dst)`` rows of ``edges`` whose two ends are in ``ids.id``
-    (duplicates kept): two semi joins with hot ends spread over salts."""
-    ids = ids.select("id")
-    src_known = salted_join(edges.select("src", "dst"), ids.withColumnRenamed("id", "src"), "src", "dst", "left_semi")
+    (duplicates kept): two semi joins with hot ends spread over salts.
+    ``counted``: what ``edges`` was derived from, row by row (:func:`salted_join`)."""
+    ids, counted = ids.select("id"), edges if counted is None else counted
+    src_known = salted_join(edges.select("src", "dst"), ids.withColumnRenamed("id", "src"), "src", "dst", "left_semi",
+                            counted=counted)
     return salted_join(src_known, ids.withColumnRenamed("id", "dst"), "dst", "src", "left_semi",
-                       counted=edges).select("src", "dst")
+                       counted=counted).select("src", "dst")
 
 
 def resident_partitions(spark, rows: int, rows_per_partition: int = 2_000_000,

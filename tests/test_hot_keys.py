@@ -100,3 +100,18 @@ def test_scratch_is_released(spark, skewed):
     out = eg.layered_components(g, nm)
     left = set(os.listdir(tables)) - before
     assert len(left) <= 2 and out.count() == 200      # the components and the layers
+
+
+def test_no_counting_where_no_key_can_be_hot(spark, skewed, monkeypatch):
+    """A written table with at most HOT_ROWS rows in all is joined plainly; one
+    row more, and the hot keys are counted and spread.  The rows agree."""
+    nodes, edges, v, e = skewed
+    got = {}
+    for limit in (len(edges), len(edges) - 1):
+        monkeypatch.setattr(iterate, "HOT_ROWS", limit)
+        found = [eg.valid_edges(e, v.filter("id < 'v150'")), eg.induced_edges(e, v.filter("id < 'v150'")),
+                 eg.ego_network(v, e, ["v000"])[1]]
+        counted = ["__salts" in f._jdf.queryExecution().analyzed().toString() for f in found]
+        assert counted == [limit < len(edges)] * 3
+        got[limit] = [_rows(f) for f in found]
+    assert got[len(edges)] == got[len(edges) - 1]
