@@ -18,14 +18,22 @@ Physical plan per round (the edge table never moves after setup):
   partitions; contributions are summed per target with a map-side partial
   aggregate (a target receiving a third of all edges is combined before the
   shuffle); vertices without in-edges come in through the same aggregate.
+* a vertex without in-edges is at rest after the first round, one whose sources
+  are all at rest a round later.  A vertex at rest sends once more, into a sum
+  that its targets keep, and leaves with its edges: later rounds work on what
+  still moves.  Once those edges are half of the stored ones, the table is
+  written anew without the others.
 * one plan at every size: the messages are shuffled to the buckets and hashed
   there.  Nothing is kept in executor memory between rounds.
-* every ``checkpoint_every`` rounds the ranks are cut with a written table
-  in the shared checkpoint folder (``plans.iterate.cut``).
+* while vertices come to rest every round's ranks are cut with a written table
+  in the shared checkpoint folder (``plans.iterate.cut``), then those of every
+  ``checkpoint_every`` rounds.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +68,28 @@ def contributions(weights: DataFrame, msgs: DataFrame) -> DataFrame:
     return weights.join(msgs.hint("shuffle_hash"), ["src", "salt"])
 
 
+def _messages(senders: DataFrame) -> DataFrame:
+    """``(src, salt, msg, live)``: what each vertex with out-edges sends."""
+    return senders.filter(F.col("outdeg") > 0).select(
+        F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"),
+        (F.col("r") / F.col("outdeg")).alias("msg"), F.col("moving").alias("live"))
+
+
+def _round(weights: DataFrame, senders: DataFrame, base: DataFrame, reset: float) -> DataFrame:
+    """One round: ``(id, outdeg, nsalt, fixed, r, moving)`` of the vertices of
+    ``base``.  What a sender at rest sends goes into ``fixed`` for good."""
+    c = F.col("mult") * F.col("msg")
+    incoming = contributions(weights, _messages(senders)).select(
+        F.col("dst").alias("id"), F.lit(None).cast("long").alias("outdeg"), F.lit(None).cast("int").alias("nsalt"),
+        F.when(F.col("live"), 0.0).otherwise(c).alias("fixed"), F.when(F.col("live"), c).otherwise(0.0).alias("c"), "live")
+    own = base.select("id", "outdeg", "nsalt", "fixed", F.lit(0.0).alias("c"), F.lit(False).alias("live"))
+    summed = own.unionByName(incoming).groupBy("id").agg(
+        F.max("outdeg").alias("outdeg"), F.max("nsalt").alias("nsalt"), F.sum("fixed").alias("fixed"),
+        F.sum("c").alias("c"), F.max("live").alias("moving"))
+    r = F.lit(reset) + F.lit(1.0 - reset) * (F.col("fixed") + F.col("c"))
+    return summed.select("id", "outdeg", "nsalt", "fixed", r.alias("r"), "moving")
+
+
 def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_ITERATIONS,
              reset: float = PAGERANK_RESET, *, hub_out_degree: int = 1_000_000,
              max_hubs: int = 100_000,
@@ -68,9 +98,11 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_I
     vertex ids, as :func:`entitygraph.build_graph` guarantees).
 
     ``raw=True`` also returns the unscaled rank as ``raw_rank``.
-    ``checkpoint_every``: rounds between reliable checkpoints.  Each round
-    reads the previous ranks once (the zero rows come from the static state),
-    so the lineage between cuts is a chain, never a tree.
+    ``checkpoint_every``: rounds between reliable checkpoints once no more
+    vertices come to rest (before that every round's ranks are written: its
+    senders and its next state both read them).  Each of these rounds reads the
+    previous ranks once (the state is the written one), so the lineage between
+    cuts is a chain, never a tree.
     """
     spark = vertices.sparkSession
     e = edges.select("src", "dst")
@@ -87,37 +119,42 @@ def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int = PAGERANK_I
                    F.ceil(F.col("outdeg") / F.lit(threshold))).otherwise(F.lit(1))
     degrees = state
     state = degrees.withColumn("nsalt", nsalt.cast("int"))
-    weights = resident_weights(e, state, parts)
-
-    keep = 1.0 - reset
-    ranks = state.select("id", "outdeg", "nsalt", F.lit(1.0).alias("r"))
-    base = state.select("id", "outdeg", "nsalt", F.lit(0.0).alias("c"))
-    done, written = 0, None
-    for _ in range(iterations):
-        senders = ranks.filter(F.col("outdeg") > 0)
-        msgs = senders.select(F.col("id").alias("src"),
-                              F.explode(F.sequence(F.lit(0), F.col("nsalt") - 1)).alias("salt"),
-                              (F.col("r") / F.col("outdeg")).alias("msg"))
-        contrib = contributions(weights, msgs)
-        incoming = contrib.select(F.col("dst").alias("id"), F.lit(None).cast("long").alias("outdeg"),
-                                  F.lit(None).cast("int").alias("nsalt"),
-                                  (F.col("mult") * F.col("msg")).alias("c"))
-        summed = base.unionByName(incoming).groupBy("id").agg(
-            F.max("outdeg").alias("outdeg"), F.max("nsalt").alias("nsalt"), F.sum("c").alias("s"))
-        ranks = summed.select("id", "outdeg", "nsalt", (F.lit(reset) + F.lit(keep) * F.col("s")).alias("r"))
+    weights, stored = resident_weights(e, state, parts), n_edges
+
+    # vertices not yet at rest, and those at rest that have still to send for the last time
+    ranks = state.select("id", "outdeg", "nsalt", F.lit(0.0).alias("fixed"), F.lit(1.0).alias("r"),
+                         F.lit(True).alias("moving"))
+    tables, ended, done, settling = [degrees], [], 0, True
+    while done < iterations and settling:
+        before, ranks = ranks, cut(_round(weights, ranks, ranks.filter("moving"), reset))
         done += 1
-        if done % max(1, checkpoint_every) == 0 or done == iterations:
-            ranks = cut(ranks)
-            release(written)
-            written = ranks
-
-    if written is not None:
-        release(weights, degrees)
+        tables.append(ranks)
+        ended.append(before.filter(~F.col("moving")))
+        now = ranks.agg(F.count(F.lit(1)).alias("n"), F.count_if("moving").alias("moving"),
+                        F.sum("outdeg").alias("edges")).first()
+        settling = 0 < now["moving"] < now["n"]
+        if settling and done < iterations - 1 and now["edges"] <= stored // 2:  # so at most 2 |E| are written in all
+            stored, whole = int(now["edges"]), weights
+            parts = resident_partitions(spark, stored, partitions=partitions)
+            live = contributions(whole, _messages(ranks)).select(*whole.columns)
+            weights = bucketed(live, ["src", "salt"], parts)
+            release(whole)
+    if done < iterations and now["moving"]:
+        # no vertex came to rest in the last round, so none will: a wave of them follows from the one before
+        base = ranks
+        for done in range(done + 1, iterations + 1):
+            ranks = _round(weights, ranks, base, reset)
+            if done % max(1, checkpoint_every) == 0 or done == iterations:
+                ranks = cut(ranks)
+                tables.append(ranks)
+
+    ranks = cut(reduce(DataFrame.unionByName, ended, ranks).select("id", "r"))
+    release(weights, *tables)
     total = ranks.agg(F.sum("r")).scalar()
     scaled = F.try_divide(F.col("r") * F.lit(float(n_vertices)), total)
     cols = [F.col("id"), scaled.alias("pagerank")]
     if raw:
         cols.append(F.col("r").alias("raw_rank"))
     out = ranks.select(*cols)
-    out._scratch = getattr(written, "_scratch", None)     # what release() of the result deletes
+    out._scratch = ranks._scratch     # what release() of the result deletes
     return out
