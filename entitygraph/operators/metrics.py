@@ -78,7 +78,9 @@ def compute_graph(raw_vertices: DataFrame, raw_edges: DataFrame, half_life_days:
     (by any of the policies).  The cleaned tables are written once, so the raw
     files are parsed once.
     """
-    g = build_graph(raw_vertices, raw_edges, dangling, materialize=True)
+    raw = cut(raw_edges.select("src", "dst"))      # counted and joined by both ends: several passes
+    g = build_graph(raw_vertices, raw, dangling, materialize=True)
+    release(raw)
     return node_metrics(g, as_of=as_of, half_life_days=half_life_days, **options), g.edges
 
 

@@ -35,10 +35,11 @@ def _csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
 def _line_breaks(c: str, kept: bool):
     """Line breaks as text, so that a written file still splits by lines."""
     if not kept:
-        return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), "\n", r"\\n"), "\r", r"\\r").alias(c)
-    marked = F.regexp_replace(F.col(c), r"\\\\", "\u0000")
-    marked = F.regexp_replace(F.regexp_replace(marked, r"\\n", "\n"), r"\\r", "\r")
-    return F.regexp_replace(marked, "\u0000", r"\\").alias(c)
+        marked = F.replace(F.col(c), F.lit("\\"), F.lit("\\\\"))
+        return F.replace(F.replace(marked, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")).alias(c)
+    marked = F.replace(F.col(c), F.lit("\\\\"), F.lit("\u0000"))
+    marked = F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.replace(marked, F.lit("\u0000"), F.lit("\\")).alias(c)
 
 
 def read_vertices(spark: SparkSession, path: str, fmt: str = "csv", escaped: bool = False) -> DataFrame:

@@ -74,3 +74,17 @@ def test_materialized_graph_same_rows(spark):
     b = eg.build_graph(rv, re_, materialize=True)
     assert sorted(a.vertices.collect()) == sorted(b.vertices.collect())
     assert sorted(a.edges.collect()) == sorted(b.edges.collect())
+
+
+def test_full_job_reads_raw_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    v, e = graph(spark, ["a", "b", "c"], [("a", "b"), ("b", "c"), ("c", "ghost"), (None, "a")])
+    nodes, edges = eg.compute_graph(v, e.mapInPandas(count, "src string, dst string"), as_of="2024-01-01")
+    assert sorted(map(tuple, edges.collect())) == [("a", "b"), ("b", "c")] and nodes.count() == 3
+    assert seen.value == 4

@@ -115,3 +115,17 @@ def test_no_counting_where_no_key_can_be_hot(spark, skewed, monkeypatch):
         assert counted == [limit < len(edges)] * 3
         got[limit] = [_rows(f) for f in found]
     assert got[len(edges)] == got[len(edges) - 1]
+
+
+def test_hot_keys_are_found_by_classes(spark, monkeypatch):
+    """Classes of keys first: the same keys and counts, but only the keys of full classes are counted."""
+    monkeypatch.setattr(iterate, "HOT_ROWS", 20)
+    rows = [("hot", 1)] * 50 + [(None, 2)] * 30 + [("edge", 3)] * 20 + [(f"k{i}", i) for i in range(300)]
+    big = spark.createDataFrame(rows, "k string, n int")
+    for keys in (["k"], ["k", "n"]):
+        for classes in (1, 7, 1 << 16):
+            monkeypatch.setattr(iterate, "KEY_CLASSES", classes)
+            got = {r["k"]: r["__rows"] for r in iterate._rows_of_hot_keys(big, keys).collect()}
+            assert got == {"hot": 50, None: 30}
+    monkeypatch.setattr(iterate, "HOT_ROWS", 1000)
+    assert iterate._rows_of_hot_keys(big, ["k"]).count() == 0
