@@ -481,7 +481,7 @@ def test_pipeline(spark, odd):
 
 def test_every_operator_is_registered():
     names = {n.split("_")[0] for n in E.queries() if n.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in E.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in E.queries()
 
 
 def test_oracles_match(spark):
