@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import display_label, display_type, metric_column, percent_text, to_number
-from ..plans.iterate import known_ends, salted_join
+from ..plans.iterate import cut, known_ends, salted_join
 
 
 def induced_edges(edges: DataFrame, kept: DataFrame) -> DataFrame:
-    """Edges with both ends in ``kept.id`` (duplicates kept)."""
-    return known_ends(edges, kept)
+    """Edges with both ends in ``kept.id`` (duplicates kept).  The ids are written
+    first: both joins read them, and few of them are sent to the edges."""
+    return known_ends(edges, cut(kept.select("id")))
 
 
 def filter_graph(nodes: DataFrame, edges: DataFrame, mode: str = "static",

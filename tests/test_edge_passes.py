@@ -39,3 +39,17 @@ def test_edges_of_vertices_without_in_edges_are_sent_once(spark, monkeypatch):
         ranks = eg.pagerank(g.vertices, g.edges, raw=True, **opts)
         assert {r["id"]: r["raw_rank"] for r in ranks.collect()} == pytest.approx(want, rel=1e-12)
         assert stored == [[("n", 0, "r", 2)]]
+
+
+def test_few_written_ids_go_to_the_edges(spark, monkeypatch):
+    """No edge is counted or shuffled for them; ids that may repeat or be null multiply nothing."""
+    monkeypatch.setattr(iterate, "HOT_ROWS", 100)
+    rows = [(f"a{i % 20}", f"a{i % 13}") for i in range(400)] + [(None, "a1"), ("a1", None)]
+    edges = iterate.cut(spark.createDataFrame(rows, "src string, dst string"))
+    kept = spark.createDataFrame([("a1",), ("a1",), ("a2",), ("a3",), (None,)], "id string")
+    few = eg.induced_edges(edges, kept)
+    assert "__salts" not in _plan(few) and "BroadcastHashJoin" in _plan(few)
+    want = Counter((a, b) for a, b in rows if {a, b} <= {"a1", "a2", "a3"})
+    assert Counter(tuple(r) for r in few.collect()) == want
+    many = eg.induced_edges(edges, spark.createDataFrame([(f"a{i}",) for i in range(1, 12)], "id string"))
+    assert "__salts" in _plan(many)
