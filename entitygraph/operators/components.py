@@ -45,6 +45,8 @@ def _is_star_forest(ee: DataFrame) -> bool:
     return both.limit(1).count() == 0
 
 
+#: With more edges than this, no join of a round sends a side through the driver.
+MAX_SENT = 100_000
 #: Edges that a task contracts at a time.
 LOCAL_EDGES = 500_000
 
@@ -115,12 +117,12 @@ def connected_components(graph: Graph, *, hub_degree: int = 1_000_000, max_hubs:
         mins = cut(sym.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("deg"))
                    .select("u", F.least("u", "m").alias("m"), "deg"))
         big = ee.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        ee1 = cut(split_hub_join(big, mins, "u", "deg", thr, total_weight=n)
+        ee1 = cut(split_hub_join(big, mins, "u", "deg", thr, total_weight=n, moved=n > MAX_SENT)
                   .select(F.col("v").alias("u"), "m").distinct())          # u > m
         release(mins)
         # small-star: u and its smaller neighbours are linked to their minimum
         mins2 = cut(ee1.groupBy("u").agg(F.min("m").alias("m2"), F.count(F.lit(1)).alias("deg")))
-        j = split_hub_join(ee1, mins2, "u", "deg", thr, total_weight=n)
+        j = split_hub_join(ee1, mins2, "u", "deg", thr, total_weight=n, moved=n > MAX_SENT)
         ee2 = (j.select(F.col("m2").alias("a"), F.col("m").alias("b")).filter(F.col("a") != F.col("b"))
                 .unionByName(mins2.select(F.col("m2").alias("a"), F.col("u").alias("b")))
                 .distinct())                                                 # a < b
@@ -134,6 +136,7 @@ def connected_components(graph: Graph, *, hub_degree: int = 1_000_000, max_hubs:
         stats["rounds"] = rounds
     labels = (ee.select(F.col("b").alias("id"), F.col("a").alias("component"))
                 .unionByName(ee.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()))
+    labels = labels.hint("merge") if n > MAX_SENT else labels
     out = cut(graph.vertices.select("id").join(labels, "id", "left")
               .select("id", F.coalesce("component", "id").alias("component")))
     release(ee)

@@ -53,3 +53,22 @@ def test_few_written_ids_go_to_the_edges(spark, monkeypatch):
     assert Counter(tuple(r) for r in few.collect()) == want
     many = eg.induced_edges(edges, spark.createDataFrame([(f"a{i}",) for i in range(1, 12)], "id string"))
     assert "__salts" in _plan(many)
+
+
+def test_rounds_of_components_send_no_vertices_to_the_driver(spark, monkeypatch):
+    """Beyond MAX_SENT edges every join of a round is shuffled; the labels agree."""
+    plans = []
+    plain = cc.cut
+    monkeypatch.setattr(cc, "cut", lambda df: plans.append(_plan(df)) or plain(df))
+    nodes = [f"v{i:03d}" for i in range(60)]
+    edges = list(zip(nodes[:40], nodes[1:40])) + [("v000", n) for n in nodes[45:60]]
+    g = eg.build_graph(*graph(spark, nodes, edges), materialize=True)
+    want = {n: "v000" if n < "v040" or n >= "v045" else n for n in nodes}
+    monkeypatch.setattr(cc, "MAX_SENT", 0)
+    for opts in ({}, {"hub_degree": 5, "max_hubs": 100}):
+        plans.clear()
+        got = {r["id"]: r["component"] for r in eg.connected_components(g, **opts).collect()}
+        assert got == want
+        joins = [p for p in plans if "Join" in p]
+        assert joins and all("SortMergeJoin" in p for p in joins)
+        assert opts or not any("BroadcastHashJoin" in p for p in joins)
